@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm import pieces, quality
-from seriesloom.llm.common import table
+from seriesloom.llm import decontaminate, langid, pieces, quality, toxicity
+from seriesloom.llm.common import remainder, table
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -15,6 +16,16 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.filter(remainder("doc_id", 5) != 0))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, language_model(docs), carry=["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path(), carry=["doc_id"])
 
@@ -24,6 +35,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op5_pieces, op7_quality)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.contaminated().alias("contaminated"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    out = toxicity.rate(docs, model, carry=["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_langid, op5_pieces, op7_quality, op9_decontaminate, op10_toxicity)}
 
 SQL: dict[str, str] = {}
