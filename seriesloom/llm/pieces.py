@@ -29,7 +29,7 @@ from seriesloom.llm.common import fields, map_text
 
 MARK = "▁"
 TABLE = 1 << 19
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 192 << 20
 OUT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 _loaded: dict[str, sentencepiece.SentencePieceProcessor] = {}
