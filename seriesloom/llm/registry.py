@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import backoff, decontaminate, langid, pieces, quality, toxicity
+from seriesloom.llm import backoff, decontaminate, langid, pieces, quality, toxicity, wrapper
 from seriesloom.llm.common import remainder, table
 
 
@@ -16,6 +16,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.apply(pages, wrapper.induce(pages), ["page_id", "url"])
+
+
 def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 1
     out = backoff.score(table(spark, sf_dir, "documents"), ~held, backoff.block_of())
@@ -53,6 +58,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_backoff, op3_langid, op5_pieces, op7_quality, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op5_pieces, op7_quality, op9_decontaminate, op10_toxicity)}
 
 SQL: dict[str, str] = {}
