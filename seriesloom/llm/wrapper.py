@@ -356,7 +356,7 @@ def apply(pages: DataFrame, wrappers: DataFrame, carry: list[str], url: str = "u
                 texts = [main_text(p, v, t, aligner) for p, v, t in zip(part.to_pylist(), cut.column(2).to_pylist(), cut.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["carried", "text", "n_chars"])
 
-    schema = joined.select("carried").schema.add("text", "string").add("n_chars", "bigint")
+    schema = joined.select("carried").schema.add("text", "string").add("n_chars", "long")
     return joined.mapInArrow(run, schema).select("carried.*", "text", "n_chars")
 
 
