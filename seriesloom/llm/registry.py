@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import backoff, decontaminate, langid, pieces, quality, toxicity, wrapper
+from seriesloom.llm import backoff, decontaminate, jaccard, langid, pieces, quality, toxicity, wrapper
 from seriesloom.llm.common import remainder, table
 
 
@@ -46,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.contaminated().alias("contaminated"))
@@ -58,6 +62,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op5_pieces, op7_quality, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op5_pieces, op7_quality, op8_jaccard, op9_decontaminate, op10_toxicity)}
 
 SQL: dict[str, str] = {}
