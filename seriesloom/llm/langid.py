@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
@@ -123,7 +123,7 @@ class Model:
         best = z.argmax(axis=1)
         score = z[np.arange(n), best]
         known = np.array([has_letter(t) for t in (texts.to_pylist() if hasattr(texts, "to_pylist") else texts)], bool)
-        langs = [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known)]
+        langs = [str(self.langs[k]) if ok else UNKNOWN for k, ok in zip(best, known)]
         return langs, np.where(known, score, 0.0), known & (score >= self.threshold)
 
 
@@ -179,16 +179,16 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` of the labelled rows, as evenly over languages as they allow."""
-    order = F.xxhash64(F.col(key).cast("string"))
-    ids = (
-        labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("k"), F.col(lang).alias("l"), order.alias("h"))
-        .withColumn("turn", F.row_number().over(Window.partitionBy("l").orderBy("h", "k")))
-        .filter(F.col("turn") <= sample)
-        .orderBy("turn", "h", "k", "l")
-        .limit(sample)
-        .select("k", "l")
-    )
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    # at most ``sample`` languages can be learnt from as many rows
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample).collect()
+    if not counts:
+        return train([])
+    of = F.broadcast(labelled.sparkSession.createDataFrame([(r[0], r[1]) for r in counts], "l string, n bigint"))
+    # a hash is uniform, so hash times frequency is about a row's rank in its language: no language is sorted as a whole
+    rank = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n")
+    ids = rows.join(of, "l").withColumn("turn", rank).orderBy("turn", "h", "k", "l").limit(sample).select("k", "l")
     picked = [r.k for r in ids.collect()]
     if not picked:
         return train([])
