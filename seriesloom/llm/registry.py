@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import backoff, decontaminate, jaccard, langid, pieces, quality, toxicity, wrapper
+from seriesloom.llm import backoff, decontaminate, fixity, jaccard, langid, pieces, quality, quotelink, toxicity, wrapper
 from seriesloom.llm.common import remainder, table
 
 
@@ -37,10 +37,37 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_quotelink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotelink.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path(), carry=["doc_id"])
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of ``pages`` that storage has harmed in a known way; one row per record of the sound replica."""
+    pages = table(spark, sf_dir, "pages")
+    sound = fixity.records(pages)
+    turn = F.pmod(F.col("number"), F.lit(97))
+    half = F.expr("substring(record, 1, cast(length(record) div 2 as int))")
+    harmed = sound.filter(turn != 5).withColumn("record", F.when(turn == 6, F.concat("record", F.lit(" "))).when(turn == 7, half).otherwise(F.col("record")))
+    found = fixity.audit(sound, harmed)
+    out = fixity.place(sound).join(found, "number", "left")
+    return out.select(F.col("number").alias("page_id"), "file", "offset", "length", "sha256", F.coalesce("status", F.lit("sound")).alias("status"))
+
+
+OP6_SQL = """
+WITH body AS (SELECT coalesce(page_id, -1) AS page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+sized AS (SELECT page_id, CAST(floor(page_id / 1000.0) AS BIGINT) AS file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM body)
+SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length, sha256, CASE page_id % 97 WHEN 5 THEN 'missing' WHEN 6 THEN 'damaged' WHEN 7 THEN 'damaged' ELSE 'sound' END AS status
+FROM sized"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -62,6 +89,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op5_pieces, op7_quality, op8_jaccard, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op4_quotelink, op5_pieces, op6_fixity, op7_quality, op8_jaccard, op9_decontaminate, op10_toxicity)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_quotelink": quotelink.sql(), "op6_fixity": OP6_SQL}
