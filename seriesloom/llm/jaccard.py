@@ -18,8 +18,8 @@ crosses two blobs.  In a blob all overlaps are counted exactly, as products of
 pair of chunks becomes a group of its own, so no task holds a large group and no
 pair is ever a row: only one link per joined class, and link counts, come out.
 
-Order of shingles: by a sketch of document frequencies (2**SKETCH counters, the
-same size for any corpus), then by hash.  Any order gives the same links; a good
+Order of shingles: by a sketch of document frequencies (2**SKETCH counters of four
+bits, the same size for any corpus), then by hash.  Any order gives the same links; a good
 one keeps common passages out of the lists.
 
 Defined results: a null text, or one without words, has no shingles and is its
@@ -44,8 +44,8 @@ from seriesloom.llm.common import fields, forget, keep, map_text
 
 SIZE = 4
 NUM, DEN = 85, 100  # least similarity
-SKETCH = 22
-SLICES = 64
+SKETCH = 26
+SLICES = 1024
 CHUNK = 512
 GROUP = 2048  # classes of small blobs that are compared in one group
 MOST_LIGHT = 24  # no set with more shingles is light, whatever the costs
@@ -92,43 +92,70 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
 
 
-def sketch(docs: DataFrame, text: str = "text", size: int = SIZE) -> np.ndarray:
-    """How common the shingles of each bucket are, on a logarithmic scale, over every document."""
+class Sketch:
+    """How common a shingle is, from 0 to 15 on a logarithmic scale; two counters a byte."""
+
+    def __init__(self, table: np.ndarray | None = None):
+        self.table = np.zeros(1 << (SKETCH - 1), np.uint8) if table is None else table
+
+    @staticmethod
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return (h >> _U(64 - SKETCH)).astype(np.int64)
+
+    @staticmethod
+    def scale(n: np.ndarray) -> np.ndarray:
+        return np.minimum(15, 1.5 * np.log2(1.0 + n)).astype(np.uint8)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        b = self.bucket(h)
+        return self.table[b >> 1] >> ((b & 1) << 2).astype(np.uint8) & np.uint8(15)
+
+
+def gaps(at: np.ndarray) -> bytes:
+    """Increasing places as bytes: the gap to the one before, 255 standing for 255 more."""
+    d = np.diff(at, prepend=-1) - 1
+    more = d // 255
+    out = np.full(int(len(at) + more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = d % 255
+    return out.tobytes()
+
+
+def places(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).astype(np.int64)
+    ends = x < 255
+    return (np.cumsum(x)[ends] + np.arange(1, int(ends.sum()) + 1)) - 1
+
+
+def sketch(docs: DataFrame, text: str = "text", size: int = SIZE) -> Sketch:
+    """The sketch over every document; tasks send the counters that they have raised, packed, by slice of the sketch."""
     width = (1 << SKETCH) // SLICES
 
     def count(batches):
-        total = np.zeros(1 << SKETCH, np.int32)
+        total = np.zeros(1 << SKETCH, np.uint8)
         for batch in batches:
             for _, part in X.pieces(batch.column(0)):
                 data, off = X.buffers(part)
                 h, _, _ = X.windows(X.scan(data, off, X.SPACED), size)
-                total += np.bincount((h >> _U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.int32)
-        if total.any():
-            parts = np.minimum(total, 255).astype(np.uint8).reshape(SLICES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(key, batches):
+                at, n = np.unique(Sketch.bucket(h), return_counts=True)
+                total[at] = np.minimum(255, total[at] + n)
+        for s in range(SLICES):
+            part = total[s * width : (s + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([gaps(at)], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["slice", "at", "n"])
+
+    def add(key, table):
         total = np.zeros(width, np.int64)
-        for batch in batches:
-            for b in batch.column("counts"):
-                total += np.frombuffer(b.as_buffer(), np.uint8)
-        log = np.minimum(255, np.round(12 * np.log2(1.0 + total))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([log.tobytes()], pa.binary())], ["slice", "counts"])
-
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "slice int, counts binary")
-    out = np.zeros((SLICES, width), np.uint8)
-    for r in counted.groupBy("slice").applyInArrow(_streamed(add), "slice int, counts binary").collect():
-        out[r.slice] = np.frombuffer(r.counts, np.uint8)
-    return out.ravel()
-
-
-def _streamed(fn):
-    """A function of (key, table) from one of (key, batches)."""
-
-    def run(key, table):
-        return pa.Table.from_batches(list(fn(key, table.to_batches())))
-
-    return run
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
+            total[places(at)] += np.frombuffer(n, np.uint8)
+        q = Sketch.scale(total)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(q[::2] | q[1::2] << 4).tobytes()], pa.binary())], names=["slice", "q"])
+
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "slice int, at binary, n binary")
+    out = Sketch()
+    for r in counted.groupBy("slice").applyInArrow(add, "slice int, q binary").toLocalIterator():
+        out.table[r.slice * width // 2 : (r.slice + 1) * width // 2] = np.frombuffer(r.q, np.uint8)
+    return out
 
 
 def light_cost(n: int) -> int:
@@ -149,7 +176,7 @@ def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
     return best
 
 
-def keys_of(s: np.ndarray, common: np.ndarray, boundary: int) -> np.ndarray:
+def keys_of(s: np.ndarray, common: Sketch, boundary: int) -> np.ndarray:
     """Keys that a set shares with every set that is similar but not equal to it."""
     n, out = len(s), []
     if n == 0:
@@ -160,8 +187,7 @@ def keys_of(s: np.ndarray, common: np.ndarray, boundary: int) -> np.ndarray:
             drop = np.array([sum(c, _U(0)) for c in combinations(s, k)], _U) if k else np.zeros(1, _U)
             out.append(X.mix((total - drop) * _U(2) + _U(n - k) * _U(0x9E3779B97F4A7C15)) | _U(1))
     if n >= need(boundary + 1):
-        rare = common[(s >> _U(64 - SKETCH)).astype(np.int64)]
-        first = np.lexsort((s, rare))[: n - need(n) + 1]
+        first = np.lexsort((s, common.of(s)))[: n - need(n) + 1]
         out.append(X.mix(s[first]) & ~_U(1))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
@@ -395,8 +421,8 @@ def _boundary(docs, common, text, size):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n", "c"])
 
     got = docs.select(F.col(text).cast("string")).mapInArrow(run, "n bigint, c bigint").groupBy("n").agg(F.sum("c").alias("c")).collect()
-    # lists of rare shingles: what the lower half of the sketch's buckets hold beside the shingle itself
-    length = float(np.median(2.0 ** (common.value / 12.0) - 1))
+    # rare shingles, of which lists are made, share their counter with few others
+    length = float(2.0 ** (np.median(common.value.table & 15) / 1.5) - 1)
     return choose_boundary({r.n: r.c for r in got}, max(1.0, min(length, 4.0)))
 
 

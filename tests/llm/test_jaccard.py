@@ -112,6 +112,14 @@ def test_keep_one(spark):
     assert sum(n == 0 for _, n in kept) == sum(not words(t) for _, t in rows)
 
 
+def test_gaps():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        at = np.unique(rng.integers(0, 1 << 16, n))
+        assert (J.places(J.gaps(at)) == at).all()
+    assert J.places(J.gaps(np.array([0, 255, 256, 511, 2000]))).tolist() == [0, 255, 256, 511, 2000]
+
+
 def test_boundary_follows_cost():
     assert J.light_cost(6) == 1 and J.light_cost(10) == 11
     assert J.choose_boundary({}, 1.0) < J.choose_boundary({}, 4.0) <= J.MOST_LIGHT
@@ -119,7 +127,7 @@ def test_boundary_follows_cost():
 
 def test_light_keys_cover_every_similar_pair():
     rng = np.random.default_rng(5)
-    common = np.zeros(1 << J.SKETCH, np.uint8)
+    common = J.Sketch()
     for boundary in (0, 9, 13, 19):
         for _ in range(300):
             n = int(rng.integers(1, 30))
