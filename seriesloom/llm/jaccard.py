@@ -44,7 +44,7 @@ from seriesloom.llm.common import fields, forget, keep, map_text
 
 SIZE = 4
 NUM, DEN = 85, 100  # least similarity
-SKETCH = 26
+SKETCH = 25
 SLICES = 1024
 CHUNK = 512
 GROUP = 2048  # classes of small blobs that are compared in one group
@@ -153,7 +153,7 @@ def sketch(docs: DataFrame, text: str = "text", size: int = SIZE) -> Sketch:
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "slice int, at binary, n binary")
     out = Sketch()
-    for r in counted.groupBy("slice").applyInArrow(add, "slice int, q binary").toLocalIterator():
+    for r in counted.groupBy("slice").applyInArrow(add, "slice int, q binary").collect():
         out.table[r.slice * width // 2 : (r.slice + 1) * width // 2] = np.frombuffer(r.q, np.uint8)
     return out
 
@@ -218,6 +218,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     shared folder, and the number of steps grows with the logarithm of a component.
     """
     cur = keep(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    before = _print(cur)
     while True:
         # large star: every larger neighbour of u goes to the least neighbour of u (or u)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -227,10 +228,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         new = keep(small, name)
-        same = _print(cur) == _print(new)
         forget(cur)
         forget(large)
-        cur = new
+        after = _print(new)
+        cur, same, before = new, after == before, after
         if same:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -286,12 +287,15 @@ def links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split:
             x = root[x]
         return x
 
-    joined = []
     for a, b in zip(i.tolist(), (j + split).tolist()):
         ra, rb = find(a), find(b)
         if ra != rb:
             root[max(ra, rb)] = min(ra, rb)
-            joined.append((int(names[a]), int(names[b])))
+    # a star for each component found here
+    least: dict[int, int] = {}
+    for x in range(len(sets)):
+        least[find(x)] = min(least.get(find(x), int(names[x])), int(names[x]))
+    joined = [(int(names[x]), least[find(x)]) for x in range(len(sets)) if int(names[x]) != least[find(x)]]
     return joined, count
 
 
@@ -397,7 +401,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = S
 
 def wanted_bits(blobs: DataFrame, n: int) -> tuple[int, np.ndarray]:
     """Bitmap over the high bits of the class names in ``blobs``."""
-    bits = min(27, max(20, (16 * max(1, n)).bit_length()))
+    bits = min(27, max(20, (64 * max(1, n)).bit_length()))
     at = f"shiftrightunsigned(node, {64 - bits})"
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in blobs.groupBy(F.expr(f"({at}) div 32768").alias("b")).agg(F.expr(f"bitmap_construct_agg(({at}) % 32768)").alias("m")).collect():
