@@ -21,7 +21,7 @@ def read_text(spark: SparkSession, path: str, series_id: str | None = None) -> D
 
     A file is one record, since line order within a file must not depend on splits.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim(F.col("value")), r"\s+").alias("v"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("v"))
     long = lines.select(F.lit(series_id).alias("series_id") if series_id else F.regexp_replace("file", r"\.txt(\.gz)?$", "").alias("series_id"), F.posexplode("v").alias("idx", "s"))
     return long.select("series_id", F.col("idx").cast("bigint").alias("idx"), F.expr("try_cast(s as double)").alias("value"))
 
