@@ -22,9 +22,11 @@ classes every score is the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +40,6 @@ from seriesloom.llm.common import fields, map_text
 SAMPLE = 16_000
 BEST = 4
 CLASSES = 28  # blank, a to z, any other letter
-FEATURE_BITS = 20
 CACHE = 400_000
 FOLDS_N = 5
 STRONG = 3.0
@@ -181,16 +182,13 @@ def restore(token: str, lm: np.ndarray) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a restored word and of its beginnings."""
+    """Hashes of a restored word and of its beginnings."""
     keys = ["=" + word] + ["^" + word[:k] for k in (3, 4, 5, 6) if len(word) > k]
     return [hash_text(k) for k in keys]
 
 
 def hash_text(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in s.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 32)) * 0x9E3779B97F4A7C15 >> 40 & ((1 << FEATURE_BITS) - 1)
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def spelt(text: str) -> list[str]:
@@ -208,7 +206,7 @@ def tokens(text: str | None) -> set[str]:
 @dataclass
 class Model:
     lm: np.ndarray
-    weight: np.ndarray  # of each feature bucket
+    weight: dict[int, float]  # of each telling feature
     coef: np.ndarray  # of strongest word, its excess over STRONG, sum of the next, constant
     prior: float = 0.0
     cache: dict = field(default_factory=dict, repr=False)
@@ -220,7 +218,7 @@ class Model:
         got = 0.0
         for w in restore(fold_text(token), self.lm):
             for k in features(w):
-                got = max(got, float(self.weight[k]))
+                got = max(got, self.weight.get(k, 0.0))
         return got
 
     def evidence(self, text: str | None) -> tuple[float, float]:
@@ -264,39 +262,69 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def lexicon(df: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weight of each bucket from document frequencies ``df[class, bucket]`` among ``n[class]`` documents.
+def lexicon(at: np.ndarray, df: np.ndarray, n: np.ndarray) -> dict[int, float]:
+    """Weights of the features ``at`` from document frequencies ``df[class, feature]`` among ``n[class]`` documents.
 
-    The lower 95 % limit of the log-odds; buckets in fewer than three toxic documents weigh nothing.
+    The lower 95 % limit of the log-odds; features in fewer than three toxic documents, or in under 0.2 % of them, weigh nothing.
     """
     t, c = df[1].astype(float), df[0].astype(float)
     odds = np.log((t + 0.5) / (n[1] - t + 0.5)) - np.log((c + 0.5) / (n[0] - c + 0.5))
     limit = odds - 1.96 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    return np.where((t >= 3) & (limit > 1.0), limit, 0.0).astype(np.float32)
+    ok = (t >= max(3, 0.002 * n[1])) & (limit > 1.0)
+    return dict(zip(at[ok].tolist(), limit[ok].tolist()))
+
+
+def signature(texts) -> np.ndarray:
+    """Least hash of each text's runs of three words (of its words, if fewer): near copies mostly agree on it."""
+    data, off = X.buffers(texts)
+    words = X.scan(data, off, X.SPACED)
+    out = np.full(len(off) - 1, np.iinfo(np.uint64).max, np.uint64)
+    for k in (3, 1):
+        h, docs, _ = X.windows(words, k)
+        at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, int)
+        mine = docs[at]
+        empty = out[mine] == np.iinfo(np.uint64).max
+        least = np.minimum.reduceat(h, at) if len(at) else np.zeros(0, np.uint64)
+        out[mine[empty]] = least[empty]
+    return out.view(np.int64)
+
+
+def _distinct(docs: DataFrame, known: dict, schema, text: str, key: str) -> dict:
+    """One labelled row of those with the same signature and label, so that copies do not vouch for each other's words."""
+    if not known:
+        return known
+    ids = F.broadcast(docs.sparkSession.createDataFrame(list(known), schema["k"].dataType).toDF("k"))
+    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(ids, "k")
+    rows = map_text(src, "t", ["k"], fields("s bigint"), lambda texts: [signature(texts)]).collect()
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: r.k):
+        first.setdefault((r.s, known[r.k]), r.k)
+    return {k: known[k] for k in first.values()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """``docs`` are all documents (for the character model); ``labels`` the rows to learn from."""
     lm = char_model(docs, text)
-    flat = np.zeros(1 << FEATURE_BITS, np.float32)
     marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = marks.dropDuplicates(["k"]).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(sample)
-    known = {r.k: r.y for r in chosen.collect()}
+    known = _distinct(docs, {r.k: r.y for r in chosen.collect()}, marks.schema, text, key)
     ys = list(known.values())
     share = sum(ys) / len(ys) if ys else 0.0
     odds = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    none = Model(lm, flat, np.array([0, 0, 0, max(-30.0, odds)]), share)
+    none = Model(lm, {}, np.array([0, 0, 0, max(-30.0, odds)]), share)
     if not ys or share in (0.0, 1.0):
         return none
     spark = docs.sparkSession
     # at most ``sample`` keys
     ids = F.broadcast(spark.createDataFrame(list(known.items()), marks.schema))
     fold = (F.crc32(F.col("k").cast("string").cast("binary")).bitwiseAND(F.lit(0x7FFF)) % FOLDS_N).cast("int")
-    rows = docs.join(ids, docs[key] == ids["k"]).select((F.col("y") * FOLDS_N + fold).alias("g"), F.col(text).cast("string").alias("t")).filter("t is not null")
-    bare = Model(lm, flat, np.zeros(4))
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null")
+    rows = texts.join(ids, "k").select((F.col("y") * FOLDS_N + fold).alias("g"), "t")
+    bare = Model(lm, {}, np.zeros(4))
 
     def count(batches):
-        df, n = {}, np.zeros(2 * FOLDS_N, np.int64)
+        df: dict[int, Counter] = {}
+        n = np.zeros(2 * FOLDS_N, np.int64)
         cache: dict[str, list[int]] = {}
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -308,31 +336,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                         if len(cache) < CACHE:
                             cache[token] = got
                     seen.update(got)
-                if g not in df:
-                    df[g] = np.zeros(1 << FEATURE_BITS, np.int32)
-                df[g][list(seen)] += 1
+                df.setdefault(g, Counter()).update(seen)
                 n[g] += 1
-        for g in sorted(df):
-            at = np.flatnonzero(df[g])
-            both = np.concatenate([at, [-1]]), np.concatenate([df[g][at], [n[g]]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both[0]), g, np.int32)), pa.array(both[0], pa.int32()), pa.array(both[1], pa.int64())], ["g", "at", "n"])
+                if sum(map(len, df.values())) > 4 * CACHE:
+                    yield from send(df, n)
+                    df, n = {}, np.zeros(2 * FOLDS_N, np.int64)
+        yield from send(df, n)
+
+    def send(df, n):
+        for g, seen in df.items():
+            # a null feature counts the documents
+            yield pa.RecordBatch.from_arrays([pa.array([g] * (len(seen) + 1), pa.int32()), pa.array([*seen, None], pa.int64()), pa.array([*seen.values(), int(n[g])], pa.int64())], ["g", "at", "n"])
 
-    # one row per bucket, of which there are 2**FEATURE_BITS
     sums = [F.sum(F.when(F.col("g") == g, F.col("n"))).alias(f"n{g}") for g in range(2 * FOLDS_N)]
     toxic = F.sum(F.when(F.col("g") >= FOLDS_N, F.col("n")))
-    got = rows.mapInArrow(count, "g int, at int, n bigint").groupBy("at").agg(*sums, toxic.alias("t")).filter("t >= 3").drop("t")
-    df, n = np.zeros((2, FOLDS_N, 1 << FEATURE_BITS), np.int32), np.zeros((2, FOLDS_N), np.int64)
-    for r in got.collect():
-        part = np.array([x or 0 for x in r[1:]]).reshape(2, FOLDS_N)
-        if r.at < 0:
-            n[:] = part
-        else:
-            df[:, :, r.at] = part
+    # features of three toxic documents or more, of at most ``sample`` documents
+    got = rows.mapInArrow(count, "g int, at bigint, n bigint").groupBy("at").agg(*sums, toxic.alias("t")).filter("t >= 3").drop("t").collect()
+    n = np.array([[x or 0 for x in r[1:]] for r in got if r.at is None] or np.zeros((1, 2 * FOLDS_N)), np.int64).reshape(-1, 2, FOLDS_N).sum(axis=0)
+    at = np.array([r.at for r in got if r.at is not None], np.int64)
+    df = np.array([[x or 0 for x in r[1:]] for r in got if r.at is not None], np.int64).reshape(-1, 2, FOLDS_N).transpose(1, 2, 0)
     if not n.sum(axis=1).all():
         return none
-    model = Model(lm, lexicon(df.sum(axis=1), n.sum(axis=1)), np.zeros(4), share)
+    model = Model(lm, lexicon(at, df.sum(axis=1), n.sum(axis=1)), np.zeros(4), share)
     # a row's evidence for the regression comes from a lexicon that has not seen its fold
-    others = [Model(lm, lexicon(df.sum(axis=1) - df[:, k], n.sum(axis=1) - n[:, k]), np.zeros(4)) for k in range(FOLDS_N)]
+    others = [Model(lm, lexicon(at, df.sum(axis=1) - df[:, k], n.sum(axis=1) - n[:, k]), np.zeros(4)) for k in range(FOLDS_N)]
     shipped = spark.sparkContext.broadcast(others)
 
     def look(batches):
