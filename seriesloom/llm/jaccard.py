@@ -44,7 +44,7 @@ from seriesloom.llm.common import fields, forget, keep, map_text
 
 SIZE = 4
 NUM, DEN = 85, 100  # least similarity
-SKETCH = 25
+SKETCH = 26
 SLICES = 1024
 CHUNK = 512
 GROUP = 2048  # classes of small blobs that are compared in one group
