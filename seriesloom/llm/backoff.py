@@ -59,12 +59,7 @@ class Tokens:
         at = np.flatnonzero(real)
         self.n = n + 1
         self.doc = np.repeat(np.arange(docs), self.n)
-        one = X.mix(seq + _U(0x9E3779B97F4A7C15))
-        self.word = one[at]
-        # as often as the start stands the end, so the start's count is the end's
-        history = one
-        history[self.first] = X.mix(np.array([_END + _U(0x9E3779B97F4A7C15)], _U))[0]
-        self.history = history[at - 1]
+        self.word = X.mix(seq[at] + _U(0x9E3779B97F4A7C15))
         self.pair = X.mix(seq[at - 1] * _U(0xC2B2AE3D27D4EB4F) + X.mix(seq[at]) + _U(0x2545F4914F6CDD1D))
 
 
@@ -173,14 +168,33 @@ def answers(bits: int):
 
 
 def traverse(texts, counts: np.ndarray, n: int, v: int, kappa: float = KAPPA):
-    """Columns of ``OUT`` for texts, given the counts of their distinct keys in order."""
-    t = Tokens(texts)
+    """Columns of ``OUT`` for texts, given the counts of their distinct keys in order.
+
+    Goes over the texts a few MB at a time, first for the keys and then to score.
+    """
+
+    def tokens():
+        return (Tokens(part) for _, part in X.pieces(texts))
+
+    some = [np.unique(np.concatenate([t.word, t.pair])) for t in tokens()]
+    keys = np.unique(np.concatenate(some)) if some else np.zeros(0, _U)
+    del some
+    if len(keys) != len(counts):
+        raise ValueError(f"a block has {len(keys)} keys and got {len(counts)} counts")
+    out = [_walk(t, keys, counts, n, v, kappa) for t in tokens()]
+    return [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else [()] * 5)]
+
+
+def _walk(t: Tokens, keys: np.ndarray, counts: np.ndarray, n: int, v: int, kappa: float):
     uniq, at = np.unique(np.concatenate([t.word, t.pair]), return_inverse=True)
-    if len(uniq) != len(counts):
-        raise ValueError(f"a block has {len(uniq)} keys and got {len(counts)} counts")
+    mine = counts[np.searchsorted(keys, uniq)]
     m = len(t.word)
-    c_word, c_pair = counts[at[:m]], counts[at[m:]]
-    c_history = counts[np.searchsorted(uniq, t.history)]
+    c_word, c_pair = mine[at[:m]], mine[at[m:]]
+    # the history of a text's first token is the start, which occurs as often as the end
+    c_history = np.empty(m, np.int64)
+    c_history[1:] = c_word[:-1]
+    first = np.cumsum(t.n) - t.n
+    c_history[first] = c_word[first + t.n - 1]
     p = (c_word + 0.5) / (n + 0.5 * (v + 1))
     root = np.log10(p)
     arc = np.log10(np.maximum(c_pair + kappa * p, 1e-300) / (c_history + kappa))
@@ -188,10 +202,10 @@ def traverse(texts, counts: np.ndarray, n: int, v: int, kappa: float = KAPPA):
     # at every token the state is the word before it where that is known, else the root
     step = np.where(c_history == 0, root, np.where(c_pair > 0, arc, failure + root))
     docs = len(t.n)
-    return [
+    return (
         t.n.astype(np.int64), np.bincount(t.doc, c_word > 0, docs).astype(np.int64), np.full(docs, n, np.int64),
         np.bincount(t.doc, root, docs), np.bincount(t.doc, step, docs),
-    ]
+    )
 
 
 def block_of(rows: int = ROWS) -> Column:
