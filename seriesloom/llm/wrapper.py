@@ -6,7 +6,8 @@ pivot's by simple tree matching, after runs of sibling elements with one label
 (paragraphs, list items, table rows) are folded into one node, so a template
 with a varying number of repeats still aligns.  Over all pages of the host we
 count, for each pivot node, how many pages have it and how many have the same
-text in it: constant nodes are template, varying ones slots for content.
+text in it: constant nodes are template, varying ones slots for content (as are headings and
+paragraphs of an element that says it is the article: hosts serve copies).
 
 Among the slots the main region is the article (``article``, ``main`` or the
 like; else the element that gathers most slot text), without elements that say
@@ -53,6 +54,7 @@ SIDE_WORDS = set(
     "toolbar widget copyright disclaimer skip hidden".split()
 )
 NOT_SIDE = set("has with no without".split())
+PROSE = set("h1 h2 h3 h4 h5 h6 p blockquote pre".split())  # within an article these are content even if constant
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -373,6 +375,6 @@ def main_text(page: str | None, pivot: str | None, template: list[int] | None, a
         base = pivot_hash or aligner.pivots[pivot]
         for i, j in pairs:
             # a template node is dropped where its text is the template's
-            if i in fixed and tree[j]["hash"] == base["hash"][i] and tree[j]["size"] <= SHORT and not re.match(r"h[1-6]\b", tree[j]["label"]):
-                drop.update(map(id, tree[j]["members"]))
+            if i in fixed and tree[j]["hash"] == base["hash"][i] and tree[j]["size"] <= SHORT:
+                drop.update(id(m) for m in tree[j]["members"] if not (m.head and m.tag in PROSE))
     return extract(root, drop)

@@ -58,8 +58,8 @@ def test_induced_template(spark):
     out = W.apply(pages, W.induce(pages), ["page_id", "url"]).collect()
     by = {r.page_id: r for r in out}
     assert len(out) == len(rows)
-    # title and paragraphs vary; what all pages share (the list, the last line) is template
-    assert by[3].text == "Title 3\nOne two é.\nThree3 four."
+    # title and paragraphs vary; the list that all pages share is template
+    assert by[3].text == "Title 3\nOne two é.\nThree3 four.\nFollow us!"
     assert by[50].text == "lone" and by[51].text == "" and by[52].n_chars == 0
     assert all(r.n_chars == len(r.text) for r in out)
     assert W.apply(pages.limit(0), W.induce(pages.limit(0)), ["page_id"]).count() == 0
