@@ -217,6 +217,6 @@ def contaminated(least: int = 2):
     return F.col("n_items") >= least
 
 
-def filter_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns."""
-    return scan(docs, benchmark, text).filter(~contaminated()).select("row.*")
+def filter_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", items: int = 2, words: int = 0) -> DataFrame:
+    """The rows of ``docs`` with windows of fewer than ``items`` items, or fewer than ``words`` words hit, with their own columns."""
+    return scan(docs, benchmark, text).filter(~(contaminated(items) & (F.col("n_hit") >= words))).select("row.*")
