@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; the document of the least id stays of each group."""
+    """N-gram Jaccard join, five words and 0.8; the document of the least id stays of each group."""
     ship(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, size=5, least=(80, 100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

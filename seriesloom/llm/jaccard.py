@@ -43,7 +43,7 @@ from seriesloom.llm import textops as X
 from seriesloom.llm.common import fields, forget, keep, map_text
 
 SIZE = 4
-NUM, DEN = 85, 100  # least similarity
+LEAST = (85, 100)  # least similarity, as a fraction
 SKETCH = 26
 SLICES = 1024
 CHUNK = 512
@@ -52,13 +52,13 @@ MOST_LIGHT = 24  # no set with more shingles is light, whatever the costs
 _U = np.uint64
 
 
-def need(n):
+def need(n, least=LEAST):
     """Least overlap of a set of n shingles with any set that is similar to it."""
-    return -(-NUM * n // DEN)
+    return -(-least[0] * n // least[1])
 
 
-def similar(overlap, a, b):
-    return DEN * overlap >= NUM * (a + b - overlap)
+def similar(overlap, a, b, least=LEAST):
+    return least[1] * overlap >= least[0] * (a + b - overlap)
 
 
 def shingles(texts, size: int = SIZE) -> list[np.ndarray]:
@@ -158,41 +158,41 @@ def sketch(docs: DataFrame, text: str = "text", size: int = SIZE) -> Sketch:
     return out
 
 
-def light_cost(n: int) -> int:
+def light_cost(n: int, least=LEAST) -> int:
     """Subsets that a light set of n shingles gives."""
-    return sum(math.comb(n, k) for k in range(n - need(n) + 1))
+    return sum(math.comb(n, k) for k in range(n - need(n, least) + 1))
 
 
-def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
+def choose_boundary(sizes: dict[int, int], list_length: float, least=LEAST) -> int:
     """The largest size up to which subsets cost no more than list entries and the comparisons they lead to."""
-    heavy = lambda n: (n - need(n) + 1) * (1 + list_length * n)
+    heavy = lambda n: (n - need(n, least) + 1) * (1 + list_length * n)
     total_light = total_heavy = 0.0
     best = 0
     for n in range(1, MOST_LIGHT + 1):
-        total_light += (sizes.get(n, 0) + 1) * light_cost(n)
+        total_light += (sizes.get(n, 0) + 1) * light_cost(n, least)
         total_heavy += (sizes.get(n, 0) + 1) * heavy(n)
-        if light_cost(n) <= heavy(n) and total_light <= total_heavy:
+        if light_cost(n, least) <= heavy(n) and total_light <= total_heavy:
             best = n
     return best
 
 
-def keys_of(s: np.ndarray, common: Sketch, boundary: int) -> np.ndarray:
+def keys_of(s: np.ndarray, common: Sketch, boundary: int, least=LEAST) -> np.ndarray:
     """Keys that a set shares with every set that is similar but not equal to it."""
     n, out = len(s), []
     if n == 0:
         return np.zeros(0, _U)
     if n <= boundary:
         total = s.sum(dtype=_U)
-        for k in range(n - need(n) + 1):
+        for k in range(n - need(n, least) + 1):
             drop = np.array([sum(c, _U(0)) for c in combinations(s, k)], _U) if k else np.zeros(1, _U)
             out.append(X.mix((total - drop) * _U(2) + _U(n - k) * _U(0x9E3779B97F4A7C15)) | _U(1))
-    if n >= need(boundary + 1):
-        first = np.lexsort((s, common.of(s)))[: n - need(n) + 1]
+    if n >= need(boundary + 1, least):
+        first = np.lexsort((s, common.of(s)))[: n - need(n, least) + 1]
         out.append(X.mix(s[first]) & ~_U(1))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def describe(docs: DataFrame, common, boundary: int, text: str, carry: list[str], size: int) -> DataFrame:
+def describe(docs: DataFrame, common, boundary: int, text: str, carry: list[str], size: int, least=LEAST) -> DataFrame:
     """Size, class and keys of every document."""
     src = docs.select(*[F.col(c) for c in carry], F.col(text).cast("string").alias("text_in"))
 
@@ -203,7 +203,7 @@ def describe(docs: DataFrame, common, boundary: int, text: str, carry: list[str]
                 new = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) for s in sets], pa.int64()),
-                    pa.array([keys_of(s, common.value, boundary).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([keys_of(s, common.value, boundary, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(part)) for c in carry], *new], [*carry, "n_shingles", "class", "keys"])
 
@@ -266,12 +266,12 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split: int):
+def links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split: int, least=LEAST):
     """(class, class) links that join what is similar, and each class's links to documents of other classes here."""
     sizes = np.array([len(s) for s in sets], np.int64)
     left = split or len(sets)
     over = overlaps(sets, split)
-    ok = similar(over, sizes[:left, None], sizes[None, split:]) & (over > 0)
+    ok = similar(over, sizes[:left, None], sizes[None, split:], least) & (over > 0)
     if not split:
         np.fill_diagonal(ok, False)
     i, j = np.nonzero(ok)
@@ -292,14 +292,14 @@ def links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split:
         if ra != rb:
             root[max(ra, rb)] = min(ra, rb)
     # a star for each component found here
-    least: dict[int, int] = {}
+    centre: dict[int, int] = {}
     for x in range(len(sets)):
-        least[find(x)] = min(least.get(find(x), int(names[x])), int(names[x]))
-    joined = [(int(names[x]), least[find(x)]) for x in range(len(sets)) if int(names[x]) != least[find(x)]]
+        centre[find(x)] = min(centre.get(find(x), int(names[x])), int(names[x]))
+    joined = [(int(names[x]), centre[find(x)]) for x in range(len(sets)) if int(names[x]) != centre[find(x)]]
     return joined, count
 
 
-def compare(_, table):
+def compare(table, least=LEAST):
     """One group: every blob in it, or one pair of chunks of a large blob; rows of links (u, v) and of counts (u, n)."""
     blob, side = table.column("blob").to_numpy(), table.column("side").to_numpy()
     names, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
@@ -310,7 +310,7 @@ def compare(_, table):
     for a, b in zip(edges[:-1], edges[1:]):
         at = order[a:b]
         split = int((side[at] == 0).sum())
-        joined, count = links(names[at], copies[at], [np.frombuffer(raw[i], _U) for i in at], 0 if split == len(at) else split)
+        joined, count = links(names[at], copies[at], [np.frombuffer(raw[i], _U) for i in at], 0 if split == len(at) else split, least)
         for x, y in joined:
             u.append(x)
             v.append(y)
@@ -355,12 +355,12 @@ class Wanted:
         return bool(self.table[at >> 3] >> (at & 7) & 1)
 
 
-def solve(docs: DataFrame, text: str, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+def solve(docs: DataFrame, text: str, key: str, size: int, least=LEAST) -> tuple[DataFrame, DataFrame]:
     """Every row's (key, n_shingles, class), and every class's (class, key, root, component_id, n_links)."""
     sc = docs.sparkSession.sparkContext
     common = sc.broadcast(sketch(docs, text, size))
-    boundary = _boundary(docs, common, text, size)
-    base = keep(describe(docs, common, boundary, text, [key], size).withColumnRenamed(key, "key"), "jaccard")
+    boundary = _boundary(docs, common, text, size, least)
+    base = keep(describe(docs, common, boundary, text, [key], size, least).withColumnRenamed(key, "key"), "jaccard")
     classes = keep(
         base.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "jaccard"
     )
@@ -381,19 +381,19 @@ def solve(docs: DataFrame, text: str, key: str, size: int) -> tuple[DataFrame, D
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
     large = members.filter(F.col("m") > CHUNK).withColumn("c", mine).withColumn("o", other)
     large = large.select(F.col("root").alias("g"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("root").alias("blob"), F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"), "class", "copies", "shingles")
-    found = keep(small.unionByName(large).groupBy("g", "i", "j").applyInArrow(compare, "u bigint, v bigint, n bigint"), "jaccard")
+    found = keep(small.unionByName(large).groupBy("g", "i", "j").applyInArrow(lambda _, table: compare(table, least), "u bigint, v bigint, n bigint"), "jaccard")
     roots = keep(components(found.filter("v is not null").select("u", "v"), "jaccard"), "jaccard")
     counts = found.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("others"))
     named = classes.select("class", "key", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    final = named.join(least, "root")
+    first = named.groupBy("root").agg(F.min("key").alias("component_id"))
+    final = named.join(first, "root")
     return base, final.select("class", "key", "root", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, least=LEAST) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (least key reachable by links, itself included) and ``n_links`` for every row."""
-    base, classes = solve(docs, text, key, size)
+    base, classes = solve(docs, text, key, size, least)
     out = base.select("key", "n_shingles", "class").join(classes.drop("key"), "class", "left")
     alone = F.col("n_shingles") == 0
     return out.select(F.col("key").alias(key), "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
@@ -409,7 +409,7 @@ def wanted_bits(blobs: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def _boundary(docs, common, text, size):
+def _boundary(docs, common, text, size, least):
     """The boundary from the sizes of small sets in the corpus and the length of its lists."""
 
     def run(batches):
@@ -427,15 +427,15 @@ def _boundary(docs, common, text, size):
     got = docs.select(F.col(text).cast("string")).mapInArrow(run, "n bigint, c bigint").groupBy("n").agg(F.sum("c").alias("c")).collect()
     # rare shingles, of which lists are made, share their counter with few others
     length = float(2.0 ** (np.median(common.value.table & 15) / 1.5) - 1)
-    return choose_boundary({r.n: r.c for r in got}, max(1.0, min(length, 4.0)))
+    return choose_boundary({r.n: r.c for r in got}, max(1.0, min(length, 4.0)), least)
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, least=LEAST) -> DataFrame:
     """One row of each component, with its own columns: that of the least key, once if it is repeated.
 
     Rows without words are linked with nothing and stay.
     """
-    _, classes = solve(docs, text, key, size)
+    _, classes = solve(docs, text, key, size, least)
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class")).alias("s")).select(F.col("s.key").alias("kept_key"), F.col("s.class").alias("kept_class"))
 
     def run(texts):

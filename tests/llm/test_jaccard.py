@@ -137,3 +137,28 @@ def test_light_keys_cover_every_similar_pair():
             over = len(np.intersect1d(a, b))
             if len(b) and J.similar(over, len(a), len(b)) and not np.array_equal(a, b):
                 assert len(np.intersect1d(J.keys_of(a, common, boundary), J.keys_of(b, common, boundary)))
+
+
+def brute_at(rows, size, num, den):
+    """Component of each (key, text), by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    root = [k for k, _ in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and root[i] != root[j] and den * len(a & b) >= num * len(a | b):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    return sorted((k, r) for (k, _), r in zip(rows, root))
+
+
+@pytest.mark.parametrize("seed,chunk,light", [(1, 512, None), (2, 3, 0), (4, 512, 16)])
+def test_other_size_and_threshold_equal_brute_force(spark, monkeypatch, seed, chunk, light):
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    if light is not None:
+        monkeypatch.setattr(J, "choose_boundary", lambda *a: light)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(seed, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in J.join(df, size=5, least=(80, 100)).collect())
+    assert got == brute_at(rows, 5, 80, 100)

@@ -81,3 +81,13 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_at_five_words(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    # two words differ: 86 of 106 five-word shingles (0.811), 89 of 105 four-word ones (0.848)
+    near = [*base[:30], "x", *base[31:70], "y", *base[71:]]
+    # three more differ: 81 of 111 five-word shingles (0.730)
+    far = [*near[:10], "z", *near[11:50], "z", *near[51:90], "z", *near[91:]]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}
