@@ -3,10 +3,12 @@
 1. A character trigram model counts the letters of every document (accents
    folded, everything else a blank).
 2. A token that is not plain letters (digits or signs inside, a character three
-   times in a row, letters spelt out one by one) is seen as a word that passed a
-   noisy channel of look-alike characters, inserted separators and repetition.
-   Its lattice of readings is decoded by Viterbi search (the ``BEST`` best paths)
-   under the character model.
+   times in a row) is seen as a word that passed a noisy channel of look-alike
+   characters, inserted separators and repetition.  Its lattice of readings is
+   decoded by Viterbi search (the ``BEST`` best paths) under the character model.
+   Spacing is noise too: a gap between two tokens may be a blank or nothing.  The
+   letters beside a gap settle it under the model unless a token of one character
+   or a noisy one is there; what is not settled as a blank is decoded as a chain.
 3. Restored words are scored by a lexicon: log-odds of a word, or of its first
    three to six letters, being in toxic rather than other labelled documents,
    of which the lower confidence limit counts.  A logistic regression turns the
@@ -23,6 +25,7 @@ classes every score is the share of toxic labels (0 without labels).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import unicodedata
@@ -43,7 +46,7 @@ CLASSES = 28  # blank, a to z, any other letter
 CACHE = 400_000
 FOLDS_N = 5
 STRONG = 3.0
-MAX_TOKEN = 64  # tokens longer than this are not deobfuscated (their plain prefix features still count)
+SLACK = 1.0  # readings of a chain count if their log score is so near the best one's
 
 # Characters that are read as letters, most likely first.
 LOOK_ALIKES = {
@@ -52,6 +55,8 @@ LOOK_ALIKES = {
 }
 SEPARATORS = set(".-_*~'`^,:;/\\\"#=+!|&%")
 _KEEP, _ALIKE, _SECOND, _DROP, _REPEAT, _TWICE = 0.0, -1.2, -1.9, -0.9, -0.05, -2.5
+CACHED = 64  # weights of longer tokens are not cached
+MAX_TOKEN = 64  # tokens longer than this are not deobfuscated
 
 
 def _folds() -> dict[int, str]:
@@ -140,34 +145,164 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, lm: np.ndarray, best: int = BEST) -> list[str]:
-    """The best readings of a token: Viterbi over the lattice, keeping ``best`` paths for each two last letters."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for options in readings(token):
-        new: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        for (a, b), paths in states.items():
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """As ``readings``, but a blank may be nothing, and a separator may be a blank."""
+    out = []
+    for k, part in enumerate(token.split(" ")):
+        if k:
+            out.append([(" ", _KEEP), ("", _DROP)])
+        i = 0
+        for options in readings(part):
+            c = part[i]
+            while i < len(part) and part[i] == c:
+                i += 1
+            out.append([*options, (" ", _DROP)] if c in SEPARATORS else options)
+    return out
+
+
+def paths(steps: list[list[tuple[str, float]]], lm: list, best: int) -> list[tuple[float, str]]:
+    """The best (score, reading) of a lattice by Viterbi search, keeping ``best`` paths for each two last letters.
+
+    Time is linear in the length: a path is a chain of links, and a hash tells equal readings.
+    """
+    states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
+    for options in steps:
+        new: dict[tuple[int, int], list[tuple]] = {}
+        for (a, b), found in states.items():
             for letters, cost in options:
-                x, y, gain = a, b, cost
+                x, y, gain, tail = a, b, cost, 0
                 for ch in letters:
-                    z = ord(ch) - 96
-                    gain += float(lm[x, y, z])
-                    x, y = y, z
-                new.setdefault((x, y), []).extend((s + gain, w + letters) for s, w in paths)
+                    z = 0 if ch == " " else ord(ch) - 96
+                    # two blanks in a row are one
+                    if z or y:
+                        gain += lm[x][y][z]
+                        x, y = y, z
+                        tail = tail * CLASSES + z + 1
+                base = (CLASSES + 1) ** len(letters)
+                new.setdefault((x, y), []).extend((s + gain, (h * base + tail) % _PRIME if letters else h, (link, letters) if letters else link) for s, h, link in found)
         states = {}
-        for k, paths in new.items():
-            top: dict[str, float] = {}
-            for s, w in paths:
-                if s > top.get(w, -math.inf):
-                    top[w] = s
-            states[k] = sorted(((s, w) for w, s in top.items()), key=lambda p: (-p[0], p[1]))[:best]
-    ends = sorted(((s + float(lm[a, b, 0]), w) for (a, b), paths in states.items() for s, w in paths), key=lambda p: (-p[0], p[1]))
-    return [w for _, w in ends[:best] if w]
+        for k, found in new.items():
+            found.sort(key=lambda p: (-p[0], p[1]))
+            top: dict[int, tuple] = {}
+            for q in found:
+                if q[1] not in top:
+                    top[q[1]] = q
+                    if len(top) == best:
+                        break
+            states[k] = list(top.values())
+    ends = sorted(((s + (lm[a][b][0] if b else 0.0), h, link) for (a, b), found in states.items() for s, h, link in found), key=lambda p: (-p[0], p[1]))
+    out = []
+    for score, _, link in ends[:best]:
+        letters = []
+        while link is not None:
+            letters.append(link[1])
+            link = link[0]
+        out.append((score, "".join(reversed(letters))))
+    return out
+
+
+def rows(lm: np.ndarray) -> list:
+    """The model as lists, whose items are read faster."""
+    if _ROWS[0] is not lm:
+        _ROWS[:] = [lm, lm.tolist()]
+    return _ROWS[1]
+
+
+_ROWS: list = [None, None]
+
+
+def decode(token: str, lm: np.ndarray, best: int = BEST) -> list[str]:
+    """The best readings of a token as one word."""
+    return [w for _, w in paths(readings(token), rows(lm), best) if w]
+
 
+def split(token: str, lm: np.ndarray) -> list[str]:
+    """Words of the best readings of a token or chain with word breaks."""
+    found = paths(lattice(token), rows(lm), BEST)
+    return [w for score, text in found if score >= found[0][0] - SLACK for w in text.split()]
 
+
+_BLANK, _NOTHING, _EITHER = 0, 1, 2
+
+
+class Gaps(dict):
+    """What the gap between a token that ends in ... and one that begins with ... (two characters each) is."""
+
+    def __init__(self, lm: np.ndarray):
+        super().__init__()
+        self.lm, self.seen = lm.tolist(), {}
+
+    def __missing__(self, key):
+        if len(self) > CACHE:
+            self.clear()
+        got = self[key] = self.settle(*key)
+        return got
+
+    def settle(self, tail: str, head: str) -> int:
+        x, y = fold_text(tail), fold_text(head)
+        if len(x) > 1 and len(y) > 1 and x.isascii() and y.isascii() and x.isalpha() and y.isalpha():
+            # with two letters on both sides no other gap matters
+            a, b, c, d = (ord(ch) - 96 for ch in x[-2:] + y[:2])
+            lm = self.lm
+            return _NOTHING if lm[a][b][c] + lm[b][c][d] + _DROP > lm[a][b][0] + lm[b][0][c] + lm[0][c][d] else _BLANK
+        x, y = _FRONT.sub("", x), _BACK.sub("", y)
+        if len(y) == 1 and len(x) == 2 and x[1] in SEPARATORS:
+            x = x[0]
+        return _EITHER if x and y and _LETTER.search(x + y) and all(c in _READ for c in x + y) else _BLANK
+
+    def may_join(self, chain: list[str]) -> bool:
+        """Whether a chain has a reading that counts and is not its tokens; of two or three tokens the ends tell."""
+        if len(chain) > 3:
+            return True
+        key = " ".join([chain[0][-2:], *chain[1:-1], chain[-1][:2]])
+        got = self.seen.get(key)
+        if got is None:
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            found = paths(lattice(fold_text(key)), self.lm, 2)
+            got = self.seen[key] = any(score >= found[0][0] - SLACK and text.count(" ") < len(chain) - 1 for score, text in found)
+        return got
+
+    def words(self, tokens: list[str]) -> tuple[list[str], list[str]]:
+        """Runs of tokens with nothing in their gaps, and chains (with blanks) of which only a lattice can tell."""
+        gaps = list(map(self.__getitem__, zip([t[-2:] for t in tokens], [t[:2] for t in tokens[1:]])))
+        glued, chains, n = [], [], len(gaps)
+        i = 0
+        while i < n:
+            if not gaps[i]:
+                i += 1
+                continue
+            j = i
+            parts, open_ = [tokens[i]], False
+            while j < n and gaps[j]:
+                if gaps[j] == _NOTHING:
+                    parts[-1] += tokens[j + 1]
+                else:
+                    parts.append(tokens[j + 1])
+                    open_ = True
+                j += 1
+            if open_ and self.may_join(parts):
+                chains.append(" ".join(parts))
+            if not open_:
+                glued.append(parts[0])
+            elif len(parts) <= j - i:
+                glued += parts
+            i = j + 1
+        return glued, chains
+
+
+_PRIME = (1 << 61) - 1
+_LETTER = re.compile("[a-z]")
+_READ = set("abcdefghijklmnopqrstuvwxyz") | set(LOOK_ALIKES) - SEPARATORS
+_FRONT = re.compile(r"^[^a-z0-9@$!|+(€£¡]+")
+_BACK = re.compile(r"[^a-z0-9@$]+$")
 _EDGE = re.compile(r"^[^a-z0-9@$!|+(€£¡]+|[^a-z0-9@$]+$")
 _MARKS = re.compile(r"^([^a-z0-9])\1+|([^a-z0-9])\2+$")
+_THRICE = re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"[^a-z]|(.)\1\1")
-_SPELT = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
+
+
+_SPELT = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
 def restore(token: str, lm: np.ndarray) -> list[str]:
@@ -175,8 +310,16 @@ def restore(token: str, lm: np.ndarray) -> list[str]:
     core = _EDGE.sub("", _MARKS.sub("", token))
     if not _NOISE.search(core):
         return [core] if core else []
-    if len(core) > MAX_TOKEN or not re.search("[a-z]", core):
+    if not re.search("[a-z]", core) or (len(core) > MAX_TOKEN and " " not in core):
         return []
+    if " " in core:
+        # its tokens are seen by themselves
+        seen = {_EDGE.sub("", t) for t in core.split(" ")}
+        words = split(core, lm)
+        # letters spelt out are also read without the words beside them, and as one word
+        for m in _SPELT.finditer(core):
+            words += [*split(m[0], lm), *restore(m[0].replace(" ", ""), lm)]
+        return [w for w in dict.fromkeys(words) if w not in seen]
     plain = re.sub("[^a-z]", "", core)
     return list(dict.fromkeys([*decode(core, lm), plain]))
 
@@ -191,16 +334,14 @@ def hash_text(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def spelt(text: str) -> list[str]:
-    """Words that are spelt out one character at a time."""
-    return [re.sub(r"\s", "", m[0]) for m in _SPELT.finditer(text)]
-
-
-def tokens(text: str | None) -> set[str]:
+def tokens(text: str | None, gaps: Gaps) -> tuple[set[str], set[str]]:
+    """Tokens and chains of tokens that may be parts of words; runs of tokens that are words in pieces."""
     if not text:
-        return set()
-    low = text.lower()
-    return {*low.split(), *spelt(low)}
+        return set(), set()
+    words = text.lower().split()
+    glued, chains = gaps.words(words)
+    seen = {*words, *chains}
+    return seen, set(glued) - seen
 
 
 @dataclass
@@ -210,9 +351,10 @@ class Model:
     coef: np.ndarray  # of strongest word, its excess over STRONG, sum of the next, constant
     prior: float = 0.0
     cache: dict = field(default_factory=dict, repr=False)
+    gaps: Gaps | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "cache": {}, "gaps": None}
 
     def word(self, token: str) -> float:
         got = 0.0
@@ -223,7 +365,9 @@ class Model:
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Weight of the strongest word, and the sum over the next four."""
-        seen = tokens(text)
+        if self.gaps is None:
+            self.gaps = Gaps(self.lm)
+        seen, glued = tokens(text, self.gaps)
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
@@ -232,10 +376,16 @@ class Model:
             w = cache.get(t)
             if w is None:
                 w = self.word(t)
-                if len(t) <= MAX_TOKEN:
+                if len(t) <= CACHED:
                     cache[t] = w
             if w:
                 got.append(w)
+        # hardly any comes again, so they stay out of the cache
+        weight = self.weight
+        for t in glued:
+            w = max([weight.get(k, 0.0) for k in features(t)]) if t.isascii() and t.isalpha() and not _THRICE.search(t) else self.word(t)
+            if w:
+                got.append(w)
         got.sort(reverse=True)
         return (got[0] if got else 0.0), sum(got[1:5])
 
@@ -326,14 +476,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         df: dict[int, Counter] = {}
         n = np.zeros(2 * FOLDS_N, np.int64)
         cache: dict[str, list[int]] = {}
+        gaps = Gaps(bare.lm)
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = set()
-                for token in tokens(t):
+                whole, glued = tokens(t, gaps)
+                for token in itertools.chain(whole, glued):
                     got = cache.get(token)
                     if got is None:
                         got = [k for w in restore(fold_text(token), bare.lm) for k in features(w)]
-                        if len(cache) < CACHE:
+                        if len(cache) < CACHE and len(token) <= CACHED:
                             cache[token] = got
                     seen.update(got)
                 df.setdefault(g, Counter()).update(seen)

@@ -75,3 +75,51 @@ def test_labels_of_one_kind_or_none(spark):
     assert X.rate(docs.limit(0), m, carry=["doc_id"]).count() == 0
     assert 0 <= m.score("a b") < 0.5
     assert F is not None
+
+
+def plain_viterbi(token, lm):
+    """Best reading of a lattice with blanks, by trying all paths."""
+    best = (-np.inf, "")
+    for path in itertools.product(*X.lattice(token)):
+        cost, a, b = sum(p[1] for p in path), 0, 0
+        for ch in "".join(p[0] for p in path):
+            z = 0 if ch == " " else ord(ch) - 96
+            if z or b:
+                cost += lm[a, b, z]
+                a, b = b, z
+        cost += lm[a, b, 0] if b else 0
+        if cost > best[0] + 1e-9:
+            best = (cost, "".join(p[0] for p in path).split())
+    return best
+
+
+def test_lattice_with_blanks_is_searched_whole():
+    rng = np.random.default_rng(1)
+    lm = np.log(rng.dirichlet(np.ones(X.CLASSES), (X.CLASSES, X.CLASSES))).astype(np.float32)
+    for token in ("a m o r o n", "1d 10t", "foo,mor.on", "i d i o t", "sc um a"):
+        score, words = plain_viterbi(token, lm)
+        got = X.paths(X.lattice(token), lm.tolist(), X.BEST)
+        assert abs(got[0][0] - score) < 1e-4 and got[0][1].split() == words
+
+
+def test_gaps_are_what_the_whole_lattice_says():
+    rng = np.random.default_rng(2)
+    lm = np.log(rng.dirichlet(np.ones(X.CLASSES), (X.CLASSES, X.CLASSES))).astype(np.float32)
+    gaps = X.Gaps(lm)
+    for _ in range(60):
+        # no letter twice in a word, which would have more readings
+        words = ["".join(chr(97 + c) for c in rng.permutation(26)[: int(rng.integers(2, 5))]) for _ in range(6)]
+        glued, chains = gaps.words(words)
+        read = plain_viterbi(" ".join(words), lm)[1]
+        assert not chains and {w for w in read if w not in words} == set(glued)
+
+
+def test_spacing(spark):
+    _, m = model(spark, texts(400))
+    plain = "quick brown fox sit"
+    assert m.score(plain) < 0.5
+    spaced = ("a i d i o t", "s c u m l o s e r", "f o x i d i o t", "id iot", "1d 10t", "i d iot", "lo ser")
+    for word in spaced:
+        assert m.score(plain + " " + word + " fox") > 0.5, word
+    for word in ("a b r o w n", "qu ick", "f o x b r o w n"):
+        assert m.score(plain + " " + word + " fox") < 0.5, word
