@@ -56,7 +56,6 @@ LOOK_ALIKES = {
 SEPARATORS = set(".-_*~'`^,:;/\\\"#=+!|&%")
 _KEEP, _ALIKE, _SECOND, _DROP, _REPEAT, _TWICE = 0.0, -1.2, -1.9, -0.9, -0.05, -2.5
 CACHED = 64  # weights of longer tokens are not cached
-MAX_TOKEN = 64  # tokens longer than this are not deobfuscated
 
 
 def _folds() -> dict[int, str]:
@@ -303,6 +302,7 @@ _NOISE = re.compile(r"[^a-z]|(.)\1\1")
 
 
 _SPELT = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_CUT = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 
 
 def restore(token: str, lm: np.ndarray) -> list[str]:
@@ -310,7 +310,7 @@ def restore(token: str, lm: np.ndarray) -> list[str]:
     core = _EDGE.sub("", _MARKS.sub("", token))
     if not _NOISE.search(core):
         return [core] if core else []
-    if not re.search("[a-z]", core) or (len(core) > MAX_TOKEN and " " not in core):
+    if not re.search("[a-z]", core):
         return []
     if " " in core:
         # its tokens are seen by themselves
@@ -321,7 +321,12 @@ def restore(token: str, lm: np.ndarray) -> list[str]:
             words += [*split(m[0], lm), *restore(m[0].replace(" ", ""), lm)]
         return [w for w in dict.fromkeys(words) if w not in seen]
     plain = re.sub("[^a-z]", "", core)
-    return list(dict.fromkeys([*decode(core, lm), plain]))
+    words = [*decode(core, lm), plain]
+    if any(c in SEPARATORS for c in core):
+        parts = [p for p in _CUT.split(core) if p]
+        words += split(core, lm)
+        words += [w for p in parts if len(parts) > 1 for w in ([p] if p.isalpha() else decode(p, lm))]
+    return list(dict.fromkeys(words))
 
 
 def features(word: str) -> list[int]:

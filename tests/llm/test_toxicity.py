@@ -114,12 +114,14 @@ def test_gaps_are_what_the_whole_lattice_says():
         assert not chains and {w for w in read if w not in words} == set(glued)
 
 
-def test_spacing(spark):
+def test_spacing_and_long_tokens(spark):
     _, m = model(spark, texts(400))
     plain = "quick brown fox sit"
     assert m.score(plain) < 0.5
     spaced = ("a i d i o t", "s c u m l o s e r", "f o x i d i o t", "id iot", "1d 10t", "i d iot", "lo ser")
-    for word in spaced:
+    joined = ("fox,idiot", "fox/l0s3r", "fox-" * 30 + "idiot", "fox." * 20 + "1d10t", ".".join("brown" * 20) + ",i.d.i.o.t", " ".join("fox" * 40) + " i d i o t")
+    for word in spaced + joined:
         assert m.score(plain + " " + word + " fox") > 0.5, word
-    for word in ("a b r o w n", "qu ick", "f o x b r o w n"):
+    for word in ("a b r o w n", "qu ick", "fox,brown", "fox-" * 30 + "brown", "f o x b r o w n"):
         assert m.score(plain + " " + word + " fox") < 0.5, word
+    assert m.score("x1," * 30_000) < 0.5 and m.score("a 1 " * 30_000) < 0.5
