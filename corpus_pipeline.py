@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Winnowing against the benchmark; documents with a window's worth of words from any item go."""
-    return decontaminate.filter_clean(docs, table(spark, sf_dir, "benchmark"), items=1, words=decontaminate.WINDOW)
+    """Winnowing against the benchmark; documents with a window of any item go (a shorter item, from five words on, is one window)."""
+    return decontaminate.filter_clean(docs, table(spark, sf_dir, "benchmark"), items=1, shortest=decontaminate.K)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, keep
+from seriesloom.llm.common import fields, keep, map_text
 
 K = 5
 WINDOW = 8
@@ -217,6 +217,18 @@ def contaminated(least: int = 2):
     return F.col("n_items") >= least
 
 
-def filter_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", items: int = 2, words: int = 0) -> DataFrame:
-    """The rows of ``docs`` with windows of fewer than ``items`` items, or fewer than ``words`` words hit, with their own columns."""
-    return scan(docs, benchmark, text).filter(~(contaminated(items) & (F.col("n_hit") >= words))).select("row.*")
+def filter_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", items: int = 2, shortest: int = 0, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with windows of fewer than ``items`` items, with their own columns.
+
+    Items of fewer than ``shortest`` words do not count.  With ``items`` = 1 any window does, that of an item without id too.
+    """
+    if shortest:
+
+        def count(texts):
+            data, off = X.buffers(texts)
+            return [X.scan(data, off, X.ALNUM).counts().astype(np.int64)]
+
+        counted = map_text(benchmark, item_text, [item, item_text], fields("item_words bigint"), count)
+        benchmark = counted.filter(F.col("item_words") >= shortest).drop("item_words")
+    hit = F.col("n_hit") > 0 if items == 1 else contaminated(items)
+    return scan(docs, benchmark, text, item, item_text).filter(~hit).select("row.*")

@@ -91,3 +91,12 @@ def test_near_copies_at_five_words(spark, tmp_path):
     far = [*near[:10], "z", *near[11:50], "z", *near[51:90], "z", *near[91:]]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_decontamination_decides_by_item(spark, tmp_path):
+    seven, nine = "one two three four five six seven", "a b c d e f g h i"
+    items = [(1, seven), (2, "yes"), (3, "not this one"), (None, nine), (4, None), (5, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"x {seven} y"), (2, "yes " * 9), (3, "not this one " * 5), (4, f"x {nine[2:]} y"), (5, "a b c d e f g x"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {2, 3, 5, 6}
