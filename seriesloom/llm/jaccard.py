@@ -2,30 +2,41 @@
 
 Documents with equal shingle sets form a class; one member stands for all.
 
-Candidates come from keys that similar sets must share.
 *Light* sets (at most ``boundary`` shingles) give every subset of theirs that may
 be the common part with a similar set: all subsets of fixed sizes n, n - 1, ...
 down to the least overlap.  *Heavy* sets are entered in inverted lists under
 their rarest shingles (as many as a similar set cannot all lack).  Light sets
 that a heavy set may resemble are in the lists too.  The boundary is where
-subsets begin to cost more than lists, from the sizes in the corpus and the
-length of its lists.
-
-Lists and subset groups are read as stars: every member gets an edge to the
-least one.  Connected components of the stars are *blobs*; no similar pair
-crosses two blobs.  In a blob all overlaps are counted exactly, as products of
-0/1 matrices.  A blob of more than ``CHUNK`` classes is cut into chunks and every
-pair of chunks becomes a group of its own, so no task holds a large group and no
-pair is ever a row: only one link per joined class, and link counts, come out.
+subsets begin to cost more than lists, from the sizes of the corpus's sets and the
+lengths of the lists that its shingles would have.
+
+Lists (and groups of one subset) of two classes or more are scanned; of lists with
+the same members one is.  An entry carries the set's size and a signature of
+``64 * WORDS`` bits, each the parity of the shingles that fall on it.  Sizes bound the
+overlap that two similar sets need, and the bits in which signatures differ bound
+the overlap that they can have; what passes both is a candidate.  A scan walks
+along candidates, so a group of near copies costs little more than one look at each
+member, and documents that merely share a passage are not joined.  A list of more than ``LIST`` classes is cut
+into chunks, and every pair of chunks becomes a group of its own.
+
+What candidates connect is compared exactly: all overlaps within a connected part
+are counted, as products of 0/1 matrices.  No similar pair crosses two parts.  Parts too large for one
+task are cut like long lists, so no task holds a large group and no
+pair is ever a row: only links that connect, and link counts, come out.
 
 Order of shingles: by a sketch of document frequencies (2**SKETCH counters of four
 bits, the same size for any corpus), then by hash.  Any order gives the same links; a good
-one keeps common passages out of the lists.
+one keeps common passages out of the lists.  Where a large corpus fills the
+sketch, lists of common passages are scanned (and cut) instead of avoided.
+
+Classes are told apart by 128-bit hashes of their sets, shingles by 64-bit hashes.
 
 Defined results: a null text, or one without words, has no shingles and is its
 own component with no links; a text of fewer than ``SIZE`` words is one shingle;
-a null doc_id never names a component unless nothing else can; repeated rows
-are linked like any equal texts.
+texts of any length are read whole; a null doc_id never names a component unless
+nothing else can; repeated rows are linked like any equal texts; ties cannot arise
+(a component is named by its least doc_id); an empty table gives an empty table;
+other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +47,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
@@ -44,10 +55,13 @@ from seriesloom.llm.common import fields, forget, keep, map_text
 
 SIZE = 4
 LEAST = (85, 100)  # least similarity, as a fraction
-SKETCH = 26
-SLICES = 1024
-CHUNK = 512
-GROUP = 2048  # classes of small blobs that are compared in one group
+SKETCH = 24
+SLICES = 512
+WORDS = 16  # of 64 bits, in a signature
+LIST = 32_768  # classes of a list that are scanned in one group
+SHORT = 16  # lists of up to so many classes are scanned many at a time
+CHUNK, WEIGHT = 2048, 1 << 19  # classes, and shingles, that are compared in one group
+BROADCAST = 500_000  # most rows of two numbers that are broadcast
 MOST_LIGHT = 24  # no set with more shingles is light, whatever the costs
 _U = np.uint64
 
@@ -87,9 +101,14 @@ def _shingles(part, size):
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """64-bit name of a set (0 for the empty one)."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
+def digest(s: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Bit b is the parity of the shingles that fall on it."""
+    return np.packbits(np.bincount(((s >> _U(8)) & _U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1).tobytes()
 
 
 class Sketch:
@@ -126,36 +145,54 @@ def places(b: bytes) -> np.ndarray:
     return (np.cumsum(x)[ends] + np.arange(1, int(ends.sum()) + 1)) - 1
 
 
-def sketch(docs: DataFrame, text: str = "text", size: int = SIZE) -> Sketch:
-    """The sketch over every document; tasks send the counters that they have raised, packed, by slice of the sketch."""
+def survey(docs: DataFrame, text: str = "text", size: int = SIZE) -> tuple[Sketch, dict[int, int]]:
+    """The sketch, and how many sets of each small size there are, over every document.
+
+    Tasks send the counters that they have raised, packed, by slice of the sketch.
+    """
     width = (1 << SKETCH) // SLICES
 
     def count(batches):
-        total = np.zeros(1 << SKETCH, np.uint8)
+        total, sizes = np.zeros(1 << SKETCH, np.uint8), np.zeros(MOST_LIGHT + 1, np.int64)
         for batch in batches:
             for _, part in X.pieces(batch.column(0)):
                 data, off = X.buffers(part)
-                h, _, _ = X.windows(X.scan(data, off, X.SPACED), size)
-                at, n = np.unique(Sketch.bucket(h), return_counts=True)
+                words = X.scan(data, off, X.SPACED)
+                n = words.counts()
+                n = np.where(n < size, np.minimum(n, 1), n - size + 1)
+                sizes += np.bincount(n[n <= MOST_LIGHT], minlength=MOST_LIGHT + 1)
+                h, _, _ = X.windows(words, size)
+                at = np.sort(Sketch.bucket(h))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+                n, at = np.diff(first, append=len(at)), at[first]
                 total[at] = np.minimum(255, total[at] + n)
         for s in range(SLICES):
             part = total[s * width : (s + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([gaps(at)], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["slice", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], ["slice", "at", "n"])
 
     def add(key, table):
-        total = np.zeros(width, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[places(at)] += np.frombuffer(n, np.uint8)
-        q = Sketch.scale(total)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(q[::2] | q[1::2] << 4).tobytes()], pa.binary())], names=["slice", "q"])
+        s = key[0].as_py()
+        if s < 0:
+            out = np.sum([np.frombuffer(n, np.int64) for n in table.column("n").to_pylist()], axis=0).tobytes()
+        else:
+            total = np.zeros(width, np.int64)
+            for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
+                total[places(at)] += np.frombuffer(n, np.uint8)
+            q = Sketch.scale(total)
+            out = (q[::2] | q[1::2] << 4).tobytes()
+        return pa.table([pa.array([s], pa.int32()), pa.array([out], pa.binary())], names=["slice", "q"])
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "slice int, at binary, n binary")
-    out = Sketch()
+    out, sizes = Sketch(), {}
     for r in counted.groupBy("slice").applyInArrow(add, "slice int, q binary").collect():
-        out.table[r.slice * width // 2 : (r.slice + 1) * width // 2] = np.frombuffer(r.q, np.uint8)
-    return out
+        if r.slice < 0:
+            sizes = dict(enumerate(np.frombuffer(r.q, np.int64).tolist()))
+        else:
+            out.table[r.slice * width // 2 : (r.slice + 1) * width // 2] = np.frombuffer(r.q, np.uint8)
+    return out, sizes
 
 
 def light_cost(n: int, least=LEAST) -> int:
@@ -163,9 +200,26 @@ def light_cost(n: int, least=LEAST) -> int:
     return sum(math.comb(n, k) for k in range(n - need(n, least) + 1))
 
 
-def choose_boundary(sizes: dict[int, int], list_length: float, least=LEAST) -> int:
-    """The largest size up to which subsets cost no more than list entries and the comparisons they lead to."""
-    heavy = lambda n: (n - need(n, least) + 1) * (1 + list_length * n)
+def list_lengths(common: Sketch) -> np.ndarray:
+    """How long the list of a random shingle of a random document would be: 101 quantiles."""
+    n = np.zeros(16)
+    for half in (common.table & np.uint8(15), common.table >> np.uint8(4)):
+        n += np.bincount(half, minlength=16)
+    length = 2.0 ** (np.arange(16) / 1.5) - 1
+    share = np.cumsum(n * length)
+    return length[np.searchsorted(share, share[-1] * np.linspace(1e-6, 1, 101) * (1 - 1e-12))] if share[-1] else np.ones(101)
+
+
+def choose_boundary(sizes: dict[int, int], lengths: np.ndarray, least=LEAST) -> int:
+    """The largest size up to which subsets cost no more than list entries and the looks at other entries that they lead to.
+
+    A set is entered under its rarest shingles, so the j-th of its lists is as long as the j-th least of n lengths.
+    """
+
+    def heavy(n):
+        lists = n - need(n, least) + 1
+        return sum(1 + max(1.0, float(lengths[100 * j // (n + 1)])) for j in range(1, lists + 1))
+
     total_light = total_heavy = 0.0
     best = 0
     for n in range(1, MOST_LIGHT + 1):
@@ -185,16 +239,16 @@ def keys_of(s: np.ndarray, common: Sketch, boundary: int, least=LEAST) -> np.nda
         total = s.sum(dtype=_U)
         for k in range(n - need(n, least) + 1):
             drop = np.array([sum(c, _U(0)) for c in combinations(s, k)], _U) if k else np.zeros(1, _U)
-            out.append(X.mix((total - drop) * _U(2) + _U(n - k) * _U(0x9E3779B97F4A7C15)) | _U(1))
+            out.append(X.mix((total - drop) * _U(2) + _U((n - k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) | _U(1))
     if n >= need(boundary + 1, least):
         first = np.lexsort((s, common.of(s)))[: n - need(n, least) + 1]
         out.append(X.mix(s[first]) & ~_U(1))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def describe(docs: DataFrame, common, boundary: int, text: str, carry: list[str], size: int, least=LEAST) -> DataFrame:
-    """Size, class and keys of every document."""
-    src = docs.select(*[F.col(c) for c in carry], F.col(text).cast("string").alias("text_in"))
+def describe(docs: DataFrame, common, boundary: int, text: str, key: str, size: int, least=LEAST) -> DataFrame:
+    """Size, name, signature and keys of every document's set."""
+    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text_in"))
 
     def run(batches):
         for batch in batches:
@@ -202,13 +256,111 @@ def describe(docs: DataFrame, common, boundary: int, text: str, carry: list[str]
                 sets = _shingles(part, size)
                 new = [
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([class_of(s) for s in sets], pa.int64()),
+                    pa.array([digest(s) for s in sets], pa.binary()),
+                    pa.array([signature(s) for s in sets], pa.binary()),
                     pa.array([keys_of(s, common.value, boundary, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(part)) for c in carry], *new], [*carry, "n_shingles", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), *new], ["key", "n_shingles", "digest", "sig", "keys"])
+
+    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{kept}, n_shingles bigint, class bigint, keys array<bigint>")
+
+def passes(sig: np.ndarray, n: np.ndarray, i, j, least=LEAST) -> np.ndarray:
+    """Whether the sets i and j (equally shaped or broadcast against each other) may be similar, by sizes and signatures."""
+    a, b = n[i], n[j]
+    over = -(-least[0] * (a + b) // (least[0] + least[1]))
+    differ = np.zeros(np.broadcast_shapes(np.shape(a), np.shape(b)), np.int32)
+    for w in range(sig.shape[1]):
+        differ += np.bitwise_count(sig[:, w][i] ^ sig[:, w][j])
+    return (over <= np.minimum(a, b)) & (differ <= a + b - 2 * over)
+
+
+def walk(sig: np.ndarray, n: np.ndarray, split: int, least=LEAST, most: int = 32, wide: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what candidates connect: of all entries, or of entries before ``split`` with the others.
+
+    Breadth first; an entry is compared with those not reached yet.
+    """
+    side = np.arange(len(n)) >= split if split else np.zeros(len(n), bool)
+    unseen = np.arange(len(n))
+    u, v = [], []
+
+    def look(block, others):
+        got = [passes(sig, n, block[:, None], others[None, at : at + wide], least) for at in range(0, len(others), wide)]
+        return np.concatenate(got, axis=1) if got else np.zeros((len(block), 0), bool)
+
+    while len(unseen):
+        # the block that a walk begins with is also compared with itself, unless its entries are all of one side
+        front, unseen = unseen[:most], unseen[most:]
+        if split:
+            front, unseen = front[side[front] == side[front[0]]], np.concatenate([front[side[front] != side[front[0]]], unseen])
+        else:
+            x, y = np.nonzero(np.triu(look(front, front), 1))
+            u.append(front[y])
+            v.append(front[x])
+        while len(front) and len(unseen):
+            block = front[:most]
+            if split:
+                block = block[side[block] == side[block[0]]]
+            front = front[len(block) :] if not split else front[~np.isin(front, block)]
+            others = unseen[side[unseen] != side[block[0]]] if split else unseen
+            hit = look(block, others)
+            new = hit.any(axis=0)
+            u.append(others[new])
+            v.append(block[hit[:, new].argmax(axis=0)] if new.any() else np.zeros(0, np.int64))
+            front = np.concatenate([front, others[new]])
+            unseen = unseen[~np.isin(unseen, others[new])] if split else others[~new]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
+
+
+def settle(ok: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Least label of each connected part of stacked graphs: ``ok`` (graph, i, j) is symmetric, ``label`` (graph, i)."""
+    while True:
+        new = np.minimum(label, np.where(ok, label[:, None, :], np.iinfo(label.dtype).max).min(axis=2))
+        if (new == label).all():
+            return label
+        label = new
+
+
+def scan(table, least=LEAST):
+    """One group: many short lists, one list, or a pair of chunks of a long one; edges (u, v) that connect its candidates."""
+    table = table.combine_chunks()
+    k, side, name, n = (table.column(c).to_numpy() for c in ("k", "side", "class", "n"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), _U).reshape(-1, WORDS)
+    order = np.lexsort((name, side, k))
+    k, side, name, n, sig = k[order], side[order], name[order], n[order], sig[order]
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+    length = np.diff(edges)
+    u, v = [], []
+    for m in range(2, SHORT + 1):
+        lists = edges[:-1][length == m]
+        for at in range(0, len(lists), 4096 // m):
+            i = lists[at : at + 4096 // m, None] + np.arange(m)
+            ok = passes(sig, n, i[:, :, None], i[:, None, :], least)
+            label = settle(ok, np.broadcast_to(np.arange(m), i.shape))
+            g, x = np.nonzero(label != np.arange(m))
+            u.append(name[i[g, x]])
+            v.append(name[i[g, label[g, x]]])
+    for at in np.flatnonzero(length > SHORT):
+        a, b = edges[at], edges[at + 1]
+        split = int((side[a:b] == 0).sum())
+        x, y = walk(sig[a:b], n[a:b], 0 if split == b - a else split, least)
+        u.append(name[a:b][x])
+        v.append(name[a:b][y])
+    pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *u]), np.concatenate([np.zeros(0, np.int64), *v])], axis=1), axis=0)
+    return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
+
+
+def dealt(rows: DataFrame, group: str, chunks: Column, bins: int, columns: list[str]) -> DataFrame:
+    """Rows of (``group``, class, ``columns``) dealt into groups (``cut``, g, i, j): small groups share ``bins``; one of several chunks
+    becomes a group for each pair of them, with ``side`` 0 and 1."""
+    mine = F.pmod(F.xxhash64("class"), F.col("chunks_"))
+    rows = rows.withColumn("chunks_", chunks.cast("bigint")).withColumn("c_", mine).withColumn("o_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks_") - 1)))
+    cut = F.col("chunks_") > 1
+    return rows.select(
+        cut.alias("cut"), F.when(cut, F.col(group)).otherwise(F.pmod(F.xxhash64(group), F.lit(bins))).alias("g"), F.least("c_", "o_").alias("i"), F.greatest("c_", "o_").alias("j"),
+        F.when(F.col("c_") <= F.col("o_"), 0).otherwise(1).alias("side"), group, *[c for c in columns if c != group],
+    )
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -233,7 +385,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         after = _print(new)
         cur, same, before = new, after == before, after
         if same:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = keep(cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name)
+            forget(cur)
+            return out
 
 
 def _print(edges: DataFrame):
@@ -269,39 +423,39 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
 def links(names: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split: int, least=LEAST):
     """(class, class) links that join what is similar, and each class's links to documents of other classes here."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2 and not split:
+        if not similar(len(np.intersect1d(*sets, assume_unique=True)), *sizes, least):
+            return [], np.zeros(2, np.int64)
+        return [(int(names.max()), int(names.min()))], copies[::-1]
     left = split or len(sets)
     over = overlaps(sets, split)
     ok = similar(over, sizes[:left, None], sizes[None, split:], least) & (over > 0)
     if not split:
         np.fill_diagonal(ok, False)
-    i, j = np.nonzero(ok)
     count = np.zeros(len(sets), np.int64)
-    np.add.at(count, i, copies[j + split])
+    count[:left] += ok @ copies[split:]
     if split:
-        np.add.at(count, j + split, copies[i])
-    root = np.arange(len(sets))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), (j + split).tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-    # a star for each component found here
-    centre: dict[int, int] = {}
-    for x in range(len(sets)):
-        centre[find(x)] = min(centre.get(find(x), int(names[x])), int(names[x]))
-    joined = [(int(names[x]), centre[find(x)]) for x in range(len(sets)) if int(names[x]) != centre[find(x)]]
-    return joined, count
+        count[split:] += copies[:left] @ ok
+    order = np.argsort(names)
+    label = np.empty(len(sets), np.int64)
+    label[order] = np.arange(len(sets))
+    most = np.iinfo(np.int64).max
+    while True:
+        new = label.copy()
+        new[:left] = np.minimum(new[:left], np.where(ok, label[None, split:], most).min(axis=1, initial=most))
+        if split:
+            new[split:] = np.minimum(new[split:], np.where(ok, new[:left, None], most).min(axis=0, initial=most))
+        if (new == label).all():
+            break
+        label = new
+    centre = names[order][label]
+    moved = np.flatnonzero(centre != names)
+    return list(zip(names[moved].tolist(), centre[moved].tolist())), count
 
 
 def compare(table, least=LEAST):
     """One group: every blob in it, or one pair of chunks of a large blob; rows of links (u, v) and of counts (u, n)."""
-    blob, side = table.column("blob").to_numpy(), table.column("side").to_numpy()
+    blob, side = table.column("root").to_numpy(), table.column("side").to_numpy()
     names, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
     raw = table.column("shingles").to_pylist()
     order = np.lexsort((names, side, blob))
@@ -323,125 +477,102 @@ def compare(table, least=LEAST):
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
 
-def _keep_classes(common_sets, size):
-    """Arrow function: (text) -> (class, shingles) of classes that may be among the wanted."""
+def _only(rows: DataFrame, wanted: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``h`` is (or with ``left_anti`` is not) among the ``n`` rows of ``wanted``: without a shuffle if those are few."""
+    return rows.join(F.broadcast(wanted) if n <= BROADCAST else wanted, "h", how).drop("h")
+
+
+def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """(digest, shingles) of every document's set."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
             for _, part in X.pieces(batch.column(0)):
-                names, sets = [], []
-                for s in _shingles(part, size):
-                    c = class_of(s)
-                    if len(s) and c not in seen and common_sets.value.may_have(c):
-                        if len(seen) < 1 << 20:
-                            seen.add(c)
-                        names.append(c)
-                        sets.append(s.tobytes())
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
-
-    return run
+                sets = [s for s in _shingles(part, size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, shingles binary")
 
-class Wanted:
-    """Bloom filter over classes that lists or subsets have joined."""
 
-    def __init__(self, bits: int, table: np.ndarray):
-        self.bits, self.table = bits, table
-
-    def may_have(self, c: int) -> bool:
-        at = c >> (64 - self.bits) & ((1 << self.bits) - 1)
-        return bool(self.table[at >> 3] >> (at & 7) & 1)
+def candidates(classes: DataFrame, bins: int, least=LEAST) -> DataFrame:
+    """Edges (u, v) between classes that connect everything that may be similar."""
+    keys = classes.select("class", F.explode("keys").alias("k"))
+    # of lists with the same members (told by two hashes over them) one is scanned
+    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    lists = keys.groupBy("k").agg(*members).filter("m > 1").groupBy("m", "x", "y").agg(F.min("k").alias("k")).select("k", "m")
+    entries = keys.join(lists, "k").join(classes.select("class", "n", "sig"), "class")
+    groups = dealt(entries, "k", F.ceil(F.col("m") / LIST), bins, ["class", "n", "sig"])
+    return groups.groupBy("cut", "g", "i", "j").applyInArrow(lambda _, table: scan(table, least), "u bigint, v bigint")
 
 
 def solve(docs: DataFrame, text: str, key: str, size: int, least=LEAST) -> tuple[DataFrame, DataFrame]:
-    """Every row's (key, n_shingles, class), and every class's (class, key, root, component_id, n_links)."""
-    sc = docs.sparkSession.sparkContext
-    common = sc.broadcast(sketch(docs, text, size))
-    boundary = _boundary(docs, common, text, size, least)
-    base = keep(describe(docs, common, boundary, text, [key], size, least).withColumnRenamed(key, "key"), "jaccard")
-    classes = keep(
-        base.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "jaccard"
-    )
-    keys = classes.select("class", F.explode("keys").alias("k"))
-    hubs = keys.groupBy("k").agg(F.min("class").alias("hub"), F.max("class").alias("top")).filter("hub != top").select("k", "hub")
-    star = keys.join(hubs, "k").filter("class != hub").select(F.col("class").alias("u"), F.col("hub").alias("v"))
-    blobs = keep(components(star, "jaccard"), "jaccard")
-    n_blobs = blobs.count()
-    wanted = sc.broadcast(Wanted(*wanted_bits(blobs, n_blobs)))
-    sets = docs.select(F.col(text).cast("string")).mapInArrow(_keep_classes(wanted, size), "class bigint, shingles binary")
-    sizes = blobs.groupBy("root").agg(F.count("*").alias("m"))
-    members = blobs.join(sizes, "root").join(classes.select(F.col("class").alias("node"), "copies"), "node")
-    members = members.join(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), F.col("node") == F.col("class"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("bigint")
-    groups = max(1, n_blobs // GROUP)
-    mine = F.pmod(F.xxhash64("class"), chunks)
-    small = members.filter(F.col("m") <= CHUNK).select(F.pmod(F.xxhash64("root"), F.lit(groups)).alias("g"), F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.col("root").alias("blob"), F.lit(0).alias("side"), "class", "copies", "shingles")
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
-    large = members.filter(F.col("m") > CHUNK).withColumn("c", mine).withColumn("o", other)
-    large = large.select(F.col("root").alias("g"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("root").alias("blob"), F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"), "class", "copies", "shingles")
-    found = keep(small.unionByName(large).groupBy("g", "i", "j").applyInArrow(lambda _, table: compare(table, least), "u bigint, v bigint, n bigint"), "jaccard")
-    roots = keep(components(found.filter("v is not null").select("u", "v"), "jaccard"), "jaccard")
+    """Every row's (key, n_shingles, digest), and every class's (digest, key, root, component_id, n_links); both written."""
+    common, sizes = survey(docs, text, size)
+    boundary = choose_boundary(sizes, list_lengths(common), least)
+    shipped = docs.sparkSession.sparkContext.broadcast(common)
+    base = keep(describe(docs, shipped, boundary, text, key, size, least), "jaccard")
+    shipped.destroy()
+    del common, shipped
+    one = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    # ids are given where rows are written, and read from there
+    classes = keep(one.withColumn("class", F.monotonically_increasing_id()), "jaccard")
+    blobs = components(candidates(classes, max(1, classes.count() // CHUNK), least), "jaccard")
+    members = keep(blobs.join(classes.select(F.col("class").alias("node"), "digest", "key", "copies", "n"), "node").withColumnRenamed("node", "class"), "jaccard")
+    forget(blobs)
+    n_members, weight = members.agg(F.count("*"), F.sum("n")).first()
+    wanted = members.select(F.xxhash64("key").alias("h")).distinct()
+    texts = _only(docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text_in")), wanted, n_members)
+    sets = _sets(texts, "text_in", size).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    parts = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("w") / WEIGHT))
+    groups = dealt(members.join(parts, "root").join(sets, "digest"), "root", chunks, max(1, (weight or 0) // WEIGHT), ["class", "copies", "shingles"])
+    found = keep(groups.groupBy("cut", "g", "i", "j").applyInArrow(lambda _, table: compare(table, least), "u bigint, v bigint, n bigint"), "jaccard")
+    roots = components(found.filter("v is not null").select("u", "v"), "jaccard")
     counts = found.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("others"))
-    named = classes.select("class", "key", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
+    named = classes.select("class", "digest", "key", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     first = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    final = named.join(first, "root")
-    return base, final.select("class", "key", "root", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    final = keep(named.join(first, "root").select("digest", "key", "class", "root", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard")
+    for t in (classes, members, found, roots):
+        forget(t)
+    return base, final
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, least=LEAST) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (least key reachable by links, itself included) and ``n_links`` for every row."""
     base, classes = solve(docs, text, key, size, least)
-    out = base.select("key", "n_shingles", "class").join(classes.drop("key"), "class", "left")
     alone = F.col("n_shingles") == 0
+    # the empty set is the name of no class
+    out = base.select("key", "n_shingles", "digest").join(classes.select("digest", "component_id", "n_links"), "digest", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
-def wanted_bits(blobs: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """Bitmap over the high bits of the class names in ``blobs``."""
-    bits = min(27, max(20, (64 * max(1, n)).bit_length()))
-    at = f"shiftrightunsigned(node, {64 - bits})"
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in blobs.groupBy(F.expr(f"({at}) div 32768").alias("b")).agg(F.expr(f"bitmap_construct_agg(({at}) % 32768)").alias("m")).collect():
-        out[r.b * 4096 : (r.b + 1) * 4096] |= np.frombuffer(r.m, np.uint8)
-    return bits, out
-
-
-def _boundary(docs, common, text, size, least):
-    """The boundary from the sizes of small sets in the corpus and the length of its lists."""
-
-    def run(batches):
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for _, part in X.pieces(batch.column(0)):
-                data, off = X.buffers(part)
-                n = X.scan(data, off, X.SPACED).counts()
-                n = np.where(n < size, np.minimum(n, 1), n - size + 1)
-                at, c = np.unique(n[n <= MOST_LIGHT], return_counts=True)
-                for x, y in zip(at.tolist(), c.tolist()):
-                    seen[x] = seen.get(x, 0) + y
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n", "c"])
-
-    got = docs.select(F.col(text).cast("string")).mapInArrow(run, "n bigint, c bigint").groupBy("n").agg(F.sum("c").alias("c")).collect()
-    # rare shingles, of which lists are made, share their counter with few others
-    length = float(2.0 ** (np.median(common.value.table & 15) / 1.5) - 1)
-    return choose_boundary({r.n: r.c for r in got}, max(1.0, min(length, 4.0)), least)
-
-
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, least=LEAST) -> DataFrame:
     """One row of each component, with its own columns: that of the least key, once if it is repeated.
 
     Rows without words are linked with nothing and stay.
     """
-    _, classes = solve(docs, text, key, size, least)
-    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class")).alias("s")).select(F.col("s.key").alias("kept_key"), F.col("s.class").alias("kept_class"))
+    base, classes = solve(docs, text, key, size, least)
+    least_of = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class", "digest")).alias("s")
+    kept = classes.groupBy("root").agg(least_of).select("s.key", "s.digest")
+    # a key that stands once tells its row; of the others the texts decide
+    per_key = base.groupBy("key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most"))
+    known = per_key.join(kept.select("key").distinct().withColumn("stays", F.lit(True)), "key", "left")
+    # (and of keys with one hash)
+    often = F.bool_or(F.col("key").isNull() | (F.col("rows") > 1)) | (F.count("*") > 1)
+    stays = F.bool_and(F.col("stays").isNotNull() | (F.col("most") == 0))
+    fate = keep(known.groupBy(F.xxhash64("key").alias("h")).agg(often.alias("often"), stays.alias("stays")).filter("often or not stays").drop("stays"), "jaccard")
+    n_gone, n_often = (int(x or 0) for x in fate.agg(F.count("*"), F.sum(F.col("often").cast("int"))).first())
+    rows = docs.select(F.struct("*").alias("row")).withColumn("h", F.xxhash64(F.col(f"row.`{key}`")))
+    plain = _only(rows, fate.select("h"), n_gone, "left_anti").select("row.*")
+    if not n_often:
+        return plain
 
     def run(texts):
         sets = _shingles(texts, size)
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())]
 
-    rows = map_text(docs, text, None, fields("n_shingles bigint, class bigint"), run).withColumn("key", F.col(f"row.`{key}`"))
-    linked = rows.filter("n_shingles > 0").join(kept, (F.col("class") == F.col("kept_class")) & F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
-    return linked.dropDuplicates(["class", "key"]).select("row.*").unionByName(rows.filter("n_shingles = 0").select("row.*"))
+    odd = _only(rows, fate.filter("often").select("h"), n_often).select("row.*")
+    odd = map_text(odd, text, None, fields("n_shingles bigint, digest binary"), run).withColumn("key", F.col(f"row.`{key}`"))
+    linked = odd.filter("n_shingles > 0").join(kept.toDF("kept_key", "kept_digest"), (F.col("digest") == F.col("kept_digest")) & F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
+    return plain.unionByName(linked.dropDuplicates(["digest", "key"]).select("row.*")).unionByName(odd.filter("n_shingles = 0").select("row.*"))

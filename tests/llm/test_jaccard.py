@@ -65,6 +65,8 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("seed,chunk,light", [(1, 512, None), (2, 4, None), (3, 3, 0), (4, 512, 19)])
 def test_join_equals_brute_force(spark, monkeypatch, seed, chunk, light):
     monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "LIST", chunk)
+    monkeypatch.setattr(J, "BROADCAST", chunk % 3 * 100)
     if light is not None:
         monkeypatch.setattr(J, "choose_boundary", lambda *a: light)
     rows = corpus(seed)
@@ -75,6 +77,7 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, chunk, light):
 
 def test_large_near_copy_group(spark, monkeypatch):
     monkeypatch.setattr(J, "CHUNK", 16)
+    monkeypatch.setattr(J, "LIST", 32)
     rng = random.Random(0)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -122,7 +125,11 @@ def test_gaps():
 
 def test_boundary_follows_cost():
     assert J.light_cost(6) == 1 and J.light_cost(10) == 11
-    assert J.choose_boundary({}, 1.0) < J.choose_boundary({}, 4.0) <= J.MOST_LIGHT
+    assert J.choose_boundary({}, np.full(101, 1.0)) < J.choose_boundary({}, np.full(101, 8.0)) <= J.MOST_LIGHT
+    common = J.Sketch()
+    assert J.list_lengths(common).tolist() == [1.0] * 101
+    common.table[:10] = 0x33
+    assert set(J.list_lengths(common)) == {3.0}
 
 
 def test_light_keys_cover_every_similar_pair():
@@ -162,3 +169,73 @@ def test_other_size_and_threshold_equal_brute_force(spark, monkeypatch, seed, ch
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in J.join(df, size=5, least=(80, 100)).collect())
     assert got == brute_at(rows, 5, 80, 100)
+
+
+def sets_of(rng, n):
+    """Sets around a few centres, some of them alike."""
+    centres = [rng.integers(1, 1 << 62, int(k), dtype=np.uint64) for k in rng.integers(2, 300, 6)]
+    out = []
+    for _ in range(n):
+        c = centres[rng.integers(len(centres))]
+        c = c[rng.random(len(c)) > rng.choice([0, 0.03, 0.1, 0.4])]
+        out.append(np.unique(np.concatenate([c, rng.integers(1, 1 << 62, int(rng.integers(0, 9)), dtype=np.uint64)])))
+    return [s for s in out if len(s)]
+
+
+def parts(n, edges):
+    root = list(range(n))
+    for i, j in edges:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("n,split", [(2, 0), (7, 0), (40, 0), (90, 0), (90, 30), (40, 39)])
+def test_scan_connects_every_candidate_and_misses_no_similar_pair(n, split):
+    rng = np.random.default_rng(n + split)
+    sets = sets_of(rng, n)
+    split = min(split, len(sets) - 1)
+    sig = np.frombuffer(b"".join(J.signature(s) for s in sets), np.uint64).reshape(-1, J.WORDS)
+    size = np.array([len(s) for s in sets])
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if not split or (i < split) != (j < split)]
+    ok = [(i, j) for i, j in every if J.passes(sig, size, np.array([i]), np.array([j]))[0]]
+    for i, j in every:
+        if J.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+            assert (i, j) in ok
+    u, v = J.walk(sig, size, split, most=5, wide=7)
+    assert parts(len(sets), ok) == parts(len(sets), zip(u.tolist(), v.tolist()))
+    if not split:
+        import pyarrow as pa
+
+        two = 2 * len(sets)
+        table = pa.table({"k": [5, 9] * len(sets), "side": [0] * two, "class": np.repeat(np.arange(len(sets)), 2), "n": np.repeat(size, 2), "sig": [J.signature(s) for s in sets for _ in range(2)]})
+        got = J.scan(table)
+        assert parts(len(sets), zip(*[got.column(c).to_pylist() for c in "uv"])) == parts(len(sets), ok)
+
+
+def test_shared_passage_joins_nothing(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(k, " ".join(f"w{rng.random()}" for _ in range(200)) + " " + passage) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common, sizes = J.survey(df)
+    assert sum(sizes.values()) == 0
+    base = J.keep(J.describe(df, spark.sparkContext.broadcast(J.Sketch()), 0, "text", "doc_id", 4), "test")
+    from pyspark.sql import functions as F
+
+    classes = base.select("digest", F.col("key").alias("class"), F.col("n_shingles").alias("n"), "sig", "keys")
+    assert J.candidates(classes, 3).count() == 0
+    assert {r.n_links for r in J.join(df).collect()} == {0}
+
+
+def test_long_text_of_one_word(spark):
+    rows = [(1, "w " * 200_000), (2, "w " * 150_000 + "x"), (3, "w w w w"), (4, "w w w w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.join(df).collect())) == [(1, 1, 1, 1), (2, 2, 2, 1), (3, 1, 1, 1), (4, 2, 2, 1)]
+
+
+def test_extra_columns_and_null_keys(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", 1, "x"), (None, "a b c d e f", 2, "y"), (None, "other words here now", 3, "z"), (4, "", 4, "w")], "doc_id long, text string, k int, digest string")
+    got = J.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(r.k for r in got.collect())[1:] == [3, 4]
