@@ -305,8 +305,14 @@ def walk(sig: np.ndarray, n: np.ndarray, split: int, least=LEAST, most: int = 32
             others = unseen[side[unseen] != side[block[0]]] if split else unseen
             hit = look(block, others)
             new = hit.any(axis=0)
-            u.append(others[new])
-            v.append(block[hit[:, new].argmax(axis=0)] if new.any() else np.zeros(0, np.int64))
+            if new.any():
+                hit = hit[:, new]
+                u.append(others[new])
+                v.append(block[hit.argmax(axis=0)])
+                # entries of the block that reach the same one, which may belong to walks begun apart
+                x, y = np.nonzero(np.triu(hit.astype(np.float32) @ hit.T.astype(np.float32), 1))
+                u.append(block[y])
+                v.append(block[x])
             front = np.concatenate([front, others[new]])
             unseen = unseen[~np.isin(unseen, others[new])] if split else others[~new]
     none = np.zeros(0, np.int64)

@@ -190,7 +190,7 @@ def parts(n, edges):
     return root
 
 
-@pytest.mark.parametrize("n,split", [(2, 0), (7, 0), (40, 0), (90, 0), (90, 30), (40, 39)])
+@pytest.mark.parametrize("n,split", [(2, 0), (7, 0), (40, 0), (90, 0), (91, 0), (200, 0), (90, 30), (93, 50), (40, 39)])
 def test_scan_connects_every_candidate_and_misses_no_similar_pair(n, split):
     rng = np.random.default_rng(n + split)
     sets = sets_of(rng, n)
