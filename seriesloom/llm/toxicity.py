@@ -11,20 +11,24 @@
    or a noisy one is there; what is not settled as a blank is decoded as a chain.
 3. Restored words are scored by a lexicon: log-odds of a word, or of its first
    three to six letters, being in toxic rather than other labelled documents,
-   of which the lower confidence limit counts.  A logistic regression turns the
-   strongest words of a text into a probability.
+   of which the lower confidence limit counts.  Words of scripts without a decoder
+   stand for themselves.  A logistic regression turns the strongest word of a text
+   and the (damped) sum over all others into a probability.
 
 Labels come from at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id (a
 documented bound); the character model covers all documents.
 
 Defined results: null and empty text have no words and get the score of a text
-without evidence; repeated rows get equal scores; without labelled rows of both
-classes every score is the share of toxic labels (0 without labels).
+without evidence; texts and tokens of any length are read whole; repeated rows get
+equal scores; a doc_id with several labels counts as toxic if one says so, and one
+with several texts is learnt from its least; of labelled rows with equal hashes the
+lesser doc_id comes first; without labelled rows of both classes every score is the
+share of toxic labels (0 without labels); an empty table gives an empty table;
+other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import math
 import re
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, map_text
+from seriesloom.llm.common import fields, keep, map_text
 
 SAMPLE = 16_000
 BEST = 4
@@ -262,8 +266,31 @@ class Gaps(dict):
             got = self.seen[key] = any(score >= found[0][0] - SLACK and text.count(" ") < len(chain) - 1 for score, text in found)
         return got
 
+    def patterns(self, chain: list[str]) -> list[tuple[bool, ...]]:
+        """Which gaps of a chain of plain words are nothing, in each reading that counts and joins some.
+
+        Letters are as they stand, so a reading is a choice for each gap, and of the outer words the ends tell.
+        """
+        key = (chain[0][-2:], *chain[1:-1], chain[-1][:2])
+        got = self.seen.get(key)
+        if got is None:
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            lm, scores = self.lm, {}
+            for choice in itertools.product((False, True), repeat=len(key) - 1):
+                x = y = 0
+                total = _DROP * sum(choice)
+                for part, nothing in zip(key, (True, *choice)):
+                    for z in ([] if nothing else [0]) + [ord(c) - 96 for c in part]:
+                        total += lm[x][y][z]
+                        x, y = y, z
+                scores[choice] = total + lm[x][y][0]
+            best = max(scores.values())
+            got = self.seen[key] = [c for c, score in scores.items() if score >= best - SLACK and any(c)]
+        return got
+
     def words(self, tokens: list[str]) -> tuple[list[str], list[str]]:
-        """Runs of tokens with nothing in their gaps, and chains (with blanks) of which only a lattice can tell."""
+        """Words made of several tokens, and chains (with blanks) of which only a lattice can tell."""
         gaps = list(map(self.__getitem__, zip([t[-2:] for t in tokens], [t[:2] for t in tokens[1:]])))
         glued, chains, n = [], [], len(gaps)
         i = 0
@@ -276,20 +303,39 @@ class Gaps(dict):
             while j < n and gaps[j]:
                 if gaps[j] == _NOTHING:
                     parts[-1] += tokens[j + 1]
+                elif _NUMBER.match(tokens[j]) or _NUMBER.match(tokens[j + 1]) or (len(tokens[j]) > 2 and tokens[j][-1] in SEPARATORS):
+                    # a plain number, or a word before a mark, is no piece of a word
+                    break
                 else:
                     parts.append(tokens[j + 1])
                     open_ = True
                 j += 1
-            if open_ and self.may_join(parts):
-                chains.append(" ".join(parts))
             if not open_:
-                glued.append(parts[0])
-            elif len(parts) <= j - i:
-                glued += parts
+                if j > i:
+                    glued.append(parts[0])
+            else:
+                if len(parts) <= j - i:
+                    glued += parts
+                letters = " ".join(parts).rstrip(_BEHIND).lstrip(_BEFORE).translate(FOLDS)
+                simple = len(parts) <= 3 and letters.isascii() and letters.replace(" ", "").isalpha()
+                if simple:
+                    parts = letters.split(" ")
+                    for choice in self.patterns(parts) if len(parts) > 1 else ():
+                        word = parts[0]
+                        for part, nothing in zip(parts[1:], choice):
+                            if nothing:
+                                word += part
+                            else:
+                                glued.append(word)
+                                word = part
+                        glued.append(word)
+                elif self.may_join(parts):
+                    chains.append(" ".join(parts))
             i = j + 1
         return glued, chains
 
 
+_NUMBER = re.compile(r"\d{3,}[.,;:!?]?$")
 _PRIME = (1 << 61) - 1
 _LETTER = re.compile("[a-z]")
 _READ = set("abcdefghijklmnopqrstuvwxyz") | set(LOOK_ALIKES) - SEPARATORS
@@ -297,7 +343,7 @@ _FRONT = re.compile(r"^[^a-z0-9@$!|+(€£¡]+")
 _BACK = re.compile(r"[^a-z0-9@$]+$")
 _EDGE = re.compile(r"^[^a-z0-9@$!|+(€£¡]+|[^a-z0-9@$]+$")
 _MARKS = re.compile(r"^([^a-z0-9])\1+|([^a-z0-9])\2+$")
-_THRICE = re.compile(r"(.)\1\1")
+_THRICE = re.compile(r"(\S)\1\1")
 _NOISE = re.compile(r"[^a-z]|(.)\1\1")
 
 
@@ -308,10 +354,13 @@ _CUT = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 def restore(token: str, lm: np.ndarray) -> list[str]:
     """What a folded token may stand for; a plain word stands for itself."""
     core = _EDGE.sub("", _MARKS.sub("", token))
+    if not token.isascii():
+        # letters that the lattice doesn't know stand for themselves
+        letters = "".join(filter(str.isalpha, token))
+        if letters and not letters.isascii():
+            return [letters, *(restore(core, lm) if core.isascii() else [])]
     if not _NOISE.search(core):
         return [core] if core else []
-    if not re.search("[a-z]", core):
-        return []
     if " " in core:
         # its tokens are seen by themselves
         seen = {_EDGE.sub("", t) for t in core.split(" ")}
@@ -326,73 +375,85 @@ def restore(token: str, lm: np.ndarray) -> list[str]:
         parts = [p for p in _CUT.split(core) if p]
         words += split(core, lm)
         words += [w for p in parts if len(parts) > 1 for w in ([p] if p.isalpha() else decode(p, lm))]
-    return list(dict.fromkeys(words))
+    return [w for w in dict.fromkeys(words) if w]
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a restored word and of its beginnings."""
-    keys = ["=" + word] + ["^" + word[:k] for k in (3, 4, 5, 6) if len(word) > k]
-    return [hash_text(k) for k in keys]
-
-
-def hash_text(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def features(word: str) -> list[str]:
+    """A restored word and its beginnings."""
+    return ["=" + word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
 
 
 def tokens(text: str | None, gaps: Gaps) -> tuple[set[str], set[str]]:
-    """Tokens and chains of tokens that may be parts of words; runs of tokens that are words in pieces."""
+    """Plain words (letters only, none three times in a row) in a text, joined tokens among them; and what must be restored."""
     if not text:
         return set(), set()
-    words = text.lower().split()
+    text = _RUNS.sub("", text.lower())
+    words = text.split()
     glued, chains = gaps.words(words)
-    seen = {*words, *chains}
-    return seen, set(glued) - seen
+    thrice = _THRICE.search(text) is not None
+    plain, noisy = set(), set(chains)
+    for t in {*words, *glued}:
+        if not t.isalpha():
+            t = t.rstrip(_BEHIND).lstrip(_BEFORE)
+        if not t.isascii():
+            t = t.translate(FOLDS)
+        if t.isalpha() and not (thrice and _THRICE.search(t)):
+            plain.add(t)
+        elif t:
+            noisy.add(t)
+    return plain, noisy
+
+
+#: A mark that is repeated before or after a token is no part of it.
+_RUNS = re.compile(r"(?<!\S)([^\w\s])\1+|([^\w\s])\2+(?!\S)")
+#: Marks that ``restore`` takes from the ends of a token in any case.
+_BEHIND = ".,;:!?\"'»”’)]}>-*_"
+_BEFORE = ".,;:?\"'«“‘[{<-*_"
+BEGINNINGS = (3, 4, 5, 6)
 
 
 @dataclass
 class Model:
     lm: np.ndarray
-    weight: dict[int, float]  # of each telling feature
-    coef: np.ndarray  # of strongest word, its excess over STRONG, sum of the next, constant
+    weight: dict[str, float]  # of each telling feature
+    coef: np.ndarray  # of strongest word, its excess over STRONG, damped sum of the others, constant
     prior: float = 0.0
     cache: dict = field(default_factory=dict, repr=False)
     gaps: Gaps | None = field(default=None, repr=False)
+    heads: set = field(default_factory=set, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "gaps": None}
+        return {**self.__dict__, "cache": {}, "gaps": None, "heads": set()}
+
+    def plain(self, word: str) -> float:
+        get = self.weight.get
+        return max(map(get, features(word), itertools.repeat(0.0)))
 
     def word(self, token: str) -> float:
-        got = 0.0
-        for w in restore(fold_text(token), self.lm):
-            for k in features(w):
-                got = max(got, self.weight.get(k, 0.0))
-        return got
+        return max(map(self.plain, restore(fold_text(token), self.lm)), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
-        """Weight of the strongest word, and the sum over the next four."""
+        """Weight of the strongest word, and the logarithm of one and the sum over all others."""
         if self.gaps is None:
             self.gaps = Gaps(self.lm)
-        seen, glued = tokens(text, self.gaps)
-        cache = self.cache
+            # how telling features begin: hardly any word needs more than a look here
+            self.heads = {k[1 : 1 + BEGINNINGS[0]] for k in self.weight}
+        plain, noisy = tokens(text, self.gaps)
+        cache, heads = self.cache, self.heads
         if len(cache) > CACHE:
             cache.clear()
-        got = []
-        for t in seen:
+        got = [self.plain(t) for t in plain if t[:3] in heads]
+        for t in noisy:
             w = cache.get(t)
             if w is None:
                 w = self.word(t)
                 if len(t) <= CACHED:
                     cache[t] = w
-            if w:
-                got.append(w)
-        # hardly any comes again, so they stay out of the cache
-        weight = self.weight
-        for t in glued:
-            w = max([weight.get(k, 0.0) for k in features(t)]) if t.isascii() and t.isalpha() and not _THRICE.search(t) else self.word(t)
-            if w:
-                got.append(w)
-        got.sort(reverse=True)
-        return (got[0] if got else 0.0), sum(got[1:5])
+            got.append(w)
+        if not got:
+            return 0.0, 0.0
+        most = max(got)
+        return most, math.log1p(math.fsum(got) - most)
 
     def score(self, text: str | None) -> float:
         a, b = self.evidence(text)
@@ -417,7 +478,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def lexicon(at: np.ndarray, df: np.ndarray, n: np.ndarray) -> dict[int, float]:
+def lexicon(at: list[str], df: np.ndarray, n: np.ndarray) -> dict[str, float]:
     """Weights of the features ``at`` from document frequencies ``df[class, feature]`` among ``n[class]`` documents.
 
     The lower 95 % limit of the log-odds; features in fewer than three toxic documents, or in under 0.2 % of them, weigh nothing.
@@ -426,7 +487,7 @@ def lexicon(at: np.ndarray, df: np.ndarray, n: np.ndarray) -> dict[int, float]:
     odds = np.log((t + 0.5) / (n[1] - t + 0.5)) - np.log((c + 0.5) / (n[0] - c + 0.5))
     limit = odds - 1.96 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     ok = (t >= max(3, 0.002 * n[1])) & (limit > 1.0)
-    return dict(zip(at[ok].tolist(), limit[ok].tolist()))
+    return {at[i]: float(limit[i]) for i in np.flatnonzero(ok)}
 
 
 def signature(texts) -> np.ndarray:
@@ -444,76 +505,74 @@ def signature(texts) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _distinct(docs: DataFrame, known: dict, schema, text: str, key: str) -> dict:
-    """One labelled row of those with the same signature and label, so that copies do not vouch for each other's words."""
-    if not known:
-        return known
-    ids = F.broadcast(docs.sparkSession.createDataFrame(list(known), schema["k"].dataType).toDF("k"))
-    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(ids, "k")
-    rows = map_text(src, "t", ["k"], fields("s bigint"), lambda texts: [signature(texts)]).collect()
-    first: dict = {}
-    for r in sorted(rows, key=lambda r: r.k):
-        first.setdefault((r.s, known[r.k]), r.k)
-    return {k: known[k] for k in first.values()}
-
-
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """``docs`` are all documents (for the character model); ``labels`` the rows to learn from."""
+    spark = docs.sparkSession
     lm = char_model(docs, text)
-    marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    chosen = marks.dropDuplicates(["k"]).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(sample)
-    known = _distinct(docs, {r.k: r.y for r in chosen.collect()}, marks.schema, text, key)
+    marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    chosen = marks.orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(sample)
+    known = {r.k: r.y for r in chosen.collect()}
     ys = list(known.values())
+    if known:
+        # at most ``sample`` keys, and a text for each
+        ids = F.broadcast(spark.createDataFrame(list(known.items()), marks.schema))
+        texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(ids, "k")
+        fold = (F.crc32(F.col("k").cast("string").cast("binary")).bitwiseAND(F.lit(0x7FFF)) % FOLDS_N).cast("int")
+        rows = keep(texts.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", (F.col("y") * FOLDS_N + fold).alias("g"), "t"), "labelled")
+        # one row of those with the same signature and label, so that copies do not vouch for each other's words
+        first: dict = {}
+        for r in sorted(map_text(rows, "t", ["k", "y"], fields("s bigint"), lambda part: [signature(part)]).collect(), key=lambda r: r.k):
+            first.setdefault((r.s, r.y), (r.k, r.y))
+        ys = [y for _, y in first.values()]
     share = sum(ys) / len(ys) if ys else 0.0
     odds = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     none = Model(lm, {}, np.array([0, 0, 0, max(-30.0, odds)]), share)
     if not ys or share in (0.0, 1.0):
         return none
-    spark = docs.sparkSession
-    # at most ``sample`` keys
-    ids = F.broadcast(spark.createDataFrame(list(known.items()), marks.schema))
-    fold = (F.crc32(F.col("k").cast("string").cast("binary")).bitwiseAND(F.lit(0x7FFF)) % FOLDS_N).cast("int")
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null")
-    rows = texts.join(ids, "k").select((F.col("y") * FOLDS_N + fold).alias("g"), "t")
-    bare = Model(lm, {}, np.zeros(4))
+    rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in first.values()], marks.select("k").schema)), "k").select("g", "t")
+    bare = spark.sparkContext.broadcast(lm)
 
     def count(batches):
         df: dict[int, Counter] = {}
-        n = np.zeros(2 * FOLDS_N, np.int64)
-        cache: dict[str, list[int]] = {}
-        gaps = Gaps(bare.lm)
+        cache: dict[str, list[str]] = {}
+        gaps, model = Gaps(bare.value), bare.value
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = set()
-                whole, glued = tokens(t, gaps)
-                for token in itertools.chain(whole, glued):
+                plain, noisy = tokens(t, gaps)
+                seen = {k for w in plain for k in features(w)}
+                for token in noisy:
                     got = cache.get(token)
                     if got is None:
-                        got = [k for w in restore(fold_text(token), bare.lm) for k in features(w)]
+                        got = [k for w in restore(fold_text(token), model) for k in features(w)]
                         if len(cache) < CACHE and len(token) <= CACHED:
                             cache[token] = got
                     seen.update(got)
                 df.setdefault(g, Counter()).update(seen)
-                n[g] += 1
-                if sum(map(len, df.values())) > 4 * CACHE:
-                    yield from send(df, n)
-                    df, n = {}, np.zeros(2 * FOLDS_N, np.int64)
-        yield from send(df, n)
+                if sum(map(len, df.values())) > CACHE:
+                    yield from send(df)
+                    df = {}
+        yield from send(df)
 
-    def send(df, n):
+    def send(df):
         for g, seen in df.items():
-            # a null feature counts the documents
-            yield pa.RecordBatch.from_arrays([pa.array([g] * (len(seen) + 1), pa.int32()), pa.array([*seen, None], pa.int64()), pa.array([*seen.values(), int(n[g])], pa.int64())], ["g", "at", "n"])
-
-    sums = [F.sum(F.when(F.col("g") == g, F.col("n"))).alias(f"n{g}") for g in range(2 * FOLDS_N)]
-    toxic = F.sum(F.when(F.col("g") >= FOLDS_N, F.col("n")))
-    # features of three toxic documents or more, of at most ``sample`` documents
-    got = rows.mapInArrow(count, "g int, at bigint, n bigint").groupBy("at").agg(*sums, toxic.alias("t")).filter("t >= 3").drop("t").collect()
-    n = np.array([[x or 0 for x in r[1:]] for r in got if r.at is None] or np.zeros((1, 2 * FOLDS_N)), np.int64).reshape(-1, 2, FOLDS_N).sum(axis=0)
-    at = np.array([r.at for r in got if r.at is not None], np.int64)
-    df = np.array([[x or 0 for x in r[1:]] for r in got if r.at is not None], np.int64).reshape(-1, 2, FOLDS_N).transpose(1, 2, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "at", "n"])
+
+    n = np.zeros(2 * FOLDS_N, np.int64)
+    for r in rows.groupBy("g").count().collect():
+        n[r[0]] = r[1]
+    n = n.reshape(2, FOLDS_N)
     if not n.sum(axis=1).all():
         return none
+    sums = [F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n"))), F.lit(0)).alias(f"n{g}") for g in range(2 * FOLDS_N)]
+    toxic, other = (F.sum(F.when((F.col("g") >= FOLDS_N) == y, F.col("n")).otherwise(0)) for y in (True, False))
+    # what may weigh something in some lexicon: in enough toxic documents, and more often there than elsewhere; at most
+    # 500 per beginning and toxic document on average, and as a rule a few thousand in all
+    counted = rows.mapInArrow(count, "g int, at string, n bigint").groupBy("at").agg(*sums, toxic.alias("t"), other.alias("c"))
+    least = max(3, 0.0016 * float(n[1].sum()))
+    got = counted.filter((F.col("t") >= least) & (F.col("t") * float(n[0].sum()) > F.col("c") * float(n[1].sum()))).drop("t", "c").collect()
+    bare.destroy()
+    at = [r.at for r in got]
+    df = np.array([list(r[1:]) for r in got], np.int64).reshape(-1, 2, FOLDS_N).transpose(1, 2, 0)
     model = Model(lm, lexicon(at, df.sum(axis=1), n.sum(axis=1)), np.zeros(4), share)
     # a row's evidence for the regression comes from a lexicon that has not seen its fold
     others = [Model(lm, lexicon(at, df.sum(axis=1) - df[:, k], n.sum(axis=1) - n[:, k]), np.zeros(4)) for k in range(FOLDS_N)]
@@ -526,6 +585,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array([x // FOLDS_N for x in g], pa.int32()), *[pa.array([x[i] for x in e], pa.float64()) for i in range(2)]], ["y", "a", "b"])
 
     seen = np.array(rows.mapInArrow(look, "y int, a double, b double").collect(), float)
+    shipped.destroy()
     seen = seen[np.lexsort(seen.T)]
     model.coef = logistic(np.column_stack([seen[:, 1], np.maximum(0, seen[:, 1] - STRONG), seen[:, 2]]), seen[:, 0])
     return model

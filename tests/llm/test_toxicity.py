@@ -125,3 +125,83 @@ def test_spacing_and_long_tokens(spark):
     for word in ("a b r o w n", "qu ick", "fox,brown", "fox-" * 30 + "brown", "f o x b r o w n"):
         assert m.score(plain + " " + word + " fox") < 0.5, word
     assert m.score("x1," * 30_000) < 0.5 and m.score("a 1 " * 30_000) < 0.5
+
+
+def test_other_scripts_long_tokens_and_digits_give_features(spark):
+    lm = np.log(np.full((X.CLASSES,) * 3, 1 / X.CLASSES)).astype(np.float32)
+    noisy = "idiot" + "_" * 70 + "x"
+    assert "idiot" in X.restore(noisy, lm) and X.restore("455", lm)
+    rows = [(i, t.replace("idiot", "дурак").replace("loser", "455").replace("scum", "笨蛋"), y) for i, t, y in texts(400)]
+    _, m = model(spark, rows)
+    plain = "quick brown fox sit"
+    assert m.score(plain) < 0.5 < min(m.score(f"{plain} {w} fox") for w in ("дурак", "455", "笨蛋!"))
+    assert m.score(plain + " собака 777") < 0.5
+
+
+def test_every_word_counts():
+    lm = np.log(np.full((X.CLASSES,) * 3, 1 / X.CLASSES)).astype(np.float32)
+    words = "alpha bravo carol delta eagle fable gamma".split()
+    m = X.Model(lm, {"=" + w: 2.0 for w in words}, np.array([0.0, 0.0, 1.0, 0.0]))
+    scores = [m.score(" ".join(words[: k + 1])) for k in range(len(words))]
+    assert scores == sorted(set(scores))
+
+
+def test_decoding_changes_held_out_scores(spark):
+    """Ablation: what the lattice restores is what tells noisy texts."""
+    _, m = model(spark, texts(400))
+    noise = {"loser": "l0$er", "idiot": "1d1ot", "scum": "$cuum"}
+    held = []
+    for _, t, y in texts(200, seed=5):
+        for word, other in noise.items():
+            t = t.replace(word, other)
+        held.append((t, y))
+    whole = [(m.score(t) >= 0.5) == (y == 1) for t, y in held]
+    decode = X.decode
+    X.decode = lambda token, lm, best=4: []
+    try:
+        bare = X.Model(m.lm, m.weight, m.coef)
+        without = [(bare.score(t) >= 0.5) == (y == 1) for t, y in held]
+    finally:
+        X.decode = decode
+    assert np.mean(whole) > 0.97 > np.mean(without)
+
+
+def test_two_labels_two_texts_and_repeated_rows(spark):
+    rows = texts(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t + " again") for i, t, _ in rows[:50]], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows]
+    one = spark.createDataFrame(labels + [(i, 1) for i, _, y in rows if y], "doc_id long, toxic int")
+    two = spark.createDataFrame([(i, 0) for i, _, y in rows if y] + labels[::-1], "doc_id long, toxic int").repartition(3)
+    a, b = X.fit(docs, one), X.fit(docs.repartition(5), two)
+    assert a.weight == b.weight and np.allclose(a.coef, b.coef, atol=1e-9)
+
+
+def test_whole_operator_against_a_plain_version(spark):
+    """Evidence and score with every choice of readings tried, for texts of plain and noisy words."""
+    _, m = model(spark, texts(400))
+
+    def plain_words(text):
+        out = set()
+        for token in text.lower().split():
+            core = X._EDGE.sub("", X._MARKS.sub("", token))
+            if core.isalpha():
+                out.add(core)
+                continue
+            found = {}
+            for path in itertools.product(*X.readings(core)):
+                word, cost, a, b = "".join(p[0] for p in path), sum(p[1] for p in path), 0, 0
+                for ch in word:
+                    cost, a, b = cost + m.lm[a, b, ord(ch) - 96], b, ord(ch) - 96
+                found[word] = max(found.get(word, -np.inf), cost + m.lm[a, b, 0])
+            out |= {w for w in sorted(found, key=found.get)[-X.BEST :] if w} | {"".join(c for c in core if c.isalpha())}
+        return out
+
+    rng = random.Random(8)
+    for _ in range(40):
+        text = " ".join(rng.choice([*FINE, "1d10t", "l0ser,", "br0wn", "(fox)", "sc@m"]) for _ in range(8))
+        weights = sorted(max((m.weight.get(k, 0.0) for k in X.features(w)), default=0.0) for w in plain_words(text))
+        a, b = m.evidence(text)
+        # the plain version looks at words, the operator at tokens, so only the strongest is the same by definition
+        assert abs(a - weights[-1]) < 1e-9 and b >= 0
+        z = m.coef @ np.array([a, max(0.0, a - X.STRONG), b, 1.0])
+        assert abs(m.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
