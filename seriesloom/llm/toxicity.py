@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ CLASSES = 28  # blank, a to z, any other letter
 CACHE = 400_000
 FOLDS_N = 5
 STRONG = 3.0
+DAMP = 0.8
 SLACK = 1.0  # readings of a chain count if their log score is so near the best one's
 
 # Characters that are read as letters, most likely first.
@@ -253,6 +255,17 @@ class Gaps(dict):
             x = x[0]
         return _EITHER if x and y and _LETTER.search(x + y) and all(c in _READ for c in x + y) else _BLANK
 
+    def between(self, looks, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the gap after each token (but the last) of a sequence is, and whether its letters make three in a row."""
+        tails, heads = looks.tail.dictionary.to_pylist(), looks.head.dictionary.to_pylist()
+        tail, head = looks.tail.indices.to_numpy().astype(np.int64), looks.head.indices.to_numpy().astype(np.int64)
+        pair = pa.array(tail[code[:-1]] * len(heads) + head[code[1:]], pa.int64()).dictionary_encode()
+        which = [divmod(p, len(heads)) for p in pair.dictionary.to_pylist()]
+        state = np.array([self[tails[a], heads[b]] for a, b in which], np.int8)
+        thrice = np.array([_THRICE.search(tails[a] + heads[b]) is not None for a, b in which], bool)
+        at = pair.indices.to_numpy()
+        return state[at], thrice[at]
+
     def may_join(self, chain: list[str]) -> bool:
         """Whether a chain has a reading that counts and is not its tokens; of two or three tokens the ends tell."""
         if len(chain) > 3:
@@ -289,18 +302,14 @@ class Gaps(dict):
             got = self.seen[key] = [c for c, score in scores.items() if score >= best - SLACK and any(c)]
         return got
 
-    def words(self, tokens: list[str]) -> tuple[list[str], list[str]]:
-        """Words made of several tokens, and chains (with blanks) of which only a lattice can tell."""
-        gaps = list(map(self.__getitem__, zip([t[-2:] for t in tokens], [t[:2] for t in tokens[1:]])))
+    def run(self, tokens: list[str], gaps: list[int]) -> tuple[list[str], list[str]]:
+        """Words made of several of some tokens between which no gap is a blank for sure, and chains (with blanks) of which only a lattice can tell."""
         glued, chains, n = [], [], len(gaps)
         i = 0
         while i < n:
-            if not gaps[i]:
-                i += 1
-                continue
             j = i
             parts, open_ = [tokens[i]], False
-            while j < n and gaps[j]:
+            while j < n:
                 if gaps[j] == _NOTHING:
                     parts[-1] += tokens[j + 1]
                 elif _NUMBER.match(tokens[j]) or _NUMBER.match(tokens[j + 1]) or (len(tokens[j]) > 2 and tokens[j][-1] in SEPARATORS):
@@ -317,8 +326,7 @@ class Gaps(dict):
                 if len(parts) <= j - i:
                     glued += parts
                 letters = " ".join(parts).rstrip(_BEHIND).lstrip(_BEFORE).translate(FOLDS)
-                simple = len(parts) <= 3 and letters.isascii() and letters.replace(" ", "").isalpha()
-                if simple:
+                if len(parts) <= 3 and letters.isascii() and letters.replace(" ", "").isalpha():
                     parts = letters.split(" ")
                     for choice in self.patterns(parts) if len(parts) > 1 else ():
                         word = parts[0]
@@ -334,6 +342,24 @@ class Gaps(dict):
             i = j + 1
         return glued, chains
 
+    def words(self, tokens: list[str]) -> tuple[list[str], list[str]]:
+        """``run`` over all tokens of a text."""
+        gaps = list(map(self.__getitem__, zip([t[-2:] for t in tokens], [t[:2] for t in tokens[1:]])))
+        glued, chains, n = [], [], len(gaps)
+        i = 0
+        while i < n:
+            if not gaps[i]:
+                i += 1
+                continue
+            j = i
+            while j < n and gaps[j]:
+                j += 1
+            more, others = self.run(tokens[i : j + 1], gaps[i:j])
+            glued += more
+            chains += others
+            i = j + 1
+        return glued, chains
+
 
 _NUMBER = re.compile(r"\d{3,}[.,;:!?]?$")
 _PRIME = (1 << 61) - 1
@@ -383,35 +409,82 @@ def features(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
 
 
+def bare(token: str) -> str:
+    """A token without marks at its ends that ``restore`` takes off in any case, accents folded."""
+    if not token.isalpha():
+        token = token.rstrip(_BEHIND).lstrip(_BEFORE)
+    return token if token.isascii() else token.translate(FOLDS)
+
+
+def is_plain(word: str) -> bool:
+    """Letters only, none three times in a row."""
+    return word.isalpha() and not _THRICE.search(word)
+
+
 def tokens(text: str | None, gaps: Gaps) -> tuple[set[str], set[str]]:
-    """Plain words (letters only, none three times in a row) in a text, joined tokens among them; and what must be restored."""
-    if not text:
-        return set(), set()
-    text = _RUNS.sub("", text.lower())
-    words = text.split()
+    """Plain words in a text, joined tokens among them; and what must be restored."""
+    words = [t for t in (_RUNS.sub("", t) for t in (text or "").lower().split()) if t]
     glued, chains = gaps.words(words)
-    thrice = _THRICE.search(text) is not None
-    plain, noisy = set(), set(chains)
-    for t in {*words, *glued}:
-        if not t.isalpha():
-            t = t.rstrip(_BEHIND).lstrip(_BEFORE)
-        if not t.isascii():
-            t = t.translate(FOLDS)
-        if t.isalpha() and not (thrice and _THRICE.search(t)):
-            plain.add(t)
-        elif t:
-            noisy.add(t)
-    return plain, noisy
+    seen = {bare(t) for t in {*words, *glued}} - {""}
+    plain = {t for t in seen if is_plain(t)}
+    return plain, (seen - plain) | set(chains)
 
 
 #: A mark that is repeated before or after a token is no part of it.
-_RUNS = re.compile(r"(?<!\S)([^\w\s])\1+|([^\w\s])\2+(?!\S)")
+_RUNS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 #: Marks that ``restore`` takes from the ends of a token in any case.
 _BEHIND = ".,;:!?\"'»”’)]}>-*_"
 _BEFORE = ".,;:?\"'«“‘[{<-*_"
 BEGINNINGS = (3, 4, 5, 6)
 
 
+class Looks:
+    """What distinct (lower-case) tokens look like; most by Arrow functions, few one by one."""
+
+    def __init__(self, tokens: pa.Array, heads: set[str]):
+        names = tokens.to_pylist()
+        # marks in a row at an end
+        for i in np.flatnonzero(pc.match_substring_regex(tokens, r"^[^\w\s]{2}|[^\w\s]{2}$").to_numpy(zero_copy_only=False)).tolist():
+            names[i] = _RUNS.sub("", names[i])
+        self.names = fold_all(names)
+        folded = pa.array(self.names, pa.large_string())
+        flags = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+        plain = lambda x: flags(pc.ascii_is_alpha(x)) & ~flags(pc.match_substring_regex(x, _TRIPLES))
+        behind = pc.utf8_rtrim(folded, _BEHIND)
+        trimmed = pc.utf8_ltrim(behind, _BEFORE)
+        begin = pa.array(sorted(heads), pa.large_string())
+        self.words = trimmed.to_pylist()
+        self.some = flags(pc.not_equal(folded, ""))
+        self.letters, self.ends, simple = plain(folded), plain(behind), plain(trimmed)
+        hit = flags(pc.is_in(pc.utf8_slice_codeunits(trimmed, 0, BEGINNINGS[0]), value_set=begin))
+        self.weighs = ~simple | hit
+        # words that go on from here weigh nothing
+        self.nowhere = self.letters & ~hit & flags(pc.greater_equal(pc.utf8_length(folded), BEGINNINGS[0]))
+        self.tail = pc.utf8_slice_codeunits(folded, -2).dictionary_encode()
+        self.head = pc.utf8_slice_codeunits(folded, 0, 2).dictionary_encode()
+
+
+def fold_all(names: list[str]) -> list[str]:
+    """Accents folded, as by ``translate(FOLDS)``."""
+    if not names:
+        return names
+    cps = np.frombuffer("\n".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    low = cps < len(_ONE)
+    cps[low] = _ONE[cps[low]]
+    text = cps.tobytes().decode("utf-32-le", "surrogatepass")
+    for cp, plain in _MORE.items():
+        text = text.replace(chr(cp), plain)
+    return text.split("\n")
+
+
+_ONE = np.arange(0x250, dtype=np.uint32)
+_MORE = {cp: plain for cp, plain in FOLDS.items() if len(plain) > 1}
+for _cp, _plain in FOLDS.items():
+    if len(_plain) == 1:
+        _ONE[_cp] = ord(_plain)
+_TRIPLES = "|".join(chr(c) * 3 for c in range(97, 123))
+
+
 @dataclass
 class Model:
     lm: np.ndarray
@@ -432,33 +505,78 @@ class Model:
     def word(self, token: str) -> float:
         return max(map(self.plain, restore(fold_text(token), self.lm)), default=0.0)
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Weight of the strongest word, and the logarithm of one and the sum over all others."""
+    def weigh(self, word: str) -> float:
+        """Weight of a bare token, chain or plain word."""
+        if is_plain(word):
+            return self.plain(word) if word[: BEGINNINGS[0]] in self.heads else 0.0
+        got = self.cache.get(word)
+        if got is None:
+            got = self.word(word)
+            if len(word) <= CACHED:
+                self.cache[word] = got
+        return got
+
+    def evidences(self, texts: pa.Array) -> np.ndarray:
+        """Of every text: weight of the strongest word, and the damped sum over all others.
+
+        Distinct tokens of a batch are looked at once; of their places only those where a gap may be nothing, or a
+        word weighs something.
+        """
         if self.gaps is None:
             self.gaps = Gaps(self.lm)
             # how telling features begin: hardly any word needs more than a look here
             self.heads = {k[1 : 1 + BEGINNINGS[0]] for k in self.weight}
-        plain, noisy = tokens(text, self.gaps)
-        cache, heads = self.cache, self.heads
-        if len(cache) > CACHE:
-            cache.clear()
-        got = [self.plain(t) for t in plain if t[:3] in heads]
-        for t in noisy:
-            w = cache.get(t)
-            if w is None:
-                w = self.word(t)
-                if len(t) <= CACHED:
-                    cache[t] = w
-            got.append(w)
-        if not got:
-            return 0.0, 0.0
-        most = max(got)
-        return most, math.log1p(math.fsum(got) - most)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        looks = Looks(coded.dictionary, self.heads)
+        names, words = looks.names, looks.words
+        weight = np.zeros(len(names))
+        for i in np.flatnonzero(looks.weighs).tolist():
+            weight[i] = self.weigh(words[i]) if words[i] else 0.0
+        code = coded.indices.to_numpy()
+        doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        some = looks.some[code]
+        code, doc = code[some], doc[some]
+        found: list[dict[str, float]] = [{} for _ in range(len(texts))]
+        for i in np.flatnonzero(weight[code]).tolist():
+            found[doc[i]][words[code[i]]] = weight[code[i]]
+        state, thrice = self.gaps.between(looks, code)
+        state[doc[1:] != doc[:-1]] = _BLANK
+        # runs of gaps that may be nothing
+        edge = np.diff(np.concatenate([[0], state != _BLANK, [0]]).astype(np.int8))
+        i, j = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # of a run of letters only that is one word for sure the beginning tells whether it may weigh something
+        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        odd, open_ = total(~looks.letters[code]), total((state == _EITHER) | thrice)
+        sure = (odd[j] == odd[i]) & looks.ends[code[j]] & (open_[j] == open_[i]) & looks.nowhere[code[i]] if len(i) else np.zeros(0, bool)
+        for i, j in zip(i[~sure].tolist(), j[~sure].tolist()):
+            glued, chains = self.gaps.run([names[k] for k in code[i : j + 1]], state[i:j].tolist())
+            for w in [*map(bare, glued), *chains]:
+                x = self.weigh(w) if w else 0.0
+                if x:
+                    found[doc[i]][w] = x
+        out = np.zeros((len(texts), 2))
+        for d, got in enumerate(found):
+            if got:
+                total = 0.0
+                # the others count less the more that are stronger
+                for w in sorted(got.values()):
+                    total, most = total * DAMP + w, w
+                out[d] = most, (total - most) / DAMP
+        return out
+
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        return tuple(self.evidences(pa.array([text], pa.large_string()))[0].tolist())
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        e = self.evidences(texts)
+        z = e @ self.coef[[0, 2]] + self.coef[1] * np.maximum(0.0, e[:, 0] - STRONG) + self.coef[3]
+        return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
     def score(self, text: str | None) -> float:
-        a, b = self.evidence(text)
-        z = self.coef[0] * a + self.coef[1] * max(0.0, a - STRONG) + self.coef[2] * b + self.coef[3]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return float(self.scores(pa.array([text], pa.large_string()))[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -530,12 +648,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not ys or share in (0.0, 1.0):
         return none
     rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in first.values()], marks.select("k").schema)), "k").select("g", "t")
-    bare = spark.sparkContext.broadcast(lm)
+    letters = spark.sparkContext.broadcast(lm)
 
     def count(batches):
         df: dict[int, Counter] = {}
         cache: dict[str, list[str]] = {}
-        gaps, model = Gaps(bare.value), bare.value
+        gaps, model = Gaps(letters.value), letters.value
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 plain, noisy = tokens(t, gaps)
@@ -570,7 +688,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counted = rows.mapInArrow(count, "g int, at string, n bigint").groupBy("at").agg(*sums, toxic.alias("t"), other.alias("c"))
     least = max(3, 0.0016 * float(n[1].sum()))
     got = counted.filter((F.col("t") >= least) & (F.col("t") * float(n[0].sum()) > F.col("c") * float(n[1].sum()))).drop("t", "c").collect()
-    bare.destroy()
+    letters.destroy()
     at = [r.at for r in got]
     df = np.array([list(r[1:]) for r in got], np.int64).reshape(-1, 2, FOLDS_N).transpose(1, 2, 0)
     model = Model(lm, lexicon(at, df.sum(axis=1), n.sum(axis=1)), np.zeros(4), share)
@@ -580,9 +698,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def look(batches):
         for batch in batches:
-            g = batch.column(0).to_pylist()
-            e = [shipped.value[x % FOLDS_N].evidence(t) for x, t in zip(g, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([x // FOLDS_N for x in g], pa.int32()), *[pa.array([x[i] for x in e], pa.float64()) for i in range(2)]], ["y", "a", "b"])
+            for at, part in X.pieces(batch.column(1)):
+                g = batch.column(0).slice(at, len(part)).to_numpy()
+                for k in np.unique(g % FOLDS_N):
+                    mine = np.flatnonzero(g % FOLDS_N == k)
+                    e = shipped.value[k].evidences(part.take(pa.array(mine)))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[mine] // FOLDS_N, pa.int32()), pa.array(e[:, 0]), pa.array(e[:, 1])], ["y", "a", "b"])
 
     seen = np.array(rows.mapInArrow(look, "y int, a double, b double").collect(), float)
     shipped.destroy()
@@ -596,7 +717,6 @@ def rate(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | N
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        m = shipped.value
-        return [np.array([m.score(t) for t in texts.to_pylist()], np.float64)]
+        return [shipped.value.scores(texts)]
 
     return map_text(docs, text, carry, fields("score double"), run)
