@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    set for the whole session.
+    A local master may do without: all its tasks see the machine's temporary
+    folder.  Any other session must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loom_shared", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark._loom_shared = f"file://{tempfile.mkdtemp(prefix='loom-')}"
     return base.rstrip("/")
 
@@ -74,6 +79,7 @@ def map_text(df: DataFrame, text: str, carry: list[str] | None, fields: T.Struct
             src = df.select(F.struct("*").alias("row"))
     else:
         src = df.select(*[F.col(c) for c in carry], F.col(text).cast("string").alias("text_in"))
+    bounded(df.sparkSession)
     kept = src.drop("text_in")
     schema = T.StructType(kept.schema.fields + fields.fields)
     names = kept.columns
@@ -90,7 +96,31 @@ def map_text(df: DataFrame, text: str, carry: list[str] | None, fields: T.Struct
                 new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in fn(part)]
                 yield pa.RecordBatch.from_arrays(rows + new, names + fields.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python of a few MB, however long texts are, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str((1 << 31) - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def tidy(run):
+    """``run``, an Arrow function over batches, that hands freed memory back when a task ends: Python workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fields(spec: str) -> T.StructType:

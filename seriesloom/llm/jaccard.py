@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, forget, keep, map_text
+from seriesloom.llm.common import bounded, fields, forget, keep, map_text, release, tidy
 
 SIZE = 4
 LEAST = (85, 100)  # least similarity, as a fraction
@@ -185,7 +185,7 @@ def survey(docs: DataFrame, text: str = "text", size: int = SIZE) -> tuple[Sketc
             out = (q[::2] | q[1::2] << 4).tobytes()
         return pa.table([pa.array([s], pa.int32()), pa.array([out], pa.binary())], names=["slice", "q"])
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "slice int, at binary, n binary")
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(tidy(count), "slice int, at binary, n binary")
     out, sizes = Sketch(), {}
     for r in counted.groupBy("slice").applyInArrow(add, "slice int, q binary").collect():
         if r.slice < 0:
@@ -262,7 +262,7 @@ def describe(docs: DataFrame, common, boundary: int, text: str, key: str, size:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), *new], ["key", "n_shingles", "digest", "sig", "keys"])
 
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
+    return src.mapInArrow(tidy(run), f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
 
 
 def passes(sig: np.ndarray, n: np.ndarray, i, j, least=LEAST) -> np.ndarray:
@@ -497,7 +497,7 @@ def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
                 sets = [s for s in _shingles(part, size) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, shingles binary")
+    return docs.select(F.col(text).cast("string")).mapInArrow(tidy(run), "digest binary, shingles binary")
 
 
 def candidates(classes: DataFrame, bins: int, least=LEAST) -> DataFrame:
@@ -513,12 +513,14 @@ def candidates(classes: DataFrame, bins: int, least=LEAST) -> DataFrame:
 
 def solve(docs: DataFrame, text: str, key: str, size: int, least=LEAST) -> tuple[DataFrame, DataFrame]:
     """Every row's (key, n_shingles, digest), and every class's (digest, key, root, component_id, n_links); both written."""
+    bounded(docs.sparkSession)
     common, sizes = survey(docs, text, size)
     boundary = choose_boundary(sizes, list_lengths(common), least)
     shipped = docs.sparkSession.sparkContext.broadcast(common)
     base = keep(describe(docs, shipped, boundary, text, key, size, least), "jaccard")
     shipped.destroy()
     del common, shipped
+    release()
     one = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     # ids are given where rows are written, and read from there
     classes = keep(one.withColumn("class", F.monotonically_increasing_id()), "jaccard")

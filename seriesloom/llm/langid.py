@@ -13,8 +13,11 @@ Calibration: a fifth of the sample sets a temperature and a rejection threshold;
 ``accepted`` is false where the calibrated confidence is below it.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and
-not accepted; ties go to the first language in sorted order; rows with null
-doc_id train nothing; without any labelled row every text is ``und``.
+not accepted; texts of any length are read whole; ties go to the first language in
+sorted order; rows with null doc_id train nothing, and of rows with one doc_id the
+least (language, text) trains; repeated rows get equal rows; without any labelled row
+every text is ``und``; an empty table gives an empty table; other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, map_text
+from seriesloom.llm.common import fields, map_text, release
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -134,7 +137,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     label = np.array([langs.index(r[0]) for r in rows])
-    share = [r[2] / r[2].sum() if len(r[2]) else r[2].astype(float) for r in rows]
+    share = lambda i: rows[i][2] / max(1.0, float(rows[i][2].sum()))
     order = rng.permutation(len(rows))
     calib = order[: len(rows) // 5] if len(rows) >= 25 else order
     fit = order[len(rows) // 5 :] if len(rows) >= 25 else order
@@ -146,7 +149,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         for i in rng.permutation(fit):
             rate = 1.0 - step / steps
             step += 1
-            at, p = rows[i][1], share[i]
+            at, p = rows[i][1], share(i)
             h = p @ emb[at]
             z = h @ out + bias
             z = np.exp(z - z.max())
@@ -159,7 +162,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             emb[at] -= (40.0 * rate) * p[:, None] * back
     logits = np.zeros((BUCKETS + 1, len(langs)), np.float32)
     logits[:BUCKETS] = emb @ out
-    z = np.stack([share[i] @ logits[rows[i][1]] + bias for i in calib])
+    z = np.stack([share(i) @ logits[rows[i][1]] + bias for i in calib])
     y = label[calib]
 
     def confidences(t):
@@ -188,26 +191,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     of = F.broadcast(labelled.sparkSession.createDataFrame([(r[0], r[1]) for r in counts], "l string, n bigint"))
     # a hash is uniform, so hash times frequency is about a row's rank in its language: no language is sorted as a whole
     rank = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n")
-    ids = rows.join(of, "l").withColumn("turn", rank).orderBy("turn", "h", "k", "l").limit(sample).select("k", "l")
-    picked = [r.k for r in ids.collect()]
-    if not picked:
-        return train([])
-    chosen = labelled.filter(F.col(key).isin(picked) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
+    ids = rows.join(of, "l").withColumn("turn", rank).orderBy("turn", "h", "k", "l").limit(sample)
+    # at most ``sample`` keys, and a row for each
+    chosen = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).cast("string").alias("t")).filter("t is not null and l is not null")
+    chosen = chosen.join(F.broadcast(ids.select("k").distinct()), "k").groupBy("k").agg(F.min(F.struct("l", "t")).alias("s")).select("k", "s.l", "s.t")
 
     def run(texts):
         got = bags(texts)
         return [pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].astype(np.int32).tobytes() for x in got], pa.binary())]
 
-    rows = map_text(chosen, text, [key, lang], fields("at binary, n binary"), run).collect()
-    rows.sort(key=lambda r: (str(r[0]), r[1], r[2], r[3]))
-    return train([(r[1], np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.int32).astype(float)) for r in rows[: 2 * sample]])
+    rows = map_text(chosen, "t", ["k", "l"], fields("at binary, n binary"), run).collect()
+    rows.sort(key=lambda r: str(r[0]))
+    model = train([(r[1], np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.int32)) for r in rows])
+    del rows
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``lang_pred``, ``score`` and ``accepted`` beside carried columns (see ``map_text``)."""
 
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(texts):
-        langs, score, accepted = model.predict(texts)
+        langs, score, accepted = shipped.value.predict(texts)
         return [pa.array(langs, pa.string()), score, accepted]
 
     return map_text(docs, text, carry, fields("lang_pred string, score double, accepted boolean"), run)

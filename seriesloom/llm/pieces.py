@@ -9,7 +9,7 @@ Chunks are found by a few NumPy passes over the bytes of a batch of texts, made
 distinct by Arrow, looked up in the table, and taken back to their positions by
 Arrow; Python touches distinct chunks only.
 
-The table is local to a Python worker and emptied when it holds ``TABLE`` chunks or
+The table is local to a task and emptied when it holds ``TABLE`` chunks or
 ``TABLE_BYTES`` of them, so memory is bounded whatever the vocabulary.  A chunk is
 segmented once per batch at most, and again only after the table was emptied, with
 the same result.  A table shared by all tasks would need the position of every word
@@ -117,9 +117,8 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, off[:-1])
 
 
-def encode_texts(texts: pa.Array, model: str):
+def encode_texts(texts: pa.Array, state: Chunks):
     """Number of ids, hash of the ids and hash of the decoded text of every text."""
-    state = _states.setdefault(model, Chunks(load(model)))
     n = np.zeros(len(texts), np.int64)
     ids_hash, text_hash = np.full(len(texts), _EMPTY, object), np.full(len(texts), _EMPTY, object)
     data, off = X.buffers(texts)
@@ -166,7 +165,6 @@ def encode_texts(texts: pa.Array, model: str):
 
 PART = 4 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
-_states: dict[str, Chunks] = {}
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -175,17 +173,17 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     ``model`` is the path of a model file that every executor has.
     """
 
+    tables: list[Chunks | None] = []  # every task gets its own copy of this list, and with it its own table
+
     def run(texts):
-        if model not in _fit:
-            _fit[model] = chunkable(load(model))
-        return encode_texts(texts, model) if _fit[model] else encode_whole(texts, model)
+        if not tables:
+            sp = load(model)
+            tables.append(Chunks(sp) if chunkable(sp) else None)
+        return encode_texts(texts, tables[0]) if tables[0] else encode_whole(texts, model)
 
     return map_text(docs, text, carry, fields(OUT), run)
 
 
-_fit: dict[str, bool] = {}
-
-
 def encode_whole(texts: pa.Array, model: str):
     """The same columns from whole texts, for models that ``chunkable`` refuses; also what tests compare with."""
     sp = load(model)
