@@ -38,7 +38,8 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quotelink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotelink.link(table(spark, sf_dir, "conversations"))
+    """Links all of ``conversations``, whose texts are first made to quote the turns before (the table itself holds no quote)."""
+    return quotelink.link(quotelink.with_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op4_quotelink, op5_pieces, op6_fixity, op7_quality, op8_jaccard, op9_decontaminate, op10_toxicity)}
 
-SQL: dict[str, str] = {"op4_quotelink": quotelink.sql(), "op6_fixity": OP6_SQL}
+SQL: dict[str, str] = {"op4_quotelink": quotelink.sql(quotelink.QUOTES_SQL), "op6_fixity": OP6_SQL}
