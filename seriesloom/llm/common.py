@@ -102,7 +102,7 @@ def map_text(df: DataFrame, text: str, carry: list[str] | None, fields: T.Struct
 def bounded(spark: SparkSession) -> None:
     """Batches for Python of a few MB, however long texts are, unless the session says otherwise."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str((1 << 31) - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def tidy(run):

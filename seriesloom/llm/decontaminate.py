@@ -3,23 +3,26 @@
 Words are compared by 64-bit hashes.  Runs of ``K`` words are fingerprinted; of
 every ``WINDOW - K + 1`` consecutive runs the smallest hash is kept (all of them
 on ties), on both sides.  A shared span of ``WINDOW`` words therefore shares a
-kept fingerprint; matching fingerprints are extended word by word to the
-longest common span, and spans shorter than ``WINDOW`` are dropped.  Items with
-fewer words than that are one window each, found by the hash of the whole item.
+kept fingerprint.  Items with fewer words than that are one window each, with the hash of
+the whole item as fingerprint.
 
-The benchmark is the query set: it is cut into blocks of at most ``BLOCK`` bytes
-of text, and every block goes over all documents.  One block (the usual case) is
-one pass; further blocks carry the found spans along, written between passes.
+The fingerprints of documents and items are joined; before that a bitmap of the items'
+fingerprints (at most 2**``BITS`` bits, so its broadcast is bounded) leaves out nearly all of the documents'.
+Documents that share one are extended over the items they share it with: every window
+of theirs that the item has is a hit, so the hits are the longest common spans of at
+least ``WINDOW`` words, and repeated words cost no more than others.  A document is read
+twice however large the benchmark is, and only those with a shared
+fingerprint are written, dealt by document and item, and merged.
 
 Defined results: a null or empty document has no words and no hits; a null item
 or one without words has no window; an item whose id is null marks words but is
-not listed; repeated item ids count once.
+not listed; repeated item ids count once; texts and items of any length are read whole;
+repeated rows get equal rows; an empty table of documents gives an empty table, an empty benchmark
+no hits; other columns, whatever their names, are carried as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, keep, map_text
+from seriesloom.llm.common import bounded, fields, keep, map_text, tidy
 
 K = 5
 WINDOW = 8
-BLOCK = 16 << 20
+BITS = 27
+ITEMS = 4096  # of one document that are looked at in one group
+BIN = 4 << 20  # bytes of documents that are looked at in one group
 OUT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, item_ids array<string>, spans array<bigint>"
+_U = np.uint64
 
 
 def winnow(h: np.ndarray, docs: np.ndarray, w: int) -> np.ndarray:
@@ -50,168 +56,200 @@ def winnow(h: np.ndarray, docs: np.ndarray, w: int) -> np.ndarray:
     return picked
 
 
+def runs(words: X.Spans, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (apart for each k), text and first word of all runs of k words."""
+    h, docs, first = X.windows(words, k)
+    return X.mix(h + _U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), docs, first
+
+
+def fingerprints(words: X.Spans, wanted=None, short=range(1, WINDOW)) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of winnowed runs, and of all runs of each length in ``short``; of those that ``wanted`` lets through, if given."""
+    h, docs, _ = runs(words, K)
+    at = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted(h))
+    at = at[winnow(h, docs, WINDOW - K + 1)[at]] if len(at) else at
+    found = [(docs[at], h[at])]
+    for k in short:
+        h, docs, _ = runs(words, k)
+        # apart from the winnowed runs of as many words
+        h = X.mix(h ^ _U(0x5DEECE66D))
+        at = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted(h))
+        found.append((docs[at], h[at]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def item_prints(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (item, hash) of some items, and the length of those found whole (0 for winnowed runs)."""
+    words = X.scan(*X.buffers(texts), X.ALNUM)
+    n = words.counts()
+    out = []
+    for k in range(WINDOW):
+        docs, h = fingerprints(words, short=[k] if k else [])
+        mine = n[docs] >= WINDOW if k == 0 else n[docs] == k
+        if k:
+            mine &= np.arange(len(h)) >= len(h) - len(X.windows(words, k)[0])  # without the winnowed ones
+        out.append(np.stack([docs[mine], np.full(mine.sum(), k), h[mine].view(np.int64)], axis=1))
+    out = np.unique(np.concatenate(out), axis=0)
+    return out[:, 0], out[:, 2], out[:, 1]
+
+
 class Index:
-    """Fingerprints of a block of benchmark items."""
+    """Windows of some items."""
 
     def __init__(self, ids: list[str | None], texts: list[str]):
-        data, off = X.buffers(pa.array(texts, pa.large_string()))
-        words = X.scan(data, off, X.ALNUM)
+        words = X.scan(*X.buffers(pa.array(texts, pa.large_string())), X.ALNUM)
         n = words.counts()
-        self.ids, self.words, self.at = ids, words.hash, words.at
-        h, docs, first = X.windows(words, K)
-        pick = winnow(h, docs, WINDOW - K + 1)
-        order = np.argsort(h[pick], kind="stable")
-        self.key, self.item, self.pos = h[pick][order], docs[pick][order], first[pick][order]
-        self.door = np.zeros(1 << 20, bool)
-        self.door[self._door(self.key)] = True
-        self.short = {}
-        for k in range(1, WINDOW):
-            items = np.flatnonzero(n == k)
-            if len(items):
-                one = words.hash[words.at[items]]
-                for d in range(1, k):
-                    one = one * np.uint64(0xC2B2AE3D27D4EB4F) + words.hash[words.at[items] + d]
-                key = X.mix(one)
-                order = np.argsort(key, kind="stable")
-                self.short[k] = (key[order], items[order])
-
-    @staticmethod
-    def _door(h):
-        return (h >> np.uint64(44)).astype(np.int64)
-
-    @staticmethod
-    def _pairs(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (i, j) with h[i] == key[j]; key is sorted."""
-        lo, hi = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
-        n = hi - lo
-        i = np.repeat(np.arange(len(h)), n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return i, j
-
-    def spans(self, words: X.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word, word after the last, and item of every longest common span; unique."""
-        found = [np.zeros((0, 4), np.int64)]
-        h, docs, first = X.windows(words, K)
-        at = np.flatnonzero(self.door[self._door(h)])
-        at = at[winnow(h, docs, WINDOW - K + 1)[at]] if len(at) else at
-        if len(at):
-            i, j = self._pairs(h[at], self.key)
-            p, q, doc, item = first[at][i], self.pos[j], docs[at][i], self.item[j]
-            left = self._run(words.hash, p - 1, words.at[doc] - 1, self.words, q - 1, self.at[item] - 1, -1)
-            right = self._run(words.hash, p, words.at[doc + 1], self.words, q, self.at[item + 1], 1)
-            long = left + right >= WINDOW
-            found.append(np.stack([doc, p - left, p + right, item], axis=1)[long])
-        for k, (key, items) in self.short.items():
-            h, docs, first = X.windows(words, k)
-            i, j = self._pairs(h, key) if len(h) else (np.zeros(0, int), np.zeros(0, int))
-            if len(i):
-                found.append(np.stack([docs[i], first[i], first[i] + k, items[j]], axis=1))
-        out = np.unique(np.concatenate(found), axis=0)
-        return out[:, 0], out[:, 1], out[:, 2], out[:, 3]
-
-    @staticmethod
-    def _run(a, p, p_end, b, q, q_end, step) -> np.ndarray:
-        """How many equal words stand in a from p and in b from q, in steps, before either end."""
-        n = np.zeros(len(p), np.int64)
-        live = np.arange(len(p))
-        while len(live):
-            x, y = p[live] + step * n[live], q[live] + step * n[live]
-            ok = (x != p_end[live]) & (y != q_end[live])
-            live, x, y = live[ok], x[ok], y[ok]
-            live = live[a[x] == b[y]]
-            n[live] += 1
-        return n
-
-
-def find(texts, index: Index, spans=None, items=None) -> list:
-    """Columns of ``OUT`` for whole texts; ``spans`` and ``items`` are what earlier blocks found."""
+        self.ids, self.of = ids, {}
+        for k in range(1, WINDOW + 1):
+            h, docs, _ = runs(words, k)
+            mine = n[docs] >= k if k == WINDOW else n[docs] == k
+            if mine.any():
+                rows = np.unique(np.stack([h[mine], docs[mine].astype(_U)], axis=1), axis=0)
+                self.of[k] = rows[:, 0], rows[:, 1].astype(np.int64)
+
+    def look(self, words: X.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are inside a window of an item; distinct (text, item) of texts with one."""
+        cover = np.zeros(len(words.hash) + 1, np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k, (key, item) in self.of.items():
+            h, docs, first = runs(words, k)
+            lo = np.searchsorted(key, h, "left")
+            at = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == h)
+            np.add.at(cover, first[at], 1)
+            np.add.at(cover, first[at] + k, -1)
+            # a window that a text repeats tells its items once
+            one = np.unique(np.stack([docs[at], lo[at]], axis=1), axis=0)
+            n = np.searchsorted(key, key[one[:, 1]], "right") - one[:, 1]
+            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(one[:, 1], n)
+            pairs.append(np.unique(np.stack([np.repeat(one[:, 0], n), item[which]], axis=1), axis=0))
+        both = np.unique(np.concatenate(pairs), axis=0)
+        return np.cumsum(cover[:-1]) > 0, both[:, 0], both[:, 1]
+
+
+def find(texts, index: Index) -> list:
+    """Number of words, spans (first word, word after the last, ...) and item ids of whole texts."""
     data, off = X.buffers(texts)
     words = X.scan(data, off, X.ALNUM)
     n = len(off) - 1
-    doc, lo, hi, item = index.spans(words)
-    cover = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(cover, lo, 1)
-    np.add.at(cover, hi, -1)
+    hit, doc, item = index.look(words)
     names: list[set] = [set() for _ in range(n)]
-    for d, k in set(zip(doc.tolist(), item.tolist())):
+    for d, k in zip(doc.tolist(), item.tolist()):
         if index.ids[k] is not None:
             names[d].add(index.ids[k])
-    if spans is not None:
-        for d, (old, known) in enumerate(zip(spans.to_pylist(), items.to_pylist())):
-            names[d].update(known or ())
-            for x, y in zip((old or [])[::2], (old or [])[1::2]):
-                cover[words.at[d] + x] += 1
-                cover[words.at[d] + y] -= 1
-    hit = np.cumsum(cover[:-1]) > 0
     edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
     inner = words.at[1:-1]
     inner = inner[(inner > 0) & (inner < len(hit))]
-    both = np.unique(inner[hit[inner - 1] & hit[inner]]) if len(hit) else inner  # runs that end where a text ends
+    both = np.unique(inner[hit[inner - 1] & hit[inner]]) if len(hit) else inner  # spans that end where a text ends
     starts = np.sort(np.concatenate([np.flatnonzero(edge == 1), both]))
     ends = np.sort(np.concatenate([np.flatnonzero(edge == -1), both]))
     of = np.searchsorted(words.at, starts, side="right") - 1
-    runs: list[list[int]] = [[] for _ in range(n)]
+    spans: list[list[int]] = [[] for _ in range(n)]
     for d, s, e in zip(of.tolist(), starts.tolist(), ends.tolist()):
-        runs[d] += [s - int(words.at[d]), e - int(words.at[d])]
-    total = np.concatenate([[0], np.cumsum(hit)])
-    lists = [sorted(x) for x in names]
-    return [
-        words.counts().astype(np.int64), (total[words.at[1:]] - total[words.at[:-1]]).astype(np.int64),
-        np.array([len(x) for x in lists], np.int64),
-        pa.array([_EMPTY if not x else hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
-        pa.array(lists, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64())),
-    ]
-
-
-_EMPTY = hashlib.sha256(b"").hexdigest()
-
-
-def blocks(benchmark: DataFrame, item: str, text: str):
-    """Lists of (id as text, text), each at most ``BLOCK`` bytes or one item."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").distinct()
-    part, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len(r.t.encode())
-        if part and size + n > BLOCK:
-            yield part
-            part, size = [], 0
-        part.append((r.i, r.t))
-        size += n
-    yield part
+        spans[d] += [s - int(words.at[d]), e - int(words.at[d])]
+    return [words.counts().astype(np.int64), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``OUT`` beside carried columns (or a struct column ``row`` with all) for every whole document."""
-    out = fields(OUT)
-    kept = [F.struct("*").alias("row")] if carry is None else [F.col(c) for c in carry]
-    cur = docs.select(F.struct(*kept).alias("carried"), F.col(text).cast("string").alias("text_in"))
-    parts, turn = blocks(benchmark, item, item_text), 0
-    part = next(parts)
-    while part is not None:
-        following = next(parts, None)
-        if turn:
-            cur = keep(cur, "decontaminate")
-        index = Index([r[0] for r in part], [r[1] for r in part])
-        # the text goes along only if another block needs it
-        schema = T.StructType(cur.schema.fields[: 2 if following is not None else 1] + out.fields)
-        cur = cur.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), schema.names, turn > 0), schema)
-        part, turn = following, turn + 1
-    return cur.select("carried.*", *out.names)
-
-
-def _pass(index, names, later):
+def union(spans: list[int]) -> list[int]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[int] = []
+    for lo, hi in sorted(zip(spans[::2], spans[1::2])):
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], hi)
+        else:
+            out += [lo, hi]
+    return out
+
+
+def bitmap(prints: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits for the highest bits of the fingerprints ``h``; at most 2**BITS of them."""
+    bits = min(BITS, max(16, (64 * max(1, prints.count())).bit_length()))
+    at = f"shiftrightunsigned(h, {64 - bits})"
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in prints.groupBy(F.expr(f"({at}) div 32768").alias("b")).agg(F.expr(f"bitmap_construct_agg(({at}) % 32768)").alias("m")).collect():
+        out[r.b * 4096 : (r.b + 1) * 4096] |= np.frombuffer(r.m, np.uint8)
+    return bits, out
+
+
+def _mark(door, short):
+    """Arrow function: (carried, text_in) -> (carried, text_in where there is a fingerprint, n_words, cands)."""
+
     def run(batches):
+        bits, table = door.value
+
+        def wanted(h):
+            at = (h >> _U(64 - bits)).astype(np.int64)
+            return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
         for batch in batches:
-            for at, part in X.pieces(batch.column("text_in")):
-                cut = batch.slice(at, len(part))
-                old = (cut.column("spans"), cut.column("item_ids")) if later else ()
-                new = find(part, index.value, *old)
-                head = [cut.column("carried"), part][: len(names) - len(new)]
-                yield pa.RecordBatch.from_arrays(head + [x if isinstance(x, pa.Array) else pa.array(x) for x in new], names)
+            for at, part in X.pieces(batch.column(1)):
+                words = X.scan(*X.buffers(part), X.ALNUM)
+                docs, h = fingerprints(words, wanted, short)
+                rows = np.unique(np.stack([docs.astype(_U), h], axis=1), axis=0)
+                cuts = np.searchsorted(rows[:, 0], np.arange(len(part) + 1).astype(_U))
+                cands = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rows[:, 1].view(np.int64) if len(rows) else np.zeros(0, np.int64)))
+                texts = pa.array([part[i].as_py() if a < b else None for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), texts, pa.array(words.counts().astype(np.int64)), cands], ["carried", "text_in", "n_words", "cands"])
 
     return run
 
 
+def _extend(_, left, right):
+    """One group: spans and item ids of some documents (uid, text_in) from some items (id, t)."""
+    left, right = left.combine_chunks(), right.combine_chunks()
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"uid": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.int64())), "item_ids": pa.array([], pa.list_(pa.string()))})
+    index = Index(right.column("id").to_pylist(), right.column("t").to_pylist())
+    texts = left.column("text_in")
+    out = find(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, index)
+    return pa.table({"uid": left.column("uid"), "spans": out[1], "item_ids": out[2]})
+
+
+def _merge(batches):
+    for batch in batches:
+        spans = [union(x) for x in batch.column(1).to_pylist()]
+        n = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), pa.array(spans, pa.list_(pa.int64()))], ["uid", "n_hit", "item_ids", "spans"])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``OUT`` beside carried columns (or a struct column ``row`` with all) for every whole document."""
+    spark = docs.sparkSession
+    bounded(spark)
+    kept = [F.struct("*").alias("row")] if carry is None else [F.col(c) for c in carry]
+    items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).filter("t is not null").distinct()
+    # numbers are given where rows are written, and read from there
+    items = keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def printed(batches):
+        for batch in batches:
+            for at, part in X.pieces(batch.column(1)):
+                who, h, k = item_prints(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).take(pa.array(who)), pa.array(h), pa.array(k.astype(np.int32))], ["item", "h", "k"])
+
+    prints = keep(items.select("item", "t").mapInArrow(tidy(printed), "item bigint, h bigint, k int"), "prints")
+    short = [r.k for r in prints.select("k").distinct().collect() if r.k]
+    door = spark.sparkContext.broadcast(bitmap(prints))
+    src = docs.select(F.struct(*kept).alias("carried"), F.col(text).cast("string").alias("text_in"))
+    schema = T.StructType([*src.schema.fields, *fields("n_words bigint, cands array<bigint>").fields])
+    marked = src.mapInArrow(tidy(_mark(door, short)), schema)
+    few = keep(marked.filter("size(cands) > 0").withColumn("uid", F.monotonically_increasing_id()), "marked")
+    none = F.array().cast("array<string>")
+    rest = marked.filter("size(cands) = 0").select("carried", "n_words", F.lit(0).cast("bigint").alias("n_hit"), none.alias("item_ids"), F.array().cast("array<bigint>").alias("spans"))
+    n, size = few.agg(F.count("*"), F.sum(F.octet_length("text_in"))).first()
+    if n:
+        hits = few.select("uid", F.explode("cands").alias("h")).join(prints.select("h", "item"), "h").select("uid", "item").distinct()
+        per = hits.groupBy("uid").agg(F.ceil(F.count("*") / ITEMS).cast("bigint").alias("chunks"))
+        hits = keep(hits.join(per, "uid").select("uid", "item", F.pmod(F.xxhash64("uid", F.pmod(F.xxhash64("item"), "chunks")), F.lit(max(1, size // BIN))).alias("g")), "hits")
+        left = few.select("uid", "text_in").join(hits.select("uid", "g").distinct(), "uid").select("g", "uid", "text_in")
+        right = hits.select("item", F.col("g").alias("b")).distinct().join(items, "item").select("b", "id", "t")
+        found = left.groupBy("g").cogroup(right.groupBy("b")).applyInArrow(_extend, "uid bigint, spans array<bigint>, item_ids array<string>")
+        found = found.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        merged = found.select("uid", "spans", "item_ids").mapInArrow(_merge, "uid bigint, n_hit bigint, item_ids array<string>, spans array<bigint>")
+        seen = few.select("uid", "carried", "n_words").join(merged, "uid", "left")
+        rest = rest.unionByName(seen.select("carried", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans")))
+    ids = F.col("item_ids")
+    return rest.select("carried.*", "n_words", "n_hit", F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "item_ids", "spans")
+
+
 def contaminated(least: int = 2):
     """Documents in which windows of so many items occur."""
     return F.col("n_items") >= least

@@ -36,7 +36,7 @@ from seriesloom.llm import textops as X
 from seriesloom.llm.common import fields, map_text
 
 MARK = "▁"
-TABLE = 1 << 18
+TABLE = 1 << 17
 TABLE_BYTES = 96 << 20
 OUT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 

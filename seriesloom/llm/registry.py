@@ -92,4 +92,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_wrapper, op2_backoff, op3_langid, op4_quotelink, op5_pieces, op6_fixity, op7_quality, op8_jaccard, op9_decontaminate, op10_toxicity)}
 
-SQL: dict[str, str] = {"op4_quotelink": quotelink.sql(quotelink.QUOTES_SQL), "op6_fixity": OP6_SQL}
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, member: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_LOW.upper()}', '{_LOW}'), '{member}')"
+
+
+def jaccard_sql(size: int = jaccard.SIZE, least: tuple[int, int] = jaccard.LEAST) -> str:
+    """All pairs that share a shingle, counted; components by walking along links."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words("text", "[^\\x20\\x09-\\x0D]+")} AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i:i + {size - 1}], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+link AS (SELECT a, b FROM common WHERE {least[1]} * c >= {least[0]} * (n + m - c)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN ways x ON r.b = x.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY 1),
+links AS (SELECT a, count(*) AS n FROM ways GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.b AS component_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links
+FROM sets s JOIN least l ON s.doc_id = l.a LEFT JOIN links k ON s.doc_id = k.a"""
+
+
+def decontaminate_sql(window: int = decontaminate.WINDOW) -> str:
+    """Every window of every item looked up among every document's windows of as many words."""
+    member = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    runs = "unnest(list_transform(range(1, len(ws) - k + 2), lambda i: {{'p': i, 'x': array_to_string(ws[i:i + k - 1], ' ')}}))".replace("{{", "{").replace("}}", "}")
+    return f"""
+WITH d AS (SELECT doc_id, {_words("text", member)} AS ws FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_words("text", member)} AS ws FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT item_id, k, r.x AS x FROM (SELECT item_id, k, {runs} AS r FROM (SELECT *, least(len(ws), {window}) AS k FROM i WHERE len(ws) > 0))),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, r.p AS p, r.x AS x FROM (SELECT doc_id, k, {runs} AS r FROM d, ks WHERE len(ws) >= k)),
+hit AS (SELECT DISTINCT w.doc_id, w.k, w.p, j.item_id FROM dw w JOIN iw j ON w.k = j.k AND w.x = j.x),
+words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(t.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words w ON d.doc_id = w.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id"""
+
+
+SQL: dict[str, str] = {"op4_quotelink": quotelink.sql(quotelink.QUOTES_SQL), "op6_fixity": OP6_SQL, "op8_jaccard": jaccard_sql(), "op9_decontaminate": decontaminate_sql()}

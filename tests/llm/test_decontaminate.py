@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from seriesloom.llm import decontaminate as D
+from seriesloom.llm import textops as X
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -45,20 +47,47 @@ def test_find_equals_brute_force():
     for seed in range(120):
         docs, items = cases(seed)
         index = D.Index([None if i is None else str(i) for i, t in items if t is not None], [t for _, t in items if t is not None])
-        got = D.find(pa.array(docs, pa.string()), index)
-        rows = list(zip(*[list(x) if not isinstance(x, pa.Array) else x.to_pylist() for x in got[:4]]))
-        assert [tuple(r) for r in rows] == [brute(d, items) for d in docs]
-        for d, runs, n in zip(docs, got[5].to_pylist(), got[1]):
-            assert sum(runs[1::2]) - sum(runs[::2]) == n
+        n, spans, ids = D.find(pa.array(docs, pa.string()), index)
+        hit = [sum(x[1::2]) - sum(x[::2]) for x in spans.to_pylist()]
+        rows = [(a, b, len(c), hashlib.sha256(",".join(c).encode()).hexdigest()) for a, b, c in zip(n.tolist(), hit, ids.to_pylist())]
+        assert rows == [brute(d, items) for d in docs]
 
 
-def test_scan_in_blocks(spark, monkeypatch):
+def test_every_shared_window_shares_a_fingerprint():
+    for seed in range(60):
+        docs, items = cases(seed)
+        texts = [t for _, t in items if t is not None]
+        who, h, k = D.item_prints(pa.array(texts, pa.string()))
+        of = {}
+        for w, x in zip(who.tolist(), h.tolist()):
+            of.setdefault(w, set()).add(x)
+        words = X.scan(*X.buffers(pa.array(docs, pa.string())), X.ALNUM)
+        doc, g = D.fingerprints(words)
+        mine = {}
+        for d, x in zip(doc.tolist(), g.view(np.int64).tolist()):
+            mine.setdefault(d, set()).add(x)
+        for d, text in enumerate(docs):
+            for i, t in enumerate(texts):
+                if brute(text, [(1, t)])[1]:
+                    assert mine[d] & of[i]
+
+
+def test_repeated_words_are_linear(spark):
+    docs = [(1, "w " * 20_000), (2, "x y " * 10_000), (3, "w " * 7)]
+    items = [(1, "w " * 20_000), (2, "y x " * 5_000), (3, "w " * 8)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.spans) for r in D.scan(df, bench, carry=["doc_id"]).collect()}
+    assert got == {1: (20_000, 20_000, ["1", "3"], [0, 20_000]), 2: (20_000, 20_000, ["2"], [0, 20_000]), 3: (7, 0, [], [])}
+
+
+def test_scan_in_groups(spark, monkeypatch):
     docs, items = cases(3)
     df = spark.createDataFrame([(i, d, "x") for i, d in enumerate(docs)], "doc_id long, text string, spans string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute(d, items) for i, d in enumerate(docs)}
-    for block in (1 << 20, 30):
-        monkeypatch.setattr(D, "BLOCK", block)
+    for size, most in ((1 << 20, 4096), (30, 2)):
+        monkeypatch.setattr(D, "BIN", size)
+        monkeypatch.setattr(D, "ITEMS", most)
         got = D.scan(df, bench, carry=["doc_id"]).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want
     clean = D.filter_clean(df, bench)
