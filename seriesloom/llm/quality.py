@@ -3,12 +3,12 @@
 Eleven rules look at surface counts of a text and vote good, vote bad or abstain.
 Expectation-maximisation over the table of vote patterns (at most 3**11 of them,
 counted over every document) estimates how each rule votes on good and on bad
-documents; a document's verdict is the posterior probability that it is good,
-not a conjunction of rules.
+documents, under conjugate priors on how often rules err; a document's verdict is the
+posterior probability that it is good, not a conjunction of rules.
 
-Defined results: a null or empty text has no words and fails the base rule.  Ties
-in the posterior (exactly 0.5) are kept.  Repeated rows each get their own,
-equal, verdict.  An empty table gives an empty table.
+Defined results: a null or empty text has no words and fails the base rule.  Texts of any
+length are read whole.  Ties in the posterior (exactly 0.5) are kept.  Repeated rows each get their own,
+equal, verdict.  An empty table gives an empty table.  Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -129,7 +129,12 @@ class Model:
 
     prior: float
     weight: np.ndarray
-    accuracy: np.ndarray
+    votes: np.ndarray  # class (bad, good), rule, vote: estimated probability
+    path: list[float]
+
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Per rule: share of good documents without a bad vote, and of bad ones with one."""
+        return {r[0]: (1 - float(self.votes[1, i, 0]), float(self.votes[0, i, 0])) for i, r in enumerate(RULES)}
 
     def posterior(self) -> Column:
         logit = F.lit(float(self.prior))
@@ -138,49 +143,45 @@ class Model:
         return 1 / (1 + F.exp(-logit))
 
 
-#: What is assumed of every rule: it votes bad on at most so many good documents, and at least so many bad ones.
-FALSE_ALARMS, LEAST_RECALL = 0.005, 0.10
-
-
-def _bounded(p: np.ndarray, good: int) -> np.ndarray:
-    """Vote probabilities of a class, moved to where the assumptions on rules hold."""
-    bad = np.minimum(p[:, 0], FALSE_ALARMS) if good else np.maximum(p[:, 0], LEAST_RECALL)
-    rest = p[:, 1:] * ((1 - bad) / np.maximum(p[:, 1:].sum(axis=1), 1e-12))[:, None]
-    return np.clip(np.column_stack([bad, rest]), 1e-6, None)
+#: Dirichlet prior over (bad, abstains, good) of a rule's votes, and how many documents it is worth as a multiple of
+#: the corpus: on good documents, where a false alarm is what the author of a rule rules out, and on bad ones, where
+#: a rule catches its own kind of fault and votes good on others.
+PRIOR_GOOD, WORTH_GOOD = (0.001, 0.05, 0.949), 6.0
+PRIOR_BAD, WORTH_BAD = (0.15, 0.05, 0.8), 0.08
+#: Share of good documents expected, worth as much as the corpus.
+PRIOR_SHARE, WORTH_SHARE = 0.9, 1.0
 
 
-def em(patterns: np.ndarray, n: np.ndarray, steps: int = 200, tol: float = 1e-10) -> Model:
-    """Two-class EM over vote patterns (rows; votes 0, 1, 2) that occur n times.
+def em(patterns: np.ndarray, n: np.ndarray, steps: int = 500, tol: float = 1e-10) -> Model:
+    """Two-class EM over vote patterns (rows; votes 0, 1, 2) that occur n times, to the most probable parameters.
 
-    Starts from rules that are right four times in five, and keeps a weak prior
-    of the same kind, so the class called good is the one the rules call good.
+    The priors are conjugate, so a step is counts plus pseudo-counts and the posterior density never falls
+    (``Model.path``, per document).  They tell which class is the good one, and what a vote alone is worth: rules for
+    different faults hardly ever vote on the same document, so agreement alone would not tell.
     """
     rules = patterns.shape[1]
     total = max(float(n.sum()), 1.0)
     one_hot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
-    # the prior is worth 20 documents of either class
-    seed = np.array([[0.4, 0.4, 0.2], [0.02, 0.18, 0.8]])  # class, vote
-    p = np.repeat(seed[:, None, :], rules, axis=1)
-    prior = np.array([0.1, 0.9])
-    last = -np.inf
+    seed = np.array([PRIOR_BAD, PRIOR_GOOD])  # class, vote
+    worth = np.array([WORTH_BAD, WORTH_GOOD]) * total
+    share = np.array([1 - PRIOR_SHARE, PRIOR_SHARE])
+    p, prior, path = np.repeat(seed[:, None, :], rules, axis=1), share, []
     for _ in range(steps):
         like = np.stack([np.log(prior[c]) + (one_hot * np.log(p[c])).sum(axis=(1, 2)) for c in (0, 1)], axis=1)
         top = like.max(axis=1, keepdims=True)
         post = np.exp(like - top)
         norm = post.sum(axis=1, keepdims=True)
         post = post / norm
-        fit = float((n * (top[:, 0] + np.log(norm[:, 0]))).sum()) / total
-        share = post * n[:, None]
+        fit = float((n * (top[:, 0] + np.log(norm[:, 0]))).sum()) + WORTH_SHARE * total * float(share @ np.log(prior))
+        path.append((fit + sum(worth[c] * float((seed[c] * np.log(p[c])).sum()) for c in (0, 1))) / total)
+        if len(path) > 1 and path[-1] - path[-2] < tol:
+            break
+        mine = post * n[:, None]
         for c in (0, 1):
-            got = (share[:, c][:, None, None] * one_hot).sum(axis=0) + 20 * seed[c]
+            got = (mine[:, c][:, None, None] * one_hot).sum(axis=0) + worth[c] * seed[c]
             p[c] = got / got.sum(axis=1, keepdims=True)
-            p[c] = _bounded(p[c], c)
-        prior = (share.sum(axis=0) + np.array([2.0, 18.0])) / (total + 20)
-        if abs(fit - last) < tol:
-            break
-        last = fit
-    weight = np.log(p[1]) - np.log(p[0])
-    return Model(float(np.log(prior[1] / prior[0])), weight, p)
+        prior = (mine.sum(axis=0) + WORTH_SHARE * total * share) / (float(n.sum()) + WORTH_SHARE * total)
+    return Model(float(np.log(prior[1] / prior[0])), np.log(p[1]) - np.log(p[0]), p, path)
 
 
 def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:

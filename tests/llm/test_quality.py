@@ -1,8 +1,10 @@
+import os
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,3 +59,72 @@ def test_judge(spark):
     assert quality.filter_quality(docs).columns == docs.columns
     assert quality.filter_quality(docs).count() == 3
     assert quality.judge(docs.limit(0), carry=["doc_id"]).count() == 0
+
+
+def verdicts(votes):
+    rows, n = np.unique(votes, axis=0, return_counts=True)
+    m = quality.em(rows, n.astype(float))
+    assert all(b >= a - 1e-9 for a, b in zip(m.path, m.path[1:]))
+    return m, m.prior + sum(m.weight[r][votes[:, r]] for r in range(votes.shape[1])) >= 0
+
+
+def test_posterior_is_not_all_must_pass():
+    """Where bad documents get several bad votes, a lone one is forgiven."""
+    rng = np.random.default_rng(0)
+    good = rng.random(20_000) < 0.9
+    k = len(quality.RULES)
+    votes = np.where(rng.random((20_000, k)) < np.where(good[:, None], 0.003, 0.5), 0, 2)
+    m, kept = verdicts(votes)
+    must_pass = ~(votes == 0).any(axis=1)
+    assert (kept == good).mean() > 0.995 > 0.975 > (must_pass == good).mean()
+    assert all(spared > 0.99 and caught > 0.2 for spared, caught in m.accuracies().values())
+
+
+def test_a_rule_that_often_errs_does_not_turn_the_classes_round():
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < 0.9
+    bad_vote = np.zeros((20_000, len(quality.RULES)), bool)
+    bad_vote[np.arange(20_000), rng.integers(1, 6, 20_000)] = ~good
+    bad_vote[:, 0] = rng.random(20_000) < 0.1
+    _, kept = verdicts(np.where(bad_vote, 0, 2))
+    assert (kept == good).mean() > 0.9 and not kept[~good].any()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_verdicts_agree_with_quality_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, carry=["doc_id"]).join(labels, "doc_id").filter("not base_failed").select("kept", "quality").collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.99 and np.mean(kept[0]) < 0.1
+
+
+def test_long_text_and_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, 5, 2.0), (2, "a" * 500_000, 6, 3.0)], "doc_id long, text string, n_words int, quality double")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words) for r in quality.judge(docs, carry=["doc_id"]).collect()}
+    assert got == {1: (300_000, 1_200_000, 300_000), 2: (1, 500_000, 0)}
+    assert quality.filter_quality(docs).columns == docs.columns
+
+
+def test_verdict_is_the_posterior_of_the_votes(spark):
+    """The whole operator against plain Python: votes from plain counts, verdict from the model's own table."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["go! " * 90, "The cat sat. " * 40, "alpha beta gamma delta. " * 3, "x # " * 60, None] * 3)], "doc_id long, text string")
+    m = quality.fit(docs)
+    for r in quality.judge(docs, carry=["doc_id", "text"], model=m).collect():
+        n, chars, symbols, dup, repeat = brute(r.text)
+        t = r.text or ""
+        letters = sum(c.isascii() and c.isalpha() for c in t)
+        w = WORD.findall(t)
+        value = {
+            "length": n, "word_length": chars / n if n else None, "symbols": symbols / n if n else None, "repeats": repeat / n if n else None,
+            "dup_lines": dup / r.q_lines if r.q_lines else None, "capitals": sum(c.isupper() for c in t) / letters if letters else None,
+            "marks": sum(c in "!?" for c in t) / n if n else None, "echoes": sum(a == b for a, b in zip(w, w[1:])) / n if n else None,
+            "sentences": sum(c in ".!?" for c in t) / n if n else None, "line_length": n / r.q_lines if r.q_lines else None, "letters": letters / chars if chars else None,
+        }
+        z = m.prior
+        for i, (name, _, bad_lo, good_lo, good_hi, bad_hi) in enumerate(quality.RULES):
+            x = value[name]
+            bad = x is not None and ((bad_lo is not None and x < bad_lo) or (bad_hi is not None and x > bad_hi))
+            good = x is not None and (bad_lo is None or x >= good_lo) and (bad_hi is None or x <= good_hi)
+            z += m.weight[i][0 if bad else 2 if good else 1]
+        assert abs(r.quality - 1 / (1 + np.exp(-z))) < 1e-9
+        assert r.kept == (n >= 50 and 100 * repeat <= 50 * n and r.quality >= 0.5)
