@@ -93,8 +93,9 @@ def test_a_rule_that_often_errs_does_not_turn_the_classes_round():
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
 def test_verdicts_agree_with_quality_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.judge(docs, carry=["doc_id"]).join(labels, "doc_id").filter("not base_failed").select("kept", "quality").collect()
-    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    labels = labels.withColumnRenamed("quality", "label")
+    rows = quality.judge(docs, carry=["doc_id"]).join(labels, "doc_id").filter("not base_failed").select("kept", "label").collect()
+    kept = {q: [r.kept for r in rows if r.label == q] for q in (0, 1)}
     assert np.mean(kept[1]) > 0.99 and np.mean(kept[0]) < 0.1
 
 
