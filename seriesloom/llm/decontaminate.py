@@ -160,25 +160,40 @@ def union(spans: list[int]) -> list[int]:
 
 
 def bitmap(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """Bits for the highest bits of the fingerprints ``h``; at most 2**BITS of them."""
-    bits = min(BITS, max(16, (64 * max(1, prints.count())).bit_length()))
-    at = f"shiftrightunsigned(h, {64 - bits})"
+    """Three bits for each fingerprint ``h``; at most 2**BITS in all."""
+    bits = min(BITS, max(22, (64 * max(1, prints.count())).bit_length()))
+    mask = (1 << bits) - 1
+    places = [f"shiftrightunsigned(h, {64 - bits})", f"shiftrightunsigned(h, 10) & {mask}L", f"(shiftrightunsigned(h, 3) ^ shiftrightunsigned(h, 33)) & {mask}L"]
+    at = prints.select(F.explode(F.array(*map(F.expr, places))).alias("p"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in prints.groupBy(F.expr(f"({at}) div 32768").alias("b")).agg(F.expr(f"bitmap_construct_agg(({at}) % 32768)").alias("m")).collect():
+    for r in at.groupBy(F.expr("p div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("m")).collect():
         out[r.b * 4096 : (r.b + 1) * 4096] |= np.frombuffer(r.m, np.uint8)
     return bits, out
 
 
+def _wanted(bits: int, table: np.ndarray):
+    """Which hashes have all their bits in the bitmap."""
+    mask = _U((1 << bits) - 1)
+
+    def bit(at):
+        at = at.astype(np.int64)
+        return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def wanted(h):
+        out = bit(h >> _U(64 - bits))
+        some = np.flatnonzero(out)
+        x = h[some]
+        out[some] = bit(x >> _U(10) & mask) & bit((x >> _U(3) ^ x >> _U(33)) & mask)
+        return out
+
+    return wanted
+
+
 def _mark(door, short):
     """Arrow function: (carried, text_in) -> (carried, text_in where there is a fingerprint, n_words, cands)."""
 
     def run(batches):
-        bits, table = door.value
-
-        def wanted(h):
-            at = (h >> _U(64 - bits)).astype(np.int64)
-            return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
+        wanted = _wanted(*door.value)
         for batch in batches:
             for at, part in X.pieces(batch.column(1)):
                 words = X.scan(*X.buffers(part), X.ALNUM)

@@ -95,3 +95,11 @@ def test_scan_in_groups(spark, monkeypatch):
     assert clean.count() == sum(w[2] < 2 for w in want.values())
     assert D.scan(df.limit(0), bench, carry=["doc_id"]).count() == 0
     assert D.scan(df, bench.limit(0), carry=["doc_id"]).agg({"n_hit": "sum"}).first()[0] == 0
+
+
+def test_bitmap_has_what_it_was_made_of_and_little_else(spark):
+    rng = np.random.default_rng(4)
+    h = rng.integers(-(1 << 63), 1 << 63, 3000)
+    wanted = D._wanted(*D.bitmap(spark.createDataFrame([(int(x),) for x in h], "h long")))
+    assert wanted(h.view(np.uint64)).all()
+    assert wanted(rng.integers(0, 1 << 63, 200_000).astype(np.uint64)).sum() < 5
