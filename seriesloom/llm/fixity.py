@@ -1,20 +1,22 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-``records`` writes every page as a WARC/1.1 resource record, with the file it
-belongs to and its offset there.  ``tree`` hashes a replica: a leaf is the record
-(or records) of one number, an inner node the hash of the ordered hashes of the
-up to ``FAN`` nodes below it, so a node stands for a range of records that lie one after
-the other in a file.  ``audit`` compares two replicas from the root and goes down only
-below nodes that differ; what differs at the bottom are damaged, missing or
+``records`` writes every page as a WARC/1.1 resource record, ``place`` gives it the
+file it belongs to and its offset and length there.  ``tree`` hashes a replica: a leaf is the place (file, offset, length)
+and the hash of the record (or records) of one number, an inner node the hash of the ordered hashes of the
+up to ``FAN`` nodes below it.  Numbers are in the order of offsets, so a node stands for an
+offset range of a file.  ``audit`` compares two replicas from the root and goes down only
+below nodes that differ; what differs at the bottom are damaged, moved, missing or
 surplus records.
 
 Scale: a level is one aggregation keyed by node, at most ``FAN`` rows a group;
 leaves with repeated numbers are added up, not collected.  Comparing replicas
-moves the trees' upper levels and the differing branches, not the records.
+moves the trees' upper levels and the differing branches, not the records; trees are
+deleted after it.
 
 Defined results: records without a number share one leaf of number -1; null url or html
-counts as empty; equal repeated records count by how often they occur; two empty
-replicas agree.
+counts as empty; records of any length are hashed whole; equal repeated records lie one after the other and count by how
+often they occur (ties cannot be told apart and need not); two empty replicas agree; an empty table has no records; other columns, whatever
+their names, are not looked at.  ``read_warc`` reads files of up to 2 GB, Spark's limit for one value.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import gzip
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import keep
+from seriesloom.llm.common import forget, keep
 
 FAN = 64
 FILE_RECORDS = 1000
@@ -47,26 +49,32 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def place(recs: DataFrame) -> DataFrame:
-    """Adds ``file``, ``offset`` and ``length``; files hold ``FILE_RECORDS`` numbers each, in order."""
+    """(number, record, more) -> (number, file, offset, length, sha256, more); files hold ``FILE_RECORDS`` numbers each, in order."""
+    more = [c for c in recs.columns if c not in ("number", "record")]
     sized = recs.withColumns({"file": F.floor(F.col("number") / FILE_RECORDS).cast("bigint"), "length": F.octet_length("record").cast("bigint"), "sha256": F.sha2(F.col("record").cast("binary"), 256)}).drop("record")
     # offsets per number first, then within repeated numbers, so that a repeated number is no hot window of a file
     per = sized.groupBy("file", "number").agg(F.sum("length").alias("all"))
     before = F.coalesce(F.sum("all").over(Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select("file", "number", before.alias("start"))
     within = F.coalesce(F.sum("length").over(Window.partitionBy("file", "number").orderBy("sha256", "length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("within", within).join(starts, ["file", "number"]).select("number", "file", (F.col("start") + F.col("within")).cast("bigint").alias("offset"), "length", "sha256")
+    return sized.withColumn("within", within).join(starts, ["file", "number"]).select("number", "file", (F.col("start") + F.col("within")).cast("bigint").alias("offset"), "length", "sha256", *more)
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """(node, hash): one leaf per number, from its records' hashes in any order."""
-    sha = F.sha2(F.col("record").cast("binary"), 256)
+def _sums(sha) -> Column:
+    """A hash over a set of hashes in any order, by how often each occurs."""
     parts = [F.sum(F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    return recs.select("number", "record").groupBy("number").agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[p.cast("string") for p in parts]), 256).alias("hash")).select(F.col("number").alias("node"), "hash")
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[p.cast("string") for p in parts]), 256)
 
 
-def tree(recs: DataFrame, levels: int) -> list[DataFrame]:
+def leaves(placed: DataFrame) -> DataFrame:
+    """(node, hash, content): one leaf per number; ``content`` leaves places out."""
+    whole = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("file", "offset", "length")], "sha256"), 256)
+    return placed.select("number", "sha256", whole.alias("whole")).groupBy(F.col("number").alias("node")).agg(_sums("whole").alias("hash"), _sums("sha256").alias("content"))
+
+
+def tree(placed: DataFrame, levels: int) -> list[DataFrame]:
     """Levels of (node, hash), leaves first; node n of a level covers nodes n * FAN .. of the level below."""
-    out = [keep(leaves(recs), "merkle")]
+    out = [keep(leaves(placed), "merkle")]
     for _ in range(levels):
         below = out[-1].select(F.floor(F.col("node") / FAN).cast("bigint").alias("up"), "node", "hash")
         group = F.array_sort(F.collect_list(F.struct("node", "hash")))
@@ -88,7 +96,10 @@ def depth_for(*replicas: DataFrame) -> int:
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(number, status) of every record that differs; status is damaged, missing (in b) or surplus (in b)."""
+    """(number, status) of every record that differs between replicas as ``place`` gives them.
+
+    Status is damaged, moved (the same records elsewhere), missing (in b) or surplus (in b).
+    """
     levels = depth_for(a, b)
     ta, tb = tree(a, levels), tree(b, levels)
     differ = None
@@ -96,9 +107,13 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         if differ is not None:
             inside = differ.select("node").withColumnRenamed("node", "up")
             x, y = (t.withColumn("up", F.floor(F.col("node") / FAN).cast("bigint")).join(inside, "up", "left_semi").drop("up") for t in (x, y))
-        both = x.withColumnRenamed("hash", "ha").join(y.withColumnRenamed("hash", "hb"), "node", "full")
-        differ = keep(both.filter(~F.col("ha").eqNullSafe(F.col("hb"))), "differ")
-    status = F.when(F.col("ha").isNull(), "surplus").when(F.col("hb").isNull(), "missing").otherwise("damaged")
+        x, y = (t.select("node", *[F.col(c).alias(f"{c}_{side}") for c in t.columns if c != "node"]) for t, side in ((x, "a"), (y, "b")))
+        above, differ = differ, keep(x.join(y, "node", "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))), "differ")
+        if above is not None:
+            forget(above)
+    for t in ta + tb:
+        forget(t)
+    status = F.when(F.col("hash_a").isNull(), "surplus").when(F.col("hash_b").isNull(), "missing").when(F.col("content_a") == F.col("content_b"), "moved").otherwise("damaged")
     return differ.select(F.col("node").alias("number"), status.alias("status"))
 
 

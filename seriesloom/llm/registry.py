@@ -47,14 +47,16 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of ``pages`` that storage has harmed in a known way; one row per record of the sound replica."""
-    pages = table(spark, sf_dir, "pages")
-    sound = fixity.records(pages)
+    """Audits a replica of ``pages`` that storage has harmed in place in a known way; one row per record of the sound replica."""
+    recs = fixity.records(table(spark, sf_dir, "pages"))
     turn = F.pmod(F.col("number"), F.lit(97))
     half = F.expr("substring(record, 1, cast(length(record) div 2 as int))")
-    harmed = sound.filter(turn != 5).withColumn("record", F.when(turn == 6, F.concat("record", F.lit(" "))).when(turn == 7, half).otherwise(F.col("record")))
-    found = fixity.audit(sound, harmed)
-    out = fixity.place(sound).join(found, "number", "left")
+    harmed = F.when(turn == 6, F.concat("record", F.lit(" "))).when(turn == 7, half).otherwise(F.col("record"))
+    away = F.when(turn == 8, 512).otherwise(0)
+    both = fixity.place(recs.withColumn("sha_b", F.sha2(harmed.cast("binary"), 256)))
+    place = ["number", "file", "offset", "length", "sha256"]
+    found = fixity.audit(both.select(*place), both.filter(turn != 5).select("number", "file", (F.col("offset") + away).alias("offset"), "length", F.col("sha_b").alias("sha256")))
+    out = both.select(*place).join(found, "number", "left")
     return out.select(F.col("number").alias("page_id"), "file", "offset", "length", "sha256", F.coalesce("status", F.lit("sound")).alias("status"))
 
 
@@ -65,7 +67,7 @@ WITH body AS (SELECT coalesce(page_id, -1) AS page_id, 'WARC/1.1' || chr(13) ||
     || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
 sized AS (SELECT page_id, CAST(floor(page_id / 1000.0) AS BIGINT) AS file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM body)
 SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  length, sha256, CASE page_id % 97 WHEN 5 THEN 'missing' WHEN 6 THEN 'damaged' WHEN 7 THEN 'damaged' ELSE 'sound' END AS status
+  length, sha256, CASE page_id % 97 WHEN 5 THEN 'missing' WHEN 6 THEN 'damaged' WHEN 7 THEN 'damaged' WHEN 8 THEN 'moved' ELSE 'sound' END AS status
 FROM sized"""
 
 
