@@ -1,7 +1,10 @@
 import math
+import random
 import re
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,29 +19,36 @@ def words(t):
 
 def brute(rows):
     """An explicit automaton, walked token by token."""
-    uni, bi = Counter(), Counter()
+    seen = Counter()
     for _, t, train in rows:
         if train:
             seq = ["<", *words(t), ">"]
-            uni.update(seq[1:])
-            bi.update(zip(seq[:-1], seq[1:]))
+            for k in (1, 2, 3):
+                seen.update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+    times = lambda h: seen[(">",)] if h == ("<",) else seen[h]
+    uni = {k[0]: c for k, c in seen.items() if len(k) == 1 and k != ("<",)}
     n, v = sum(uni.values()), len(uni)
-    ctx = lambda h: uni[">"] if h == "<" else uni[h]
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def prob(h, w):
+        if not h:
+            return (uni.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+        return (seen[(*h, w)] + B.KAPPA * prob(h[1:], w)) / (times(h) + B.KAPPA)
+
+    # arcs for seen n-grams; failure arcs to the shorter history
     out = []
     for i, t, train in rows:
-        state, score, base, known = "<" if ctx("<") else None, 0.0, 0.0, 0
+        state, score, base, known = ("<",) if times(("<",)) else (), 0.0, 0.0, 0
         seq = [*words(t), ">"]
+        read = ["<"]
         for w in seq:
-            base += math.log10(p(w))
-            known += uni[w] > 0
-            if state is not None and bi[state, w]:
-                score += math.log10((bi[state, w] + B.KAPPA * p(w)) / (ctx(state) + B.KAPPA))
-            else:
-                if state is not None:
-                    score += math.log10(B.KAPPA / (ctx(state) + B.KAPPA))
-                score += math.log10(p(w))
-            state = w if uni[w] else None
+            base += math.log10(prob((), w))
+            known += uni.get(w, 0) > 0
+            while state and not seen[(*state, w)]:
+                score += math.log10(B.KAPPA / (times(state) + B.KAPPA))
+                state = state[1:]
+            score += math.log10(prob(state, w))
+            read.append(w)
+            state = next((h for h in (tuple(read[-2:]), (w,)) if seen[h]), ())
         out.append((i, len(seq), known, n, round(base, 8), round(score, 8)))
     return out
 
@@ -66,12 +76,34 @@ def test_empty_table(spark):
 
 
 def test_packing():
-    import numpy as np
-
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64))
-    high = keys >> np.uint64(56)
-    for h in np.unique(high):
-        part = keys[high == h]
-        assert (B.unpack(B.pack(part), int(h)) == part).all()
+    for bits, width in ((8, 40), (8, 64), (11, 48), (16, 56)):
+        whole = keys >> np.uint64(64 - width) << np.uint64(64 - width)
+        shard = whole >> np.uint64(64 - bits)
+        for h in np.unique(shard):
+            part = whole[shard == h]
+            assert (B.unpack(B.pack(part, bits // 8, width // 8), bits // 8, width // 8, int(h) >> (bits % 8)) == part).all()
     for a in ([], [0, 255], [256], [70000], [1 << 40]):
         assert B.narrow(B.wide(np.array(a, np.int64))).tolist() == a
+
+
+def test_blocks_of_files_and_sql(spark, tmp_path):
+    """Over files, with texts of very different lengths, a column of a clashing name, and the SQL."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c", "dd", "é", "f."]) for _ in range(n))
+    rows = [(i, text(rng.choice([0, 1, 5, 40, 300])), "m") for i in range(200)] + [(200, text(60_000), "m"), (201, None, "m"), (202, "z" * 400_000, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    per = docs.select(B.block_of(docs, rows=64).alias("b"), F.octet_length("text").alias("n")).groupBy("b").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    assert len(per) > 4 and max(r.k for r in per) <= 64
+    got = {r.doc_id: r for r in B.score(docs, F.col("doc_id") % 5 != 1, B.block_of(docs, rows=64)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(B.sql("doc_id % 5 <> 1", "doc_id % 5 = 1"))
+    names = [c[0] for c in cur.description]
+    for row in cur.fetchall():
+        want, r = dict(zip(names, row)), got[row[0]]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want["n_tokens"], want["n_known"], want["train_tokens"])
+        assert abs(r.base_score - want["base_score"]) < 1e-5 and abs(r.score - want["score"]) < 1e-5
+    assert len(got) == len(rows)
