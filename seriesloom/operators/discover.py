@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.sliding import running_sum
@@ -26,21 +26,30 @@ def _finite(c: str):
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
 
 
-def greedy(df: DataFrame, value: str, k: int, before: int, after: int, largest: bool, late_first: bool, by_window: bool = False) -> DataFrame:
-    """(series_id, w, rank, idx, value): k picks per series, each excluding idx - before .. idx + after.
+PART = 4096  # rows of a series that are sorted together before its best are
 
+
+def greedy(df: DataFrame, value: str, k: int, zone, largest: bool, late_first: bool, by_window: bool = False) -> DataFrame:
+    """(series_id, w, rank, idx, value): k picks per series, each excluding the places idx - before .. idx + after.
+
+    ``zone`` gives (before, after) from a series' longest window, for columns and for numbers alike.  Only the best rows of
+    each part of a series meet in the task that picks.
     ``late_first``: ties go to the higher idx.  ``by_window``: picks exclude only rows of the same w; ties go to the smaller w.
     """
     ship(df.sparkSession)
-    v = F.desc(value) if largest else F.asc(value)
-    order = [v, F.asc("w"), F.desc("idx") if late_first else F.asc("idx")]
-    most = (k - 1) * (before + after + 1) + 1
     top = df.filter(_finite(value)).select("series_id", "w", "idx", F.col(value).alias("v"))
-    top = top.withColumn("turn", F.row_number().over(Window.partitionBy("series_id").orderBy(*[o if i else (F.desc("v") if largest else F.asc("v")) for i, o in enumerate(order)])))
-    top = top.filter(F.col("turn") <= most)
+    span = top.groupBy("series_id").agg(F.max("w").alias("longest"))
+    before, after = zone(F.col("longest"))
+    most = F.lit((k - 1) * (before + after + 1) + 1)
+    order = [F.desc("v") if largest else F.asc("v"), F.asc("w"), F.desc("idx") if late_first else F.asc("idx")]
+    # no row beyond the first ``most`` of its part can be picked
+    part = F.floor(F.col("idx") / F.greatest(F.lit(PART), most))
+    top = top.join(span, "series_id").withColumn("place", F.row_number().over(Window.partitionBy("series_id", "w", part).orderBy(*order))).filter(F.col("place") <= most)
+    top = top.withColumn("turn", F.row_number().over(Window.partitionBy("series_id").orderBy(*order))).filter(F.col("turn") <= most)
 
     def pick(key, table):
         at = np.argsort(table.column("turn").to_numpy(), kind="stable")
+        before, after = zone(int(table.column("longest")[0].as_py()))
         w, idx, val = (table.column(c).to_numpy()[at] for c in ("w", "idx", "v"))
         free, out = np.ones(len(at), bool), []
         for rank in range(1, k + 1):
@@ -63,9 +72,18 @@ def discords(profile: DataFrame, k: int = 3, zone: int | None = None, column: st
 
     ``zone`` defaults to a quarter of the window; 0 excludes nothing.
     """
-    w = profile.agg(F.max("w")).first()[0] or 0
-    z = math.ceil(w / 4) if zone is None else zone
-    return greedy(profile, column, k, max(0, z), max(0, z - 1), True, True).withColumnRenamed("value", column)
+    return greedy(profile, column, k, lambda w: _around(_quarter(w) if zone is None else zone), True, True).withColumnRenamed("value", column)
+
+
+def _quarter(w):
+    return F.ceil(w / 4) if isinstance(w, Column) else math.ceil(w / 4)
+
+
+def _around(zone):
+    """Places before and after a pick that a zone excludes."""
+    if isinstance(zone, Column):
+        return F.greatest(zone, F.lit(0)), F.greatest(zone - 1, F.lit(0))
+    return max(0, zone), max(0, zone - 1)
 
 
 def pan_discords(pan: DataFrame, k: int = 3, zone: int | None = None) -> DataFrame:
@@ -78,10 +96,11 @@ def pan_discords(pan: DataFrame, k: int = 3, zone: int | None = None) -> DataFra
         out = None
         for (half,) in first.select(F.floor(F.col("w") / 2).cast("int")).distinct().collect():  # one of the lengths that were asked for
             mine = first.filter(F.floor(F.col("w") / 2) == half).select("series_id")
-            part = greedy(pan.join(mine, "series_id"), "mp", k, half, max(0, half - 1), True, False, True)
+            part = greedy(pan.join(mine, "series_id"), "mp", k, lambda _, h=half: _around(h), True, False, True)
             out = part if out is None else out.unionByName(part)
-        return (out if out is not None else greedy(pan, "mp", k, 0, 0, True, False, True)).withColumnRenamed("value", "mp")
-    return greedy(pan, "mp", k, zone, max(0, zone - 1), True, False, True).withColumnRenamed("value", "mp")
+        if out is not None:
+            return out.withColumnRenamed("value", "mp")
+    return greedy(pan, "mp", k, lambda _: _around(zone or 0), True, False, True).withColumnRenamed("value", "mp")
 
 
 def _profile_of(z: np.ndarray, at: int, w: int) -> np.ndarray:
@@ -187,5 +206,4 @@ def ideal_arcs(n, idx):
 
 def regimes(profile: DataFrame, k: int = 3) -> DataFrame:
     """(series_id, w, rank, idx, cac): the k lowest places of the arc curve, five windows apart."""
-    w = profile.agg(F.max("w")).first()[0] or 0
-    return greedy(arc_curve(profile), "cac", k, 5 * w, 5 * w - 1, False, False).withColumnRenamed("value", "cac")
+    return greedy(arc_curve(profile), "cac", k, lambda w: (5 * w, 5 * w - 1), False, False).withColumnRenamed("value", "cac")

@@ -37,22 +37,33 @@ def options(given: dict | None) -> dict | None:
 
 
 def fill(values: np.ndarray, window: int, method: str, forward: bool) -> np.ndarray:
-    """One series: the ends take the first and last known value, then every window with a gap is filled from its known values."""
+    """One series: the ends take the first and last known value, then every window with a gap is filled from its known values.
+
+    Goes from gap to gap: the next window to be filled is the first one, in the direction of
+    travel, that reaches the next gap and holds a known value too.
+    """
     x = np.array(values, float)
-    known = np.isfinite(x)
-    if not known.any():
+    at = np.flatnonzero(np.isfinite(x))
+    if not len(at):
         return x
-    for end, nearest in ((0, np.flatnonzero(known)[0]), (-1, np.flatnonzero(known)[-1])):
-        if not known[end]:
-            x[end], known[end] = x[nearest], True
-    stat, n = METHODS[method], len(x)
-    starts = range(n - window + 1) if forward else range(n - window + 1, 0, -1)
-    for i in starts:
-        part = slice(i, i + window)
-        gap = ~known[part]
-        if gap.any() and not gap.all():
-            x[part][gap] = stat(x[part][~gap])
-            known[part] = True
+    x[0], x[-1] = x[at[0]], x[at[-1]]
+    n, stat = len(x), METHODS[method]
+    last = n - window  # the last start; travelling back, the first start is one beyond it and that window is short
+    spot, stop = (0, last) if forward else (last + 1, 1)
+    step = 1 if forward else -1
+    while (stop - spot) * step >= 0:
+        missing = np.flatnonzero(~np.isfinite(x))
+        # starts whose window has a gap but is not all gap
+        reach = missing[(missing >= spot) if forward else (missing < spot + window)]
+        if not len(reach):
+            break
+        near = max(spot, int(reach[0]) - window + 1) if forward else min(spot, int(reach[-1]))
+        spot = near
+        part = x[spot : spot + window]
+        gap = ~np.isfinite(part)
+        if (stop - spot) * step >= 0 and gap.any() and not gap.all():
+            part[gap] = stat(part[~gap])
+        spot += step
     return x
 
 

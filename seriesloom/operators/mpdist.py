@@ -108,7 +108,7 @@ def _vector(ts: np.ndarray, query: np.ndarray, w: int, threshold: float = 0.05)
     za, _ = nearest.normalise(ts, w)
     zb, _ = nearest.normalise(query, w)
     flat_a, flat_b = ~za.any(axis=1), ~zb.any(axis=1)
-    d = np.sqrt(np.maximum(0.0, 2 * w * (1 - zb @ za.T)))
+    d = np.sqrt(np.maximum(0.0, 2 * w * (1 - np.round(zb @ za.T, 10))))
     d[:, flat_a] = math.sqrt(w)
     d[flat_b, :] = math.sqrt(w)
     d[np.ix_(flat_b, flat_a)] = 0.0

@@ -17,7 +17,6 @@ from seriesloom.operators import nearest
 from seriesloom.session import ship
 
 
-
 def self_join(series: DataFrame, w: int, block: int = 1024) -> DataFrame:
     """(series_id, k, w, idx, mp, pi, dims) for k = 1 .. dimensions; exclusion half a window, ties to the smallest index.
 
@@ -27,9 +26,8 @@ def self_join(series: DataFrame, w: int, block: int = 1024) -> DataFrame:
     check_window(w)
     ship(series.sparkSession)
     size = block
-    keyed = series.select(F.concat_ws("\u0001", "series_id", F.col("dim").cast("string")).alias("series_id"), "idx", "value")
-    cut = nearest.blocks(keyed, w, size)
-    cut = cut.select(F.split("series_id", "\u0001").alias("s"), "block", "values").select(F.col("s")[0].alias("series_id"), F.col("s")[1].cast("int").alias("dim"), "block", "values")
+    keyed = series.select(F.struct("series_id", F.col("dim").cast("int").alias("dim")).alias("series_id"), "idx", "value")
+    cut = nearest.blocks(keyed, w, size).select("series_id.series_id", "series_id.dim", "block", "values")
     last = cut.groupBy("series_id").agg(F.max("block").alias("last"))
     dealt = cut.join(last, "series_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
     dealt = dealt.select("series_id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "dim", "values")

@@ -13,20 +13,17 @@ from seriesloom.operators import nearest
 
 
 def breadth_first(n: int) -> list[int]:
-    """0 .. n - 1 in the order that halves intervals: 0, then the middle of 1 .. n - 1, then the middles of what is left, level by level."""
-    if n < 2:
-        return [0]
-    order, level = [0], [(1, n - 1)]
-    while level:
-        following = []
-        for lo, hi in level:
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            order.append(mid)
-            following += [(lo, mid - 1), (mid + 1, hi)]
-        level = following
-    return order
+    """0 .. n - 1 in the order that halves intervals: 0, then the middle of 1 .. n - 1, then the middles of what is left, level by level.
+
+    Sorted by (level, position), where a place's level is how often its interval is halved until it is the middle.
+    """
+    place = np.arange(1, n)
+    low, high, level = np.ones_like(place), np.full_like(place, n - 1), np.full_like(place, -1)
+    for depth in range(n.bit_length() + 1):
+        mid = (low + high) // 2
+        level[(level < 0) & (place == mid)] = depth
+        low, high = np.where(place > mid, mid + 1, low), np.where(place < mid, mid - 1, high)
+    return [0, *(int(p) for p in place[np.lexsort((place, level))])]
 
 
 def chosen(windows: list[int], sample_pct: float) -> list[int]:
@@ -67,25 +64,22 @@ def maximum_subsequence(series: DataFrame, threshold: float = 0.95, refine_steps
     check_fraction(threshold, "threshold")
     n = series.count()
     doubling = [lower_window * 2**k for k in range(64) if lower_window * 2**k <= n // 2]
-    best = _best(series, doubling)
-    tried = []
-    for w in doubling:
-        tried.append(w)
-        if best[w] < threshold:
-            break
-    good = [w for w in tried if best[w] > threshold]
-    if not good:
+    table = _best(series, doubling)
+    coarse = _until(doubling, table, threshold)
+    repeated = [w for w in coarse if table[w] > threshold]
+    if not repeated:
         raise NoSolutionPossible(f"no window repeats with a correlation above {threshold:.2f}")
-    steps = np.append(np.arange(refine_stepsize, 1, refine_stepsize) + 1, 2)
-    finer = [int(math.floor(s * good[-1])) for s in steps]
-    finer = [w + w % 2 for w in finer]
-    best |= _best(series, [w for w in finer if w not in best])
-    used = list(good)
-    for w in finer:
-        used.append(w)
-        if best[w] < threshold:
-            break
-    return (used[-1], {w: best[w] for w in used}) if include else used[-1]
+    grown = np.floor(np.append(1 + np.arange(refine_stepsize, 1, refine_stepsize), 2) * repeated[-1]).astype(int)
+    even = (grown + grown % 2).tolist()
+    table |= _best(series, sorted(set(even) - set(table)))
+    fine = _until(even, table, threshold)
+    return (fine[-1], {w: table[w] for w in [*repeated, *fine]}) if include else fine[-1]
+
+
+def _until(windows: list[int], table: dict[int, float], threshold: float) -> list[int]:
+    """The lengths up to and with the first that correlates less than ``threshold``."""
+    below = [k for k, w in enumerate(windows) if table[w] < threshold]
+    return windows[: below[0] + 1] if below else windows
 
 
 def _best(series: DataFrame, windows: list[int]) -> dict[int, float]:

@@ -143,13 +143,13 @@ def statistics_global(spark, sf_dir):
 
 AV = {
     "default": f"SELECT series_id, idx, 1.0::DOUBLE AS av FROM ({HOURLY}) QUALIFY count(*) OVER ({frame(W)}) = {W}",
-    "complexity": f"""SELECT series_id, idx, CASE WHEN max(c) OVER () = 0 THEN 0 ELSE (c - min(c) OVER ()) / max(c) OVER () END AS av FROM
+    "complexity": f"""SELECT series_id, idx, CASE WHEN max(c) OVER (PARTITION BY series_id) = 0 THEN 0 ELSE (c - min(c) OVER (PARTITION BY series_id)) / max(c) OVER (PARTITION BY series_id) END AS av FROM
  (SELECT series_id, idx, sqrt(sum(d) OVER ({frame(W - 1)})) AS c, count(d) OVER ({frame(W - 1)}) AS n FROM
  (SELECT series_id, idx, power(lead(value) OVER (PARTITION BY series_id ORDER BY idx) - value, 2) AS d FROM ({HOURLY})))  WHERE n = {W - 1}""",
-    "meanstd": f"""SELECT series_id, idx, CASE WHEN s < avg(s) OVER () THEN 1.0 ELSE 0.0 END::DOUBLE AS av FROM
+    "meanstd": f"""SELECT series_id, idx, CASE WHEN s < avg(s) OVER (PARTITION BY series_id) THEN 1.0 ELSE 0.0 END::DOUBLE AS av FROM
  (SELECT series_id, idx, {_SD} AS s FROM ({HOURLY}) QUALIFY count(*) OVER ({frame(W)}) = {W})""",
-    "clipping": f"""SELECT series_id, idx, CASE WHEN max(c) OVER () = min(c) OVER () THEN 0 ELSE 1 - (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) END AS av FROM
- (SELECT series_id, idx, CAST(sum(h) OVER ({frame(W)}) AS DOUBLE) AS c FROM (SELECT *, CAST(value = min(value) OVER () OR value = max(value) OVER () AS INTEGER) AS h FROM ({HOURLY}))
+    "clipping": f"""SELECT series_id, idx, CASE WHEN max(c) OVER (PARTITION BY series_id) = min(c) OVER (PARTITION BY series_id) THEN 0 ELSE 1 - (c - min(c) OVER (PARTITION BY series_id)) / (max(c) OVER (PARTITION BY series_id) - min(c) OVER (PARTITION BY series_id)) END AS av FROM
+ (SELECT series_id, idx, CAST(sum(h) OVER ({frame(W)}) AS DOUBLE) AS c FROM (SELECT *, CAST(value = min(value) OVER (PARTITION BY series_id) OR value = max(value) OVER (PARTITION BY series_id) AS INTEGER) AS h FROM ({HOURLY}))
  QUALIFY count(*) OVER ({frame(W)}) = {W})""",
 }
 
@@ -166,7 +166,7 @@ for _kind in annotation.KINDS:
     _av(_kind)
 
 
-@query(f"WITH {PROFILE}, a AS ({AV['complexity']}) SELECT series_id, idx, w, {r('mp')} AS mp, pi, {r('av')} AS av, {r('mp + (1 - av) * max(mp) OVER ()')} AS cmp FROM prof JOIN a USING (series_id, idx)")
+@query(f"WITH {PROFILE}, a AS ({AV['complexity']}) SELECT series_id, idx, w, {r('mp')} AS mp, pi, {r('av')} AS av, {r('mp + (1 - av) * max(mp) OVER (PARTITION BY series_id)')} AS cmp FROM prof JOIN a USING (series_id, idx)")
 def cmp_apply(spark, sf_dir):
     s = T.events_hourly(spark, sf_dir)
     return rounded(annotation.apply(nearest.self_join(s, W), annotation.make(s, W, "complexity")))
@@ -294,23 +294,57 @@ def discords_topk(spark, sf_dir):
     return rounded(discover.discords(nearest.self_join(T.events_hourly(spark, sf_dir), W), 3))
 
 
-@query()
+def _motifs(prof: str, lengths: dict[int, str], k: int, zone: str, most: int = 10, radius: float = 3.0) -> str:
+    """Greedy motifs of ``prof`` (series_id, w, idx, v, pi), pick by pick; ``lengths`` names the windows of each w, ``zone`` is SQL over the first pick b1."""
+    union = " UNION ALL ".join(f"SELECT series_id, {w} AS w, idx, flat, z FROM {name}" for w, name in lengths.items())
+    out = [f"allw AS MATERIALIZED ({union})", "t0 AS (SELECT series_id, w, idx FROM allw WHERE false)"]
+    taken, rows = "t0", []
+    free = lambda at: f"NOT EXISTS (SELECT 1 FROM {taken} t JOIN zone ON zone.series_id = t.series_id WHERE t.series_id = c.series_id AND t.w = c.w AND {at} BETWEEN t.idx - zone.z AND t.idx + zone.z)"
+    for n in range(1, k + 1):
+        alive = f" AND c.series_id IN (SELECT series_id FROM m{n - 1})" if n > 1 else ""
+        where = f" AND {free('c.idx')}" if n > 1 else ""
+        out.append(f"b{n} AS MATERIALIZED (SELECT series_id, unnest(arg_min({{'w': w, 'idx': idx, 'v': v, 'pi': pi}}, (v, w, idx))) FROM {prof} c WHERE isfinite(v){alive}{where} GROUP BY 1)")
+        if n == 1:
+            out.append(f"zone AS MATERIALIZED (SELECT series_id, {zone} AS z FROM b1)")
+        out.append(f"m{n} AS MATERIALIZED (SELECT series_id, w, v, least(idx, pi) AS a, greatest(idx, pi) AS b FROM b{n} WHERE pi >= 0)")
+        out.append(f"t{n}_0 AS MATERIALIZED (SELECT * FROM {taken} UNION ALL SELECT series_id, w, a FROM m{n} UNION ALL SELECT series_id, w, b FROM m{n})")
+        taken = f"t{n}_0"
+        dist = "CASE WHEN x.flat AND y.flat THEN 0 WHEN x.flat OR y.flat THEN sqrt(y.w) ELSE sqrt(greatest(0, 2.0 * y.w * (1 - round(list_dot_product(x.z, y.z), 10)))) END"
+        out.append(
+            f"d{n} AS MATERIALIZED (SELECT y.series_id, y.w, y.idx, m.v AS least, {dist} AS d FROM m{n} m JOIN allw x ON x.series_id = m.series_id AND x.w = m.w AND x.idx = m.a "
+            f"JOIN allw y ON y.series_id = m.series_id AND y.w = m.w JOIN {prof} p ON p.series_id = y.series_id AND p.w = y.w AND p.idx = y.idx AND isfinite(p.v))"
+        )
+        rows += [f"SELECT series_id, {n} AS rank, w, 'first' AS role, 0 AS place, a AS idx FROM m{n}", f"SELECT series_id, {n}, w, 'second', 0, b FROM m{n}"]
+        for q in range(1, most + 1):
+            out.append(f"n{n}_{q} AS MATERIALIZED (SELECT series_id, w, arg_min(idx, (d, idx)) AS idx FROM d{n} c WHERE d <= {radius} * least AND {free('c.idx')} GROUP BY 1, 2)")
+            out.append(f"t{n}_{q} AS MATERIALIZED (SELECT * FROM {taken} UNION ALL SELECT * FROM n{n}_{q})")
+            taken = f"t{n}_{q}"
+            rows.append(f"SELECT series_id, {n}, w, 'neighbor', {q}, idx FROM n{n}_{q}")
+    return ", ".join(out) + " " + " UNION ALL ".join(rows)
+
+
+@query(f"WITH {PROFILE}, mo AS (SELECT series_id, w, idx, mp AS v, pi FROM prof), {_motifs('mo', {W: 'w'}, 3, str(QUARTER))}")
 def motifs_topk(spark, sf_dir):
     s = T.events_hourly(spark, sf_dir)
     return discover.motifs(s, nearest.self_join(s, W), 3)
 
 
-@query()
+@query(f"""WITH {PROFILE}, av AS ({AV['clipping']}), mo AS (SELECT series_id, w, idx, mp + (1 - av) * max(mp) OVER (PARTITION BY series_id) AS v, pi FROM prof JOIN av USING (series_id, idx)),
+{_motifs('mo', {W: 'w'}, 3, str(QUARTER))}""")
 def motifs_cmp(spark, sf_dir):
     s = T.events_hourly(spark, sf_dir)
     p = annotation.apply(nearest.self_join(s, W), annotation.make(s, W, "clipping"))
     return discover.motifs(s, p, 3, column="cmp")
 
 
-_CAC = f"""{PROFILE}, n AS (SELECT count(*) AS n FROM prof),
-marks AS (SELECT least(idx, pi) + 1 AS idx, 1 AS d FROM prof WHERE pi >= 0 UNION ALL SELECT greatest(idx, pi), -1 FROM prof WHERE pi >= 0),
-crossed AS (SELECT series_id, w, idx, sum(coalesce(d, 0)) OVER (ORDER BY idx) AS c FROM prof LEFT JOIN (SELECT idx, sum(d) AS d FROM marks GROUP BY 1) USING (idx)),
-arcs AS (SELECT series_id, w, idx, CASE WHEN idx < {W} OR idx >= n - {W} THEN 1.0 ELSE least(1.0, c / (n / 2.0 - power(idx - n / 2.0, 2) / (n / 2.0))) END::DOUBLE AS cac FROM crossed, n)"""
+def _arcs(profile: str, w: int) -> str:
+    return f"""{profile}, n AS (SELECT series_id, count(*) AS n FROM prof GROUP BY 1),
+marks AS (SELECT series_id, least(idx, pi) + 1 AS idx, 1 AS d FROM prof WHERE pi >= 0 UNION ALL SELECT series_id, greatest(idx, pi), -1 FROM prof WHERE pi >= 0),
+crossed AS (SELECT series_id, w, idx, sum(coalesce(d, 0)) OVER (PARTITION BY series_id ORDER BY idx) AS c FROM prof LEFT JOIN (SELECT series_id, idx, sum(d) AS d FROM marks GROUP BY 1, 2) USING (series_id, idx)),
+arcs AS (SELECT series_id, w, idx, CASE WHEN idx < {w} OR idx >= n - {w} THEN 1.0 ELSE least(1.0, c / (n / 2.0 - power(idx - n / 2.0, 2) / (n / 2.0))) END::DOUBLE AS cac FROM crossed JOIN n USING (series_id))"""
+
+
+_CAC = _arcs(PROFILE, W)
 
 
 @query(f"WITH {_CAC} SELECT series_id, w, idx, {r('cac', 8)} AS cac FROM arcs")
@@ -328,6 +362,51 @@ def idealized_arc_curve(spark, sf_dir):
     return rounded(spark.range(720).select(F.col("id").alias("idx"), discover.ideal_arcs(F.lit(720), F.col("id")).alias("ideal")))
 
 
+# --- the same over several series at once -----------------------------------------------------------------
+
+_ZERO = f"SELECT series_id, idx, coalesce(value, 0) AS value FROM ({DENSE})"
+_TYPES = f"{self_sql(_ZERO, W, QUARTER)}, prof AS (SELECT w.series_id, {W} AS w, w.idx, {mp(W, 'coalesce(r, -1)')} AS mp, coalesce(j, -1) AS pi FROM w LEFT JOIN p USING (series_id, idx))"
+
+
+def _types(spark, sf_dir):
+    return sliding.clean(T.dense(T.events_hourly_by_type(spark, sf_dir), "hour").drop("ts"))
+
+
+@query(f"WITH {_TYPES} SELECT series_id, w, idx, {r('mp')} AS mp, pi FROM prof")
+def mp_self_by_type(spark, sf_dir):
+    return rounded(nearest.self_join(_types(spark, sf_dir), W))
+
+
+@query(SQL["mp_left_right"].replace(f"({HOURLY})", f"({_ZERO})"))
+def mp_left_right_by_type(spark, sf_dir):
+    return rounded(nearest.exact_rows(_types(spark, sf_dir), W))
+
+
+_HALVES = (f"SELECT * FROM ({_ZERO}) WHERE idx < 360", f"SELECT series_id, idx - 360 AS idx, value FROM ({_ZERO}) WHERE idx >= 360")
+
+
+@query(f"WITH {windows('a', _HALVES[0], W)}, {windows('b', _HALVES[1], W)}, {neighbours('p', 'a', 'b', 'true', PAIR)} SELECT a.series_id, {W} AS w, a.idx, {r(mp(W, 'r'))} AS mp, j AS pi FROM a JOIN p USING (series_id, idx)")
+def mp_ab_by_type(spark, sf_dir):
+    s = _types(spark, sf_dir)
+    return rounded(nearest.ab_join(s.filter("idx < 360"), s.filter("idx >= 360").withColumn("idx", F.col("idx") - 360), W))
+
+
+@query(f"WITH {_TYPES}, {_greedy('prof', 'mp', 3, QUARTER, QUARTER - 1, '(s.mp, s.idx)')} {_picks(3, 'mp')}")
+def discords_by_type(spark, sf_dir):
+    return rounded(discover.discords(nearest.self_join(_types(spark, sf_dir), W), 3))
+
+
+@query(f"WITH {_TYPES}, mo AS (SELECT series_id, w, idx, mp AS v, pi FROM prof), {_motifs('mo', {W: 'w'}, 2, str(QUARTER))}")
+def motifs_by_type(spark, sf_dir):
+    s = _types(spark, sf_dir)
+    return discover.motifs(s, nearest.self_join(s, W), 2)
+
+
+@query(f"WITH {_arcs(_TYPES, W)}, cr AS (SELECT series_id, w, idx, round(cac, 8) AS cac FROM arcs), {_greedy('cr', 'cac', 3, 5 * W, 5 * W - 1, '(-s.cac, -s.idx)')} {_picks(3, 'cac')}")
+def regimes_by_type(spark, sf_dir):
+    return rounded(discover.regimes(nearest.self_join(_types(spark, sf_dir), W), 3))
+
+
 # --- distances of series ----------------------------------------------------------------------------------
 
 
@@ -360,9 +439,11 @@ def hclusters_single(spark, sf_dir):
     return cluster.components(pairs, s, _CUT)
 
 
-@query()
+@query(SQL["hclusters_single"])
 def hclusters_tree(spark, sf_dir):
-    return cluster.hierarchical(T.events_hourly_by_type(spark, sf_dir), W, 5.05)[1]
+    """The flat clusters of the tree, named by their least member."""
+    got = cluster.hierarchical(T.events_hourly_by_type(spark, sf_dir), W, _CUT)[1]
+    return got.select("series_id", F.min("series_id").over(Window.partitionBy("cluster")).alias("cluster"))
 
 
 _SHORT = 36
@@ -380,7 +461,26 @@ def mpdist_vector(spark, sf_dir):
     return rounded(mpdist.vector(T.events_hourly(spark, sf_dir), q, W))
 
 
-@query()
+_SN = 48
+_SNIP = f"""WITH n AS (SELECT count(*) AS n, CAST(ceil(count(*) / {_SN}.0) * {_SN} AS BIGINT) AS m FROM ({HOURLY})),
+padded AS (SELECT 'all' AS series_id, idx, value FROM ({HOURLY}) UNION ALL SELECT 'all', unnest(range(n, m)), 0.0 FROM n), {windows('w', 'SELECT * FROM padded', _SN // 2)},
+cand AS (SELECT unnest(range(0, m - {_SN}, {_SN})) AS c FROM n),
+pair AS (SELECT c, x.idx AS q, y.idx AS i, CASE WHEN x.flat AND y.flat THEN 0 WHEN x.flat OR y.flat THEN sqrt({_SN // 2}.0)
+  ELSE sqrt(greatest(0, {2.0 * (_SN // 2)} * (1 - round(list_dot_product(x.z, y.z), 10)))) END AS d FROM cand JOIN w x ON x.idx BETWEEN c AND c + {_SN - 1 - _SN // 2} CROSS JOIN w y),
+least AS (SELECT c, i, min(d) AS d FROM pair GROUP BY 1, 2),
+spread AS (SELECT c, q, i, d, unnest(range(greatest(0, i - {_SN - 1 - _SN // 2}), least(i, m - {_SN - 1}) + 1)) AS st FROM pair, n),
+halves AS (SELECT c, st, min(d) AS d FROM spread GROUP BY c, st, q
+  UNION ALL SELECT c, st, d FROM (SELECT c, d, unnest(range(greatest(0, i - {_SN - 1 - _SN // 2}), least(i, m - {_SN - 1}) + 1)) AS st FROM least, n)),
+vec AS MATERIALIZED (SELECT c, st, list_sort(list(d))[CAST(least(count(*), ceil(0.05 * 2 * {_SN - 1}) + 1) AS BIGINT)] AS d FROM halves GROUP BY 1, 2),
+s1 AS MATERIALIZED (SELECT arg_min(c, (t, c)) AS c FROM (SELECT c, sum(d) AS t FROM vec GROUP BY 1)), d1 AS MATERIALIZED (SELECT st, d FROM vec, s1 WHERE vec.c = s1.c),
+s2 AS MATERIALIZED (SELECT arg_min(c, (t, c)) AS c FROM (SELECT c, sum(least(vec.d, d1.d)) AS t FROM vec JOIN d1 USING (st) GROUP BY 1)), d2 AS (SELECT st, d FROM vec, s2 WHERE vec.c = s2.c),
+mask AS (SELECT 1 AS rank, s1.c AS idx, st, d1.d <= least(d1.d, d2.d) AS hit FROM d1 JOIN d2 USING (st), s1
+  UNION ALL SELECT 2, s2.c, st, d2.d <= least(d1.d, d2.d) - CAST(d1.d <= least(d1.d, d2.d) AS INTEGER) FROM d1 JOIN d2 USING (st), s2)
+SELECT 'all' AS series_id, rank, idx, CAST(count(*) FILTER (WHERE hit AND st <= n - {_SN}) + {_SN - 1} * coalesce(max(CAST(hit AS INTEGER)) FILTER (WHERE st = n - {_SN}), 0) AS INTEGER) AS n_neighbors,
+  {r(f'count(*) FILTER (WHERE hit) / (m - {_SN})')} AS fraction FROM mask, n GROUP BY rank, idx, n, m"""
+
+
+@query(_SNIP)
 def snippets(spark, sf_dir):
     out = mpdist.snippets(T.events_hourly(spark, sf_dir), 48, 2)
     return rounded(out.select("series_id", "rank", "idx", F.size("neighbors").alias("n_neighbors"), "fraction"))
@@ -415,7 +515,7 @@ def pmp_discords(spark, sf_dir):
     return rounded(discover.pan_discords(pan.pan_profile(T.events_hourly(spark, sf_dir), PAN), 3, 24))
 
 
-@query()
+@query(f"WITH {_PANSQL}, mo AS (SELECT series_id, w, idx, mp AS v, pi FROM pan), {_motifs('mo', {w: f'w{w}' for w in PAN}, 3, 'w // 2')}")
 def pmp_motifs(spark, sf_dir):
     s = T.events_hourly(spark, sf_dir)
     return discover.motifs(s, pan.pan_profile(s, PAN), 3)
@@ -426,7 +526,26 @@ def pmp_heat(spark, sf_dir):
     return rounded(frames.heat(pan.pan_profile(T.events_hourly(spark, sf_dir), PAN)), 6)
 
 
-@query()
+_FINER = "CAST(floor((CASE WHEN s = 20 THEN 2.0::DOUBLE ELSE 1 + (0.05::DOUBLE + (s - 1) * 0.05::DOUBLE) END) * g) AS INTEGER)"
+
+
+def _longest(threshold: float, lower: int) -> str:
+    """Doubled lengths, then steps from the last good one; the best correlation of each length."""
+    best = lambda name, of: f"""{name}_w AS (SELECT k.w, i AS idx, v[i + 1:i + k.w] AS a FROM (SELECT DISTINCT w FROM {of}) k, vals, range(0, 100000) t(i) WHERE i <= len(v) - k.w),
+{name}_c AS (SELECT w, idx, list_min(a) = list_max(a) AS flat, list_transform(a, lambda x: x - list_avg(a)) AS c FROM {name}_w),
+{name}_z AS MATERIALIZED (SELECT w, idx, list_transform(c, lambda x: CASE WHEN flat THEN 0.0 ELSE x / sqrt(list_dot_product(c, c)) END) AS z FROM {name}_c),
+{name} AS MATERIALIZED (SELECT x.w, max(least(1.0, round(list_dot_product(x.z, y.z), 10))) AS r FROM {name}_z x JOIN {name}_z y ON x.w = y.w AND y.idx - x.idx > ceil(x.w / 4.0) GROUP BY 1)"""
+    return f"""WITH vals AS (SELECT list(value ORDER BY idx) AS v FROM ({HOURLY})),
+dw AS (SELECT CAST({lower} * power(2, k) AS INTEGER) AS w FROM range(0, 20) t(k), vals WHERE {lower} * power(2, k) <= len(v) // 2), {best('db', 'dw')},
+tried AS (SELECT w, r, count(*) FILTER (WHERE r < {threshold}) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM db),
+good AS (SELECT w, r FROM tried WHERE coalesce(before, 0) = 0 AND r > {threshold}), last AS (SELECT max(w) AS g FROM good),
+fw AS (SELECT s, {_FINER} + {_FINER} % 2 AS w FROM last, range(1, 21) t(s)), {best('fb', 'fw')},
+steps AS (SELECT s, fw.w, r, count(*) FILTER (WHERE r < {threshold}) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM fw JOIN fb ON fw.w = fb.w),
+used AS (SELECT s, w, r FROM steps WHERE coalesce(before, 0) = 0), upper AS (SELECT arg_max(w, s) AS w FROM used)
+SELECT DISTINCT u.w, {r('u.r', 6)} AS correlation, u.w = upper.w AS is_upper FROM (SELECT w, r FROM good UNION SELECT w, r FROM used) u, upper"""
+
+
+@query(_longest(0.8, 8))
 def max_subsequence(spark, sf_dir):
     upper, best = pan.maximum_subsequence(T.events_hourly(spark, sf_dir), 0.8, include=True)
     return spark.createDataFrame([(w, round(r, 6), w == upper) for w, r in best.items()], "w int, correlation double, is_upper boolean")
@@ -435,7 +554,14 @@ def max_subsequence(spark, sf_dir):
 # --- preparation, storage, routers ------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT series_id, list(value ORDER BY idx) AS v FROM ({DENSE}) GROUP BY 1),
+ends AS (SELECT series_id, list_transform(v, lambda x, i: CASE WHEN x IS NOT NULL THEN x WHEN i = 1 THEN list_filter(v, lambda y: y IS NOT NULL)[1] WHEN i = len(v) THEN list_filter(v, lambda y: y IS NOT NULL)[-1] END) AS v FROM s),
+fill AS (SELECT series_id, 0 AS i, v FROM ends UNION ALL
+  SELECT series_id, i + 1, CASE WHEN len(list_filter(v[i + 1:i + 4], lambda x: x IS NULL)) IN (0, 4) THEN v
+    ELSE list_transform(v, lambda x, k: CASE WHEN x IS NULL AND k BETWEEN i + 1 AND i + 4 THEN list_avg(list_filter(v[i + 1:i + 4], lambda y: y IS NOT NULL)) ELSE x END) END
+  FROM fill WHERE i < len(v) - 3),
+done AS (SELECT series_id, v FROM fill WHERE i = len(v) - 3)
+SELECT series_id, unnest(range(0, len(v))) AS idx, {r('unnest(v)')} AS value FROM done""")
 def impute_forward(spark, sf_dir):
     return rounded(impute.impute(T.dense(T.events_hourly_by_type(spark, sf_dir), "hour").drop("ts"), 4))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,3 +29,16 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         sc._seriesloom_shipped = True
     return spark
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Have ``checkpoint`` write to the folder that ``spark.checkpoint.dir`` names; on a single machine any folder will do."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='seriesloom-')}"
+    sc.setCheckpointDir(base)

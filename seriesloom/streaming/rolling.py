@@ -24,8 +24,9 @@ def keep_profile(sums: DataFrame, w: int, sink, horizon: int = 4096):
 
     def run(batch: DataFrame, batch_id: int, store: str):
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(store)
-        seen = spark.read.parquet(store).groupBy("series_id", "ts").agg(F.max("value").alias("value"))
+        # an update replaces what an earlier batch said of a time unit, whether it is more or less
+        batch.select("series_id", "ts", "value", F.lit(batch_id).cast("bigint").alias("batch")).write.mode("append").parquet(store)
+        seen = spark.read.parquet(store).groupBy("series_id", "ts").agg(F.max_by("value", "batch").alias("value"))
         from pyspark.sql import Window
 
         back = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("ts")))
