@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from seriesloom.errors import check_fraction, check_window
 from seriesloom.functions.sliding import missing
-from seriesloom.operators import mass, nearest
+from seriesloom.operators import nearest
 from seriesloom.session import ship
 from seriesloom.sources.tables import pack
 
 
+SERIES = 64  # of a group of ``pairwise``; two groups make a task
+
+
 def rank(threshold: float, total, least_one: bool) -> int:
     """Place (from 0) of the quantile among sorted distances; ``least_one`` counts places from 1."""
     return max(0, math.ceil(threshold * total) - (1 if least_one else 0))
@@ -66,7 +69,7 @@ def pairwise(series: DataFrame, w: int, threshold: float = 0.05) -> DataFrame:
     cleaned = series.withColumn("value", F.when(missing(), float("nan")).otherwise(F.col("value")))
     packed = pack(cleaned)
     n = packed.count()
-    groups = max(1, min(256, math.ceil(n / 16)))
+    groups = max(1, math.ceil(n / SERIES))
     mine = F.pmod(F.xxhash64("series_id"), F.lit(groups)).cast("int")
     dealt = packed.withColumn("g", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = dealt.select(F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"), "g", "series_id", "values")
@@ -87,36 +90,61 @@ def pairwise(series: DataFrame, w: int, threshold: float = 0.05) -> DataFrame:
 
 
 def vector(series: DataFrame, query: DataFrame, w: int, threshold: float = 0.05) -> DataFrame:
-    """(series_id, idx, dist): distance of ``query`` to every stretch of the series as long as it."""
+    """(series_id, idx, dist): distance of ``query`` to every stretch of the series as long as it.
+
+    The series is cut into blocks of stretches; every block meets the whole query of its series, which must fit a row.
+    """
     check_window(w)
-    m = mass.matrix(series, query, w).filter(F.col("dist").isNotNull() & ~F.isnan("dist"))
-    size = query.groupBy("series_id").agg(F.count("*").alias("len"))
-    m = m.join(size, "series_id")
-    # which stretches a pair of windows belongs to: those that start at most len - w before the window
-    width = F.col("len") - w
-    n = series.groupBy("series_id").agg(F.count("*").alias("n"))
-    spread = m.join(n, "series_id").select("series_id", "q", "idx", "dist", "len", F.explode(F.sequence(F.greatest(F.lit(0), F.col("idx") - width), F.least(F.col("idx"), F.col("n") - F.col("len")))).alias("at"))
-    left = spread.groupBy("series_id", "at", "q", "len").agg(F.min("dist").alias("dist")).select("series_id", "at", "len", "dist")
-    right = spread.groupBy("series_id", "at", "idx", "len").agg(F.min("dist").alias("dist")).select("series_id", "at", "len", "dist")
-    both = left.unionByName(right).groupBy("series_id", "at", "len").agg(F.sort_array(F.collect_list("dist")).alias("d"))
-    place = F.least(F.size("d") - 1, F.ceil(F.lit(threshold) * 2 * F.col("len")).cast("int"))
-    return both.select("series_id", F.col("at").alias("idx"), F.get("d", place).alias("dist"))
+    ship(series.sparkSession)
+    whole = pack(query).withColumnRenamed("values", "query")
+    longest = whole.agg(F.max(F.size("query"))).first()[0] or 0
+    if longest < w:
+        raise ValueError("the query is shorter than a window")
+    cut = nearest.blocks(series, longest, nearest.BLOCK).join(whole, "series_id")
+
+    def run(batches):
+        for batch in batches:
+            for sid, block, values, q in zip(*[batch.column(c).to_pylist() for c in ("series_id", "block", "values", "query")]):
+                d = _vector(_known(values), _known(q), w, threshold)[: nearest.BLOCK]
+                at = np.flatnonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(at), pa.string()), pa.array(at + block * nearest.BLOCK, pa.int64()), pa.array(d[at])], ["series_id", "idx", "dist"])
+
+    return cut.mapInArrow(run, "series_id string, idx bigint, dist double")
+
+
+def _known(values) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in values], float)
+
+
+def sliding_min(a: np.ndarray, n: int) -> np.ndarray:
+    """Least of every n neighbours along the last axis, by doubling."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        a = np.minimum(a[..., : a.shape[-1] - step], a[..., step:])
+        done += step
+    return a
 
 
 def _vector(ts: np.ndarray, query: np.ndarray, w: int, threshold: float = 0.05) -> np.ndarray:
-    """The same in one task, by sliding minima."""
-    za, _ = nearest.normalise(ts, w)
-    zb, _ = nearest.normalise(query, w)
+    """Distances of one query to all stretches of one block, by sliding minima; infinite where no window is whole."""
+    if len(ts) < len(query) or len(query) < w:
+        return np.zeros(0)
+    za, ok_a = nearest.normalise(ts, w)
+    zb, ok_b = nearest.normalise(query, w)
     flat_a, flat_b = ~za.any(axis=1), ~zb.any(axis=1)
     d = np.sqrt(np.maximum(0.0, 2 * w * (1 - np.round(zb @ za.T, 10))))
     d[:, flat_a] = math.sqrt(w)
     d[flat_b, :] = math.sqrt(w)
     d[np.ix_(flat_b, flat_a)] = 0.0
+    d[:, ~ok_a] = np.inf
+    d[~ok_b, :] = np.inf
     rows = len(zb)
-    left = np.lib.stride_tricks.sliding_window_view(d, rows, axis=1).min(axis=2)
+    left = sliding_min(d, rows)
     right = np.lib.stride_tricks.sliding_window_view(d.min(axis=0), rows)
     both = np.sort(np.concatenate([left.T, right], axis=1), axis=1)
-    return both[:, min(both.shape[1] - 1, math.ceil(threshold * 2 * len(query)))]
+    place = np.minimum(np.isfinite(both).sum(axis=1) - 1, math.ceil(threshold * 2 * len(query)))
+    return both[np.arange(len(both)), np.maximum(place, 0)]
 
 
 def snippets(series: DataFrame, size: int, k: int = 2, w: int | None = None) -> DataFrame:

@@ -4,7 +4,9 @@ Every window of one series meets every window of itself (beyond an exclusion
 zone) or of another series, and keeps its nearest.  The pairs of windows form a
 square that is cut into tiles: a series becomes blocks of window starts (with the
 w - 1 points that the last windows need), every pair of blocks is one group, and
-a group computes its correlations as products of normalised window matrices.  A
+a group computes its correlations as products of normalised window matrices.  Windows longer than ``LONG`` are
+not laid out as matrices: their correlations come from running sums along diagonals, at a cost and with memory that do not
+depend on the window.  A
 group sends back one row per window and side, and Spark's aggregation keeps the best.
 Neither a task nor a row ever holds a whole series, and a long series is many groups.
 
@@ -36,6 +38,7 @@ from seriesloom.session import ship
 BLOCK = 4096
 LEAST_BLOCK = 256
 TILE = 512
+LONG = 512
 _RESULT = "series_id string, part int, w int, idx bigint, side int, r double, j bigint"
 
 
@@ -78,6 +81,13 @@ class Best:
         better = (top > old) | ((top == old) & np.isfinite(top) & order)
         self.r[side, rows[better]], self.j[side, rows[better]] = top[better], at[better]
 
+    def line(self, side: int, at: slice, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """One neighbour j for each of the windows i, which are the rows ``at``."""
+        old, old_j = self.r[side, at], self.j[side, at]
+        order = (j < old_j) if self.first else (np.abs(j - i) < np.abs(old_j - i))
+        better = (r > old) | ((r == old) & np.isfinite(r) & order)
+        old[better], old_j[better] = r[better], j[better]
+
     def rows(self, part: int, w: int):
         for side in (0, 1):
             got = np.flatnonzero(np.isfinite(self.r[side]))
@@ -127,6 +137,48 @@ def sweep(a, a0: int, b, b0: int, w: int, zone: int, first: bool, same: bool, st
     return best_a, best_b
 
 
+def moments(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x without its mean and without missing values; and of its windows the mean, one over the norm (0 if constant), and which are whole."""
+    known = np.isfinite(x)
+    x = np.where(known, x, x[known].mean() if known.any() else 0.0)
+    turns = np.concatenate([[0], np.cumsum(np.concatenate([[False], x[1:] != x[:-1]]))])
+    x = x - x.mean()
+    sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    s, q, gone = sums(x), sums(x * x), np.concatenate([[0], np.cumsum(~known)])
+    mean = (s[w:] - s[:-w]) / w
+    norm = np.sqrt(np.maximum(0.0, q[w:] - q[:-w] - w * mean * mean))
+    flat = (turns[w:] - turns[1 : len(turns) - w + 1]) == 0
+    return x, mean, np.where(flat | (norm == 0), 0.0, 1.0 / np.where(norm == 0, 1.0, norm)), gone[w:] == gone[:-w]
+
+
+def sweep_long(a, a0: int, b, b0: int, w: int, zone: int, first: bool, same: bool, starts: int, keep_diagonal=None, rows_of=None):
+    """As ``sweep``, diagonal by diagonal: dot products are differences of running sums of products."""
+    xa, mean_a, inv_a, ok_a = (v[:starts] if k else v for k, v in enumerate(moments(a, w)))
+    xb, mean_b, inv_b, ok_b = (xa, mean_a, inv_a, ok_a) if b is a else (v[:starts] if k else v for k, v in enumerate(moments(b, w)))
+    na, nb = len(mean_a), len(mean_b)
+    best_a = Best(a0, na, first)
+    best_b = best_a if b is a else Best(b0, nb, first)
+    for d in range(1 if b is a else 1 - na, nb):
+        gap = b0 + d - a0
+        if same and abs(gap) <= zone or keep_diagonal is not None and not keep_diagonal(np.array([abs(gap) if same else gap]))[0]:
+            continue
+        i0, j0 = max(0, -d), max(0, d)
+        n = min(na - i0, nb - j0)
+        i, j = slice(i0, i0 + n), slice(j0, j0 + n)
+        s = np.concatenate([[0.0], np.cumsum(xa[i0 : i0 + n + w - 1] * xb[j0 : j0 + n + w - 1])])
+        r = (s[w:] - s[:-w] - w * mean_a[i] * mean_b[j]) * inv_a[i] * inv_b[j]
+        r = np.where(ok_a[i] & ok_b[j], np.minimum(np.round(r, 10), 1.0), -np.inf)
+        rows, cols = np.arange(a0 + i0, a0 + i0 + n), np.arange(b0 + j0, b0 + j0 + n)
+        if same:
+            at, of = (r, r) if rows_of is None else (np.where(rows_of(rows), r, -np.inf), np.where(rows_of(cols), r, -np.inf))
+            best_a.line(1, i, at, rows, cols)
+            best_b.line(0, j, of, cols, rows)
+        else:
+            best_a.line(0 if gap <= 0 else 1, i, r, rows, cols)
+            best_b.line(0 if gap >= 0 else 1, j, r, cols, rows)
+    return best_a, best_b
+
+
 def blocks(series: DataFrame, span: int, size: int) -> DataFrame:
     """(series_id, block, values): windows starting at block * size .., with the points they need."""
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - (span - 1)) / size)).cast("bigint")
@@ -195,7 +247,7 @@ def pairs(series: DataFrame, query: DataFrame | None, windows: list[int], zone,
             if len(x) < w or len(y) < w:
                 continue
             # the blocks hold enough for the longest window; a shorter one has the same starts
-            a, b = sweep(x, p * size, y, q * size, w, zone(w), first, same, size, keep_diagonal, rows_of)
+            a, b = (sweep if w <= LONG else sweep_long)(x, p * size, y, q * size, w, zone(w), first, same, size, keep_diagonal, rows_of)
             found += [(sid, *row) for row in a.rows(0, w)]
             if b is not a:
                 found += [(sid, *row) for row in b.rows(0 if same else 1, w)]

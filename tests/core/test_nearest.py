@@ -103,3 +103,34 @@ def test_lineage_has_no_cross_product(spark):
     plan = N.self_join(from_values(spark, {"a": SMALL}), 4)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
     assert F is not None
+
+
+@pytest.mark.parametrize("first", [True, False])
+@pytest.mark.parametrize("same", [True, False])
+def test_long_windows_equal_matrices(first, same):
+    rng = np.random.default_rng(3)
+    a = np.round(np.cumsum(rng.normal(size=400)), 2)
+    a[60:120] = 1.5
+    b = np.round(np.cumsum(rng.normal(size=300)), 2)
+    a[200] = np.nan
+    for w in (5, 40):
+        for x, x0, y, y0 in ((a, 0, a, 0), (a, 0, b, 400)) if same else ((a, 0, b, 0), (a, 300, b, 0)):
+            y = x if y is a else y
+            for more in ({}, {"keep_diagonal": N._diagonals(0.4, 3)}, {"rows_of": lambda i: i % 3 == 0} if same else {}):
+                got = N.sweep_long(x, x0, y, y0, w, 7, first, same, 200, **more)
+                want = N.sweep(x, x0, y, y0, w, 7, first, same, 200, **more)
+                for g, e in zip(got, want):
+                    assert np.allclose(g.r, e.r, atol=2e-9) and (np.where(np.isfinite(e.r), g.j == e.j, True).mean() > 0.995)
+
+
+def test_long_windows_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.sin(np.arange(3000) / 40) + 0.1 * rng.normal(size=3000)
+    s = from_values(spark, {"a": x})
+    got = {r.idx: (r.mp, r.pi) for r in N.self_join(s, 900, block=512).collect()}
+    z, _ = N.normalise(x, 900)
+    c = np.round(z @ z.T, 10)
+    i = np.arange(len(z))
+    c[np.abs(i[:, None] - i[None, :]) <= 225] = -2
+    assert len(got) == len(z)
+    assert all(abs(got[k][0] - np.sqrt(1800 * (1 - c[k].max()))) < 1e-4 for k in range(0, len(z), 7))
