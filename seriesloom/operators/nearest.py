@@ -312,6 +312,27 @@ def profile(series: DataFrame, found: DataFrame, windows: list[int], same: bool,
     return got.select("series_id", "w", "idx", *cols)
 
 
+def is_correlation(profile: DataFrame, column: str = "mp") -> bool:
+    """Whether a profile holds correlations: all known values lie between -1 and 1."""
+    out = profile.filter(F.col(column).isNotNull() & ~F.isnan(column)).agg(F.min(column), F.max(column)).first()
+    return out[0] is not None and -1 - 1e-10 <= out[0] and out[1] <= 1 + 1e-10
+
+
+def empty(series: DataFrame, w: int) -> DataFrame:
+    """The profile of a series before anything is known: infinite distances, no neighbours."""
+    none = F.lit(-1).cast("bigint")
+    return starts(series, [w]).select("series_id", "w", "idx", F.lit(float("inf")).alias("mp"), none.alias("pi"))
+
+
+def check_series(series: DataFrame, name: str = "series") -> DataFrame:
+    """A table that has the columns of a series, of the right kinds."""
+    kinds = dict(series.dtypes)
+    wrong = [c for c, ok in (("series_id", ("string",)), ("idx", ("bigint", "int")), ("value", ("double", "float"))) if kinds.get(c) not in ok]
+    if wrong:
+        raise ValueError(f"{name} lacks {', '.join(wrong)}, or they are of another type: {kinds}")
+    return series
+
+
 def zone_quarter(w: int) -> int:
     return math.ceil(w / 4)
 
@@ -323,6 +344,7 @@ def zone_half(w: int) -> int:
 def self_join(series: DataFrame, w: int | list[int], zone=zone_quarter, tie: str = "nearest", correlation: bool = False, sides: bool = False, block: int | None = None) -> DataFrame:
     """Profile of each series with itself: (series_id, w, idx, mp, pi) and, with ``sides``, left and right profiles."""
     windows = list(w) if isinstance(w, (list, tuple)) else [w]
+    check_series(series)
     for x in windows:
         check_window(x)
     fixed = zone if callable(zone) else (lambda _w, z=zone: z)
@@ -333,6 +355,8 @@ def self_join(series: DataFrame, w: int | list[int], zone=zone_quarter, tie: str
 def ab_join(series: DataFrame, query: DataFrame, w: int, tie: str = "nearest", correlation: bool = False, reverse: bool = False, block: int | None = None) -> DataFrame:
     """Profile of every window of ``series`` among the windows of ``query`` with the same series_id (``reverse``: the other way)."""
     check_window(w)
+    check_series(series)
+    check_series(query, "query")
     found = choose(pairs(series, query, [w], lambda _: 0, tie, block), tie, False).filter(F.col("part") == (1 if reverse else 0))
     return profile(query if reverse else series, found, [w], False, correlation)
 

@@ -19,6 +19,7 @@ class Result:
     windows: list[int]
     profile: DataFrame
     series: DataFrame
+    sample_pct: float = 1.0
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -39,14 +40,14 @@ def compute(series: DataFrame, windows=None, query: DataFrame | None = None, sam
     if not lengths:
         upper = pan.maximum_subsequence(series, threshold)
         lengths = list(range(8, upper + 1))
-        return Result("pan", "pan", lengths, pan.pan_profile(series, lengths, sample_pct), series)
+        return Result("pan", "pan", lengths, pan.pan_profile(series, lengths, sample_pct), series, sample_pct)
     if len(lengths) > 1:
         return Result("pan", "pan", lengths, pan.pan_profile(series, lengths, 1.0), series)
     w = lengths[0]
     if sample_pct >= 1:
         made = nearest.self_join(series, w) if query is None else nearest.ab_join(series, query, w)
         return Result("profile", "exact", lengths, made, series)
-    return Result("profile", "sampled", lengths, nearest.sampled(series, w, float(sample_pct), query=query), series)
+    return Result("profile", "sampled", lengths, nearest.sampled(series, w, float(sample_pct), query=query), series, float(sample_pct))
 
 
 def analyze(series: DataFrame, windows=None, query: DataFrame | None = None, sample_pct: float = 1.0, threshold: float | None = 0.98, preprocessing: dict | None = None, k: int = 3) -> Result:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions import sliding
+
 LEVELS = 256
 
 
@@ -35,15 +37,56 @@ def intervals(snippets: DataFrame) -> DataFrame:
     return at.withColumn("i", island).groupBy("series_id", "rank", "i").agg(F.min("idx").alias("start"), F.max("idx").alias("stop")).drop("i")
 
 
+def statistics(series: DataFrame, w: int) -> DataFrame:
+    """Every point with the moving statistics of the window that starts there, and the series' own."""
+    whole, moving = sliding.statistics(series, w)
+    return series_and_profile(series, moving).join(whole.drop("n"), "series_id")
+
+
+def corrected(profile: DataFrame) -> DataFrame:
+    """One line per quantity of a corrected profile: (series_id, w, idx, line, y)."""
+    lines = [c for c in ("mp", "av", "cmp") if c in profile.columns]
+    return profile.select("series_id", "w", "idx", F.explode(F.create_map(*[x for c in lines for x in (F.lit(c), F.col(c))])).alias("line", "y"))
+
+
+def snippet_lines(snippets: DataFrame) -> DataFrame:
+    """(series_id, rank, offset, value): the points of every snippet."""
+    return snippets.select("series_id", "rank", F.posexplode("snippet").alias("offset", "value"))
+
+
+def is_visualizable(made) -> bool:
+    """Whether ``plot`` has tables for a result."""
+    return getattr(made, "kind", None) in ("profile", "pan", "statistics")
+
+
+def combine(*tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of several plots; those of one name are stacked, columns by name."""
+    out: dict[str, DataFrame] = {}
+    for group in tables:
+        for name, df in group.items():
+            out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
+    return out
+
+
 def plot(made) -> dict[str, DataFrame]:
-    """The tables for a router's result."""
-    out = {}
+    """The tables for a router's result, and for whatever was added to its ``tables``."""
+    if not is_visualizable(made):
+        raise ValueError("nothing to plot in this")
+    out, have = {}, made.tables
     if made.kind == "pan":
         out["heat"] = heat(made.profile)
+    elif made.kind == "statistics":
+        out["statistics"] = statistics(made.series, made.windows[0])
     else:
         out["lines"] = series_and_profile(made.series, made.profile)
-    if "discords" in made.tables:
-        out["discord_windows"] = stretches(made.series, made.tables["discords"], "discord")
-    if "motifs" in made.tables:
-        out["motif_windows"] = stretches(made.series, made.tables["motifs"], "motif")
+    if "cmp" in have:
+        out["corrected"] = corrected(have["cmp"])
+    if "discords" in have:
+        out["discord_windows"] = stretches(made.series, have["discords"], "discord")
+    if "motifs" in have:
+        out["motif_windows"] = stretches(made.series, have["motifs"], "motif")
+    if "snippets" in have:
+        out["snippet_lines"], out["snippet_intervals"] = snippet_lines(have["snippets"]), intervals(have["snippets"])
+    if "regimes" in have:
+        out["regime_marks"] = have["regimes"].select("series_id", "rank", "idx")
     return out

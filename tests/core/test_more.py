@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.errors import NoSolutionPossible
-from seriesloom.operators import cluster, impute, multidim, nearest, pan
+from seriesloom.functions import annotation, registered
+from seriesloom.operators import cluster, discover, impute, mpdist, multidim, nearest, pan
 from seriesloom.plans import compute as routers
 from seriesloom.plans import frames
-from seriesloom.sources import files
+from seriesloom.sources import files, stored
 from seriesloom.sources import tables as T
 from seriesloom.streaming import rolling
 
@@ -108,7 +109,7 @@ def test_clustering(spark):
     a, b, c = (RNG.random(64).tolist() for _ in range(3))
     s = T.from_values(spark, {"1": a, "2": a, "3": b, "4": b, "5": c})
     tree, out = cluster.hierarchical(s, 16, 2)
-    assert [r.cluster for r in rows(out, "series_id")] == [1, 1, 2, 2, 3] or len({r.cluster for r in out.collect()}) == 3
+    assert [r.cluster for r in rows(out, "series_id")] == [1, 1, 2, 2, 3]
     assert 0.9 < tree.correlation <= 1
     for bad in ({"method": "x"}, {"criterion": "x"}, {"t": "x"}, {"depth": 0}, {"threshold": 1}):
         with pytest.raises(ValueError):
@@ -181,3 +182,126 @@ def test_dense_and_pack(spark):
     packed = T.pack(T.dense(s, "hour"))
     assert packed.first()["values"] == [1.0, None, None, 4.0]
     assert T.unpack(packed).count() == 4
+
+
+def test_stored_results(spark, tmp_path):
+    x = (np.sin(np.arange(90) / 5) + 0.1 * RNG.random(90)).tolist()
+    s = T.from_values(spark, {"a": x, "b": x[::-1]})
+    made = routers.analyze(s, 16)
+    p = nearest.exact_rows(s, 16)
+    made.profile = p
+    made.tables["cmp"] = annotation.apply(p, annotation.make(s, 16, "clipping"))
+    pans = routers.analyze(s, [8, 16])
+    for rows_, q in ((stored.gather(made, ez=4, av_type="clipping"), 1), (stored.gather(pans), 2), (stored.gather(routers.compute(s, 16, query=s), query=s), 3)):
+        rows_ = rows_.checkpoint()
+        want = rows(rows_, "series_id")
+        assert want[0].ts == x and len(want) == 2
+        for kind in stored.FORMATS:
+            back = stored.read(spark, stored.write(rows_, str(tmp_path / f"{kind}{q}"), kind), kind)
+            for a, b in zip(rows(back, "series_id"), want):
+                assert {k: v for k, v in a.asDict(True).items() if v} == {k: v for k, v in b.asDict(True).items() if v}
+    one = rows(stored.gather(made, ez=4, av_type="clipping"), "series_id")[0]
+    assert one.lmp and one.rpi and one.motifs[0].motifs and one.discords[0].row >= 0 and one.cmp and one.windows == [16]
+    two = rows(stored.gather(pans), "series_id")[0]
+    assert len(two.pmp) == 2 and len(two.pmp[0]) == len(two.pmp[1]) == 83 and two.pmp[1][-1] is None
+    stored.export(stored.gather(made), str(tmp_path / "files"))
+    got = rows(stored.load(spark, str(tmp_path / "files")), "series_id")
+    assert [r.series_id for r in got] == ["a", "b"] and got[0].mp == one.mp
+    with pytest.raises(ValueError):
+        stored.decode_message(b"\x0b")
+
+
+def test_message_layout():
+    """Bytes by hand: class, windows, a plain array, a location."""
+    row = dict.fromkeys(stored._names()) | {"klass": "PMP", "windows": [8, 300], "ts": [1.0], "pi": [-1, 3], "discords": [{"row": 2, "col": 0}]}
+    assert stored.encode_message(row) == (
+        b"\x0a\x03PMP" + b"\x2a\x03\x08\xac\x02" + b"\x32\x0c\x08\x01\x1a\x08" + np.array([1.0]).tobytes()
+        + b"\x42\x11\x12\x0f\x08\x02\x1a\x0b" + b"\xff" * 9 + b"\x01\x03" + b"\x5a\x02\x08\x02"
+    )
+    back = stored.decode_message(stored.encode_message(row))
+    assert back["pi"] == [-1, 3] and back["discords"] == [{"row": 2, "col": 0}] and back["windows"] == [8, 300] and back["mp"] is None
+
+
+def test_registered_functions(spark):
+    registered.register(spark)
+    ts, q = [1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 4.0, 5.0], [2.0, 1.0, 1.0, 4.0]
+    df = spark.createDataFrame([(ts, q)], "ts array<double>, q array<double>")
+    got = df.selectExpr("mass(q, ts) AS m", "znorm_dist(q, slice(ts, 4, 4)) AS d", "znorm_dist(array(1D, 1D), array(2D, 2D)) AS flat", "mpdist(ts, q, 4, 0.05D) AS p").first()
+    assert np.allclose(got.m, [0.67640791, 3.43092352, 3.43092352, 0, 1.85113597], atol=1e-6)
+    assert abs(got.d) < 1e-6 and got.flat == 0 and got.p >= 0
+
+
+def test_plot_tables(spark):
+    s = T.from_values(spark, {"a": (np.sin(np.arange(120) / 5) + 0.1 * RNG.random(120)).tolist()})
+    made = routers.analyze(s, 16)
+    made.tables["cmp"] = annotation.apply(made.profile, annotation.make(s, 16, "meanstd"))
+    made.tables["snippets"] = mpdist.snippets(s, 24)
+    made.tables["regimes"] = discover.regimes(made.profile, 1)
+    out = frames.plot(made)
+    assert {"lines", "corrected", "discord_windows", "motif_windows", "snippet_lines", "snippet_intervals", "regime_marks"} == set(out)
+    assert out["corrected"].groupBy("line").count().count() == 3 and out["snippet_lines"].filter("rank = 1").count() == 24
+    st = routers.Result("statistics", "none", [16], None, s)
+    assert frames.plot(st)["statistics"].count() == 120
+    both = frames.combine({"lines": out["lines"]}, {"lines": out["lines"], "other": out["corrected"]})
+    assert both["lines"].count() == 240 and "other" in both
+    assert not frames.is_visualizable(object())
+    with pytest.raises(ValueError):
+        frames.plot(object())
+
+
+def test_kinds_of_profiles(spark):
+    s = T.from_values(spark, {"a": RNG.random(40).tolist()})
+    assert nearest.is_correlation(nearest.self_join(s, 8, correlation=True)) and not nearest.is_correlation(nearest.self_join(s, 8))
+    assert {(r.mp, r.pi) for r in nearest.empty(s, 8).collect()} == {(math.inf, -1)} and nearest.empty(s, 8).count() == 33
+    for bad in (s.drop("idx"), s.withColumn("value", F.lit("x"))):
+        with pytest.raises(ValueError):
+            nearest.self_join(bad, 8)
+
+
+def test_known_distances(spark):
+    a = [1, 2, 3, 1, 2, 3, 4, 5, 6, 0, 0, 1, 1, 2, 2, 4, 5, 1, 1, 9]
+    q = [0.23595094, 0.9865171, 0.1934413, 0.60880883, 0.55174926, 0.77139988, 0.33529215, 0.63215848]
+    got = mpdist.distance(T.from_values(spark, {"a": a}), T.from_values(spark, {"a": q}), 4).first().dist
+    assert abs(got - 0.437690617625298) < 1e-5
+    line = np.arange(100.0).tolist()
+    s = T.from_values(spark, {"1": line, "2": line, "3": [1.0] * 100, "4": [0.0] * 100})
+    assert [round(r.dist, 6) for r in rows(mpdist.pairwise(s, 8), "id_a", "id_b")] == [0, 4, 4, 4, 4, 4]
+
+
+def test_known_clusters(spark):
+    rng = np.random.RandomState(9999)
+    a, b, c = (rng.uniform(size=1024).tolist() for _ in range(3))
+    tree, out = cluster.hierarchical(T.from_values(spark, {"1": a, "2": a, "3": b, "4": b, "5": c}), 64, 2)
+    assert [r.cluster for r in rows(out, "series_id")] == [1, 1, 2, 2, 3]
+    assert abs(tree.correlation - 0.9999870997174531) < 1e-6
+
+
+def test_linkage_equals_plain_search():
+    """The chain against searching all pairs for every merge."""
+    rng = np.random.default_rng(2)
+    for m in (2, 5, 12):
+        d = rng.random((m, m))
+        d = np.round(d + d.T, 6)
+        np.fill_diagonal(d, 0)
+        for method in cluster.METHODS:
+            groups = {i: ([i], 1) for i in range(m)}
+            dist = {(i, j): d[i, j] for i in range(m) for j in range(i)}
+            want = []
+            for step in range(m - 1):
+                (x, y), h = min(dist.items(), key=lambda kv: kv[1])
+                want.append((min(x, y), max(x, y), h, groups[x][1] + groups[y][1]))
+                get = lambda p, q: dist[max(p, q), min(p, q)]
+                new = m + step
+                for k in groups:
+                    if k not in (x, y):
+                        p, q = get(x, k), get(y, k)
+                        nx, ny = groups[x][1], groups[y][1]
+                        dist[new, k] = {"single": min(p, q), "complete": max(p, q), "average": (nx * p + ny * q) / (nx + ny), "weighted": (p + q) / 2}[method]
+                groups[new] = ([], groups[x][1] + groups[y][1])
+                del groups[x], groups[y]
+                dist = {k: v for k, v in dist.items() if not {x, y} & set(k)}
+            assert np.allclose(cluster.linkage(d, method), want)
+    z = cluster.linkage(d, "single")
+    assert cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "monocrit", z[:, 2]).tolist() == cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "distance").tolist()
+    with pytest.raises(ValueError):
+        cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "monocrit")
