@@ -40,7 +40,8 @@ from seriesloom.llm.common import bounded, keep, release, tidy
 
 KAPPA = 8.0
 ROWS = 4096  # documents in a block
-LONG = 4096  # bytes; blocks of longer texts hold fewer, in proportion
+LONG = 1 << 15  # bytes; blocks of longer texts hold fewer, in proportion
+HELD = 6  # parts of a block, of a few MB each, whose tokens are kept between the two steps of a traversal
 SHARD_BYTES = 4 << 20  # of text per shard of the key space
 LEAST_SHARD_BITS = 8
 _U = np.uint64
@@ -103,7 +104,7 @@ def unpack(b: bytes, skip: int, width: int, top: int) -> np.ndarray:
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of n over each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[at], np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
@@ -129,27 +130,25 @@ def requests(bits: int, width: int):
         return pa.RecordBatch.from_arrays(arrays, ["shard", "block", "keys", "counts", "words"])
 
     def run(batches):
-        now, parts = None, []
+        waiting: dict[int, list] = {}
         for batch in batches:
             for at, texts in X.pieces(batch.column(2)):
                 block = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
                 train = batch.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
-                # rows of a block need not lie side by side; what a task sends in parts the shard adds up
                 order = np.argsort(block, kind="stable")
                 edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
-                for a, b in zip(edges[:-1], edges[1:]):
-                    mine = order[a:b]
-                    if parts and now != block[mine[0]]:
-                        yield flush(now, parts)
-                        parts = []
-                    now = int(block[mine[0]])
+                here = {int(block[order[a]]): order[a:b] for a, b in zip(edges[:-1], edges[1:])}
+                # a block's rows are near each other; what is sent in parts the shard adds up
+                for k in [k for k in waiting if k not in here]:
+                    yield flush(k, waiting.pop(k))
+                for k, mine in here.items():
                     t = Tokens(texts.take(pa.array(mine)), width)
                     n = train[mine][t.doc].astype(np.int64)
                     # add up within a few MB at a time, so that a block's parts stay small
-                    some = [summed(k, x) for k, x in ((t.word, n), (t.pair, n), (t.triple, np.delete(n, t.first)))]
-                    parts.append((np.concatenate([k for k, _ in some]), np.concatenate([x for _, x in some]), np.concatenate([np.full(len(k), not i) for i, (k, _) in enumerate(some)])))
-        if parts:
-            yield flush(now, parts)
+                    some = [summed(key, x) for key, x in ((t.word, n), (t.pair, n), (t.triple, np.delete(n, t.first)))]
+                    waiting.setdefault(k, []).append((np.concatenate([key for key, _ in some]), np.concatenate([x for _, x in some]), np.concatenate([np.full(len(key), not i) for i, (key, _) in enumerate(some)])))
+        for k, parts in waiting.items():
+            yield flush(k, parts)
 
     return run
 
@@ -183,24 +182,30 @@ def answers(bits: int, width: int):
     return run
 
 
+class Found:
+    """The tokens of some texts, their keys as places among the distinct ones in order."""
+
+    def __init__(self, texts, width: int):
+        t = Tokens(texts, width)
+        self.n, self.doc, self.first = t.n, t.doc.astype(np.int32), t.first
+        self.uniq, at = np.unique(t.keys(), return_inverse=True)
+        self.at = at.astype(np.int32)
+
+
 class Automaton:
     """The part of the automaton that some texts can reach: counts of their n-grams, by key in order."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, kappa: float = KAPPA):
         self.keys, self.counts, self.n, self.v, self.kappa = keys, counts, n, v, kappa
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        uniq, at = np.unique(keys, return_inverse=True)
-        return self.counts[np.searchsorted(self.keys, uniq)][at]
-
-    def run(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(self, t: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every token whether it is known, its weight at the root, and what the traversal adds up at it.
 
         A state is a suffix of what was read, so the states of all tokens are known at once, and all
         tokens take their arcs together: at each order those without one take the failure arc instead and go on an order below.
         """
-        c = self.count(t.keys())
-        m = len(t.word)
+        c = self.counts[np.searchsorted(self.keys, t.uniq)][t.at]
+        m = len(t.doc)
         inner = np.delete(np.arange(m), t.first)
         seen = [c[:m], c[m : 2 * m], np.zeros(m, np.int64)]  # the n-gram that ends in a token, by order
         seen[2][inner] = c[2 * m :]
@@ -234,18 +239,18 @@ def traverse(texts, counts: np.ndarray, n: int, v: int, width: int = 64, kappa:
 
     Goes over the texts a few MB at a time, first for the keys and then to score.
     """
-
-    def tokens():
-        return (Tokens(part, width) for _, part in X.pieces(texts))
-
-    some = [np.unique(t.keys()) for t in tokens()]
-    keys = np.sort(some[0]) if len(some) == 1 else np.unique(np.concatenate(some)) if some else np.zeros(0, _U)
-    del some
+    parts = [part for _, part in X.pieces(texts)]
+    held = [Found(part, width) for part in parts[:HELD]]
+    rest = [np.unique(Tokens(part, width).keys()) for part in parts[HELD:]]
+    some = [t.uniq for t in held] + rest
+    keys = some[0] if len(some) == 1 else np.unique(np.concatenate(some)) if some else np.zeros(0, _U)
+    del some, rest
     if len(keys) != len(counts):
         raise ValueError(f"a block has {len(keys)} keys and got {len(counts)} counts")
     machine = Automaton(keys, counts, n, v, kappa)
     out = []
-    for t in tokens():
+    for i, part in enumerate(parts):
+        t = held[i] if i < HELD else Found(part, width)
         known, root, weight = machine.run(t)
         docs = len(t.n)
         out.append((t.n.astype(np.int64), np.bincount(t.doc, known, docs).astype(np.int64), np.full(docs, n, np.int64), np.bincount(t.doc, root, docs), np.bincount(t.doc, weight, docs)))
