@@ -159,13 +159,15 @@ def em(patterns: np.ndarray, n: np.ndarray, steps: int = 500, tol: float = 1e-10
     (``Model.path``, per document).  They tell which class is the good one, and what a vote alone is worth: rules for
     different faults hardly ever vote on the same document, so agreement alone would not tell.
     """
-    rules = patterns.shape[1]
     total = max(float(n.sum()), 1.0)
     one_hot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
-    seed = np.array([PRIOR_BAD, PRIOR_GOOD])  # class, vote
+    # no more than the expected share of documents is bad, so what a rule rejects beyond it are false alarms of this corpus
+    rate = (n[:, None] * (patterns == 0)).sum(axis=0) / total
+    false = np.clip((rate - (1 - PRIOR_SHARE)) / PRIOR_SHARE, 0, 0.999)[:, None]
+    seed = np.stack([false * np.array([1.0, 0.0, 0.0]) + (1 - false) * np.array(v) for v in (PRIOR_BAD, PRIOR_GOOD)])  # class, rule, vote
     worth = np.array([WORTH_BAD, WORTH_GOOD]) * total
     share = np.array([1 - PRIOR_SHARE, PRIOR_SHARE])
-    p, prior, path = np.repeat(seed[:, None, :], rules, axis=1), share, []
+    p, prior, path = seed.copy(), share, []
     for _ in range(steps):
         like = np.stack([np.log(prior[c]) + (one_hot * np.log(p[c])).sum(axis=(1, 2)) for c in (0, 1)], axis=1)
         top = like.max(axis=1, keepdims=True)

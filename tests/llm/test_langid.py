@@ -17,6 +17,42 @@ def rows(n, seed=0):
     return out
 
 
+def plain_predict(model, text):
+    """Language, score and acceptance, byte window by byte window."""
+    text = text or ""
+    if not any(c.isalpha() for c in text):
+        return L.UNKNOWN, 0.0, False
+    fold = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+    total, count, mask = np.zeros(len(model.langs)), 0, (1 << 32) - 1
+    for n in L.ORDERS:
+        for i in range(len(fold) - n + 1):
+            if fold[i : i + n] != b" " * n:
+                h = (int.from_bytes(fold[i : i + n], "big") + n * 0x3C6EF372) * 0x9E3779B1 & mask
+                total += model.logits[((h ^ h >> 15) * 0x85EBCA6B & mask) >> 17]
+                count += 1
+    z = (total / max(count, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max()), bool(p.max() >= model.threshold)
+
+
+def test_prediction_equals_a_plain_one():
+    model = L.train([(lang, *b) for (_, _, lang, _), b in zip(rows(60), L.bags(pa.array([r[1] for r in rows(60)])))])
+    texts = [r[1] for r in rows(12, 5)] + ["a", "Éa 1 Z", "日本 qwx", "12", None, "zzt  \n lorem"]
+    for got, text in zip(zip(*model.predict(pa.array(texts, pa.string()))), texts):
+        want = plain_predict(model, text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-4 and bool(got[2]) == want[2]
+
+
+def test_repeated_ids_train_once(spark):
+    once = rows(60)
+    docs = spark.createDataFrame(once + [(i, "zzz " + t, lang, s) for i, t, lang, s in once] * 20, "doc_id long, text string, lang string, l string")
+    few = spark.createDataFrame(once, "doc_id long, text string, lang string, l string")
+    a, b = L.fit(docs, sample=30), L.fit(few, sample=60)
+    assert a.langs == b.langs == ["aa", "bb", "cc"]
+    out = L.identify(few, a, carry=["doc_id", "lang"]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.95
+
+
 def test_bags_are_plain_byte_windows():
     text = "Ab é1c  d"
     fold = [b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode()]

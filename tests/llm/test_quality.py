@@ -90,6 +90,16 @@ def test_a_rule_that_often_errs_does_not_turn_the_classes_round():
     assert (kept == good).mean() > 0.9 and not kept[~good].any()
 
 
+@pytest.mark.parametrize("rate", [0.4, 0.8, 1.0])
+def test_a_rule_that_most_documents_fail_rejects_none_by_itself(rate):
+    rng = np.random.default_rng(2)
+    good = rng.random(5_000) < 0.95
+    votes = np.where(rng.random((5_000, len(quality.RULES))) < np.where(good[:, None], 0.001, 0.4), 0, 2)
+    votes[:, 3] = np.where(rng.random(5_000) < rate, 0, 2)
+    _, kept = verdicts(votes)
+    assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.2
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
 def test_verdicts_agree_with_quality_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -106,26 +116,34 @@ def test_long_text_and_names_that_clash(spark):
     assert quality.filter_quality(docs).columns == docs.columns
 
 
+def plain_verdict(m, text):
+    """(posterior, kept) from plain counts and the model's table."""
+    n, chars, symbols, dup, repeat = brute(text)
+    t = text or ""
+    letters = sum(b >= 0xC0 or chr(b).isalpha() and b < 128 for b in t.encode())
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    w = WORD.findall(t)
+    over = lambda a, b: a / b if b else None
+    value = {
+        "length": n, "word_length": over(chars, n), "symbols": over(symbols, n), "repeats": over(repeat, n), "dup_lines": over(dup, lines),
+        "capitals": over(sum("A" <= c <= "Z" for c in t), letters), "marks": over(sum(c in "!?" for c in t), n), "echoes": over(sum(a == b for a, b in zip(w, w[1:])), n),
+        "sentences": over(sum(c in ".!?" for c in t), n), "line_length": over(n, lines), "letters": over(letters, chars),
+    }
+    z = m.prior
+    for i, (name, _, bad_lo, good_lo, good_hi, bad_hi) in enumerate(quality.RULES):
+        x = value[name]
+        bad = x is not None and ((bad_lo is not None and x < bad_lo) or (bad_hi is not None and x > bad_hi))
+        good = x is not None and (bad_lo is None or x >= good_lo) and (bad_hi is None or x <= good_hi)
+        z += m.weight[i][0 if bad else 2 if good else 1]
+    p = 1 / (1 + np.exp(-z))
+    return p, n >= 50 and 100 * repeat <= 50 * n and p >= 0.5
+
+
 def test_verdict_is_the_posterior_of_the_votes(spark):
-    """The whole operator against plain Python: votes from plain counts, verdict from the model's own table."""
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["go! " * 90, "The cat sat. " * 40, "alpha beta gamma delta. " * 3, "x # " * 60, None] * 3)], "doc_id long, text string")
+    """The whole operator against plain Python."""
+    texts = ["go! " * 90, "The cat sat. " * 40, "alpha beta gamma delta. " * 3, "x # " * 60, None, "Été à la plage.\n" * 30 + "Über ß " * 40, "\n\n a\n a\n" * 20]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
     m = quality.fit(docs)
     for r in quality.judge(docs, carry=["doc_id", "text"], model=m).collect():
-        n, chars, symbols, dup, repeat = brute(r.text)
-        t = r.text or ""
-        letters = sum(c.isascii() and c.isalpha() for c in t)
-        w = WORD.findall(t)
-        value = {
-            "length": n, "word_length": chars / n if n else None, "symbols": symbols / n if n else None, "repeats": repeat / n if n else None,
-            "dup_lines": dup / r.q_lines if r.q_lines else None, "capitals": sum(c.isupper() for c in t) / letters if letters else None,
-            "marks": sum(c in "!?" for c in t) / n if n else None, "echoes": sum(a == b for a, b in zip(w, w[1:])) / n if n else None,
-            "sentences": sum(c in ".!?" for c in t) / n if n else None, "line_length": n / r.q_lines if r.q_lines else None, "letters": letters / chars if chars else None,
-        }
-        z = m.prior
-        for i, (name, _, bad_lo, good_lo, good_hi, bad_hi) in enumerate(quality.RULES):
-            x = value[name]
-            bad = x is not None and ((bad_lo is not None and x < bad_lo) or (bad_hi is not None and x > bad_hi))
-            good = x is not None and (bad_lo is None or x >= good_lo) and (bad_hi is None or x <= good_hi)
-            z += m.weight[i][0 if bad else 2 if good else 1]
-        assert abs(r.quality - 1 / (1 + np.exp(-z))) < 1e-9
-        assert r.kept == (n >= 50 and 100 * repeat <= 50 * n and r.quality >= 0.5)
+        p, kept = plain_verdict(m, r.text)
+        assert abs(r.quality - p) < 1e-9 and r.kept == kept
