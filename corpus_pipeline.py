@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``.  ``run`` writes each stage's rows to the folder in
 ``spark.checkpoint.dir`` and reads them again, so a lost executor repeats one
 stage at most.
+
+Defined results: a row without text fails the quality rules and goes, whatever its other columns hold; so does a text without a
+letter, at the latest in the second stage.  Of rows that repeat as a whole, or share doc_id and shingles, the third
+stage keeps one; a null doc_id is no name, so of two such rows with different texts both stay.  Texts of any length are read whole, ties go to
+the least doc_id, other columns, whatever their names, are carried along; an empty table gives an empty table, and an
+empty benchmark (or items without words) leaves all documents.
 """
 
 from __future__ import annotations
