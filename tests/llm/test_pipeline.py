@@ -105,7 +105,7 @@ def test_decontamination_decides_by_item(spark, tmp_path):
 def test_odd_rows_and_names(spark, tmp_path):
     """Nulls in every column, repeated rows, long texts, and columns whose names the operators use."""
     word = lambda k: "ka" + chr(97 + k % 9) + chr(97 + k // 9)
-    good = "\n".join(" ".join(word((i * 7 + j) % 90) for j in range(12)) + "." for i in range(12))
+    good = "\n".join(" ".join(word((i * 31 + j * 17 + i * j * 7) % 90) for j in range(12)) + "." for i in range(12))
     rows = [(1, good, "aa", "s", 1, 5, "h"), (1, good, "aa", "s", 1, 5, "h"), (None, None, None, None, None, None, None), (2, None, "aa", None, 0, 1, "x")]
     rows += [(3, (good + "\n") * 1 + " ".join(f"été{i}ß." for i in range(30_000)), None, "s", 9, 2, "y"), (None, good.replace("ka", "mu"), "aa", "s", 3, 3, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, class int, h string")
