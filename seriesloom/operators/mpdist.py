@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from seriesloom.errors import check_fraction, check_window
 from seriesloom.functions.sliding import missing
 from seriesloom.operators import nearest
-from seriesloom.session import ship
+from seriesloom.session import checkpoints, ship
 from seriesloom.sources.tables import pack
 
 
@@ -147,12 +147,15 @@ def _vector(ts: np.ndarray, query: np.ndarray, w: int, threshold: float = 0.05)
     return both[np.arange(len(both)), np.maximum(place, 0)]
 
 
+CANDIDATES = 64  # stretches whose vectors one task computes for one block
+
+
 def snippets(series: DataFrame, size: int, k: int = 2, w: int | None = None) -> DataFrame:
     """(series_id, rank, idx, snippet, neighbors, fraction): the stretches that stand for most of a series.
 
-    Candidates are the stretches that start at multiples of ``size`` (the series is filled up with zeros);
-    their distance vectors are computed in parallel, one group per candidate, and the greedy choice sees one vector
-    per candidate.
+    Candidates are the stretches that start at multiples of ``size`` (the series is filled up with zeros).  Their
+    distance vectors are computed and kept in blocks, some candidates and one block a task; a pick is one
+    sum per candidate over all blocks, and no task holds a series or a whole vector.
     """
     if isinstance(size, bool) or not isinstance(size, int) or size < 4:
         raise ValueError("the snippet size must be an integer of at least 4")
@@ -160,47 +163,61 @@ def snippets(series: DataFrame, size: int, k: int = 2, w: int | None = None) ->
     if w >= size:
         raise ValueError("the window must be shorter than a snippet")
     ship(series.sparkSession)
-    packed = pack(series)
-    shortest = packed.agg(F.min(F.size("values"))).first()[0]
+    checkpoints(series.sparkSession)
+    spans = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    shortest = spans.agg(F.min("n")).first()[0]
     if shortest is not None and shortest < 2 * size:
         raise ValueError("a series is too short for such snippets")
-    padded = packed.withColumn("n", F.size("values"))
-    padded = padded.withColumn("ts", F.concat("values", F.array_repeat(F.lit(0.0), (F.ceil(F.col("n") / size) * size - F.col("n")).cast("int"))))
-    cands = padded.select("series_id", "n", "ts", F.explode(F.sequence(F.lit(0), F.size("ts") - size - 1, F.lit(size))).alias("start"))
+    spans = spans.withColumn("m", (F.ceil(F.col("n") / size) * size).cast("bigint"))
+    more = spans.filter("n < m").select("series_id", F.explode(F.sequence(F.col("n"), F.col("m") - 1)).alias("idx"), F.lit(0.0).alias("value"))
+    padded = series.select("series_id", F.col("idx").cast("bigint").alias("idx"), "value").unionByName(more)
+    cut = nearest.blocks(padded, size - 1, nearest.BLOCK)
+    start = F.floor(F.col("idx") / size) * size
+    points = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"])
+    cands = padded.join(spans, "series_id").filter(start < F.col("m") - size).groupBy("series_id", start.cast("bigint").alias("start")).agg(points.alias("query"))
+    dealt = cands.groupBy("series_id", F.floor(F.col("start") / (size * CANDIDATES)).alias("c")).agg(F.collect_list(F.struct("start", "query")).alias("cands"))
 
     def vectors(batches):
         for batch in batches:
-            out = []
-            for ts, start in zip(batch.column("ts").to_pylist(), batch.column("start").to_pylist()):
-                ts = np.array(ts, float)
-                out.append(_vector(ts, ts[start : start + size - 1], w).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("series_id"), batch.column("n"), batch.column("start"), pa.array(out, pa.list_(pa.float64()))], ["series_id", "n", "start", "d"])
-
-    parallel = cands.repartition(max(8, series.sparkSession.sparkContext.defaultParallelism), "series_id", "start")
-    scored = parallel.mapInArrow(vectors, "series_id string, n int, start int, d array<double>")
-
-    def greedy(key, table):
-        order = np.argsort(table.column("start").to_numpy())
-        starts = table.column("start").to_numpy()[order]
-        d = np.array(table.column("d").to_pylist(), float)[order]
-        n = table.column("n").to_pylist()[0]
-        best, picked = np.full(d.shape[1], np.inf), []
-        for _ in range(k):
-            at = int(np.minimum(d, best).sum(axis=1).argmin())
-            best = np.minimum(best, d[at])
-            picked.append(at)
-        rest, out = best.copy(), []
-        padded_n = len(starts) * size + size if len(starts) else n
-        for place, at in enumerate(picked):
-            mask = d[at] <= rest
-            near = [int(x) for x in np.flatnonzero(mask) if x <= n - size]
-            if near and near[-1] == n - size:
-                near += range(n - size + 1, n)
-            out.append((key[0].as_py(), place + 1, int(starts[at]), near, float(mask.sum()) / (padded_n - size)))
-            rest = rest - mask  # a window that two snippets explain equally well counts once
-        names = ["series_id", "rank", "idx", "neighbors", "fraction"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
-
-    chosen = scored.groupBy("series_id").applyInArrow(greedy, "series_id string, rank int, idx bigint, neighbors array<bigint>, fraction double")
-    return chosen.join(padded.select("series_id", "ts"), "series_id").select("series_id", "rank", "idx", F.expr(f"slice(ts, cast(idx + 1 as int), {size})").alias("snippet"), "neighbors", "fraction")
+            for sid, block, values, some in zip(*[batch.column(c).to_pylist() for c in ("series_id", "block", "values", "cands")]):
+                ts = _known(values)
+                if len(ts) < size - 1:
+                    continue
+                d = [_vector(ts, _known(x["query"])[: size - 1], w)[: nearest.BLOCK] for x in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([sid] * len(some), pa.string()), pa.array([x["start"] for x in some], pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([x.tolist() for x in d], pa.list_(pa.float64()))],
+                    ["series_id", "start", "block", "d"],
+                )
+
+    scored = cut.join(dealt, "series_id").mapInArrow(vectors, "series_id string, start bigint, block bigint, d array<double>").checkpoint()
+    total = lambda d: F.sum(F.aggregate(d, F.lit(0.0), lambda s, v: s + v))
+    lower = lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))
+    best, picks = None, None
+    for rank_ in range(1, k + 1):
+        now = scored if best is None else scored.join(best, ["series_id", "block"]).withColumn("d", lower(F.col("d"), F.col("best"))).drop("best")
+        sums = now.groupBy("series_id", "start").agg(total(F.col("d")).alias("t")).groupBy("series_id").agg(F.min_by("start", F.struct("t", "start")).alias("start"))
+        pick = sums.select("series_id", F.lit(rank_).alias("rank"), "start").checkpoint()
+        best = now.join(pick, ["series_id", "start"]).select("series_id", "block", F.col("d").alias("best")).checkpoint()
+        picks = pick if picks is None else picks.unionByName(pick)
+    mine = scored.join(picks, ["series_id", "start"]).groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "d"))).alias("p")).join(best, ["series_id", "block"])
+
+    def explain(batches):
+        """Per block and pick: the places that it explains; one that two explain equally well counts for the first."""
+        for batch in batches:
+            rows = []
+            for sid, block, chosen, rest in zip(*[batch.column(c).to_pylist() for c in ("series_id", "block", "p", "best")]):
+                rest = np.array(rest)
+                for x in chosen:
+                    hit = np.array(x["d"]) <= rest
+                    rest = rest - hit
+                    rows.append((sid, x["rank"], x["start"], (np.flatnonzero(hit) + block * nearest.BLOCK).tolist()))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["series_id", "rank", "idx", "hits"])
+
+    hits = mine.mapInArrow(explain, "series_id string, rank int, idx bigint, hits array<bigint>")
+    hits = hits.groupBy("series_id", "rank", "idx").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).join(spans, "series_id")
+    near = F.filter("hits", lambda x: x <= F.col("n") - size)
+    # the last whole stretch stands for what is left of the series too
+    tail = F.when(F.array_contains("hits", F.col("n") - size), F.sequence(F.col("n") - size + 1, F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))
+    shapes = padded.join(picks, "series_id").filter((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + size)).groupBy("series_id", "rank").agg(points.alias("snippet"))
+    return hits.join(shapes, ["series_id", "rank"]).select("series_id", "rank", "idx", "snippet", F.concat(near, tail).alias("neighbors"), (F.size("hits") / (F.col("m") - size)).alias("fraction"))

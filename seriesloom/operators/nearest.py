@@ -119,6 +119,8 @@ def sweep(a, a0: int, b, b0: int, w: int, zone: int, first: bool, same: bool, st
                 out = out | (np.abs(gap) <= zone)
             if keep_diagonal is not None:
                 out = out | ~keep_diagonal(np.abs(gap) if same else gap)
+            if not same and rows_of is not None:
+                out = out | ~rows_of(i)[:, None]
             both = np.where(out, -np.inf, r)
             if not same:
                 # side 0 is a neighbour that starts no later than the window itself
@@ -174,6 +176,8 @@ def sweep_long(a, a0: int, b, b0: int, w: int, zone: int, first: bool, same: boo
             best_a.line(1, i, at, rows, cols)
             best_b.line(0, j, of, cols, rows)
         else:
+            if rows_of is not None:
+                r = np.where(rows_of(rows), r, -np.inf)
             best_a.line(0 if gap <= 0 else 1, i, r, rows, cols)
             best_b.line(0 if gap >= 0 else 1, j, r, cols, rows)
     return best_a, best_b
@@ -369,39 +373,48 @@ def exact_rows(series: DataFrame, w: int, query: DataFrame | None = None, block:
     return self_join(series, w, zone=zone_half, tie="first", sides=True, block=block)
 
 
-def sampled(series: DataFrame, w: int, sample_pct: float = 0.1, seed: int = 0, query: DataFrame | None = None, block: int | None = None) -> DataFrame:
-    """Approximate profile from a seeded sample of diagonals; exact at 1.0."""
+def sampled(series: DataFrame, w: int, sample_pct: float = 0.1, seed: int = 0, query: DataFrame | None = None, block: int | None = None, step_size: float | None = 0.25) -> DataFrame:
+    """Approximate profile: what ``stepped`` finds, then a seeded sample of all diagonals; exact at 1.0.  Without ``step_size`` the sample alone."""
     check_window(w)
     check_fraction(sample_pct, "sample_pct")
     same = query is None
-    found = choose(pairs(series, query, [w], zone_quarter, "nearest", block, sample_pct, seed), "nearest", same)
-    return profile(series, found.filter("part = 0"), [w], same)
+    found = pairs(series, query, [w], zone_quarter, "nearest", block, sample_pct, seed)
+    if step_size is not None and sample_pct < 1:
+        found = found.unionByName(_followed(series, query, w, step_size, block))
+    return profile(series, choose(found, "nearest", same).filter("part = 0"), [w], same)
 
 
-def stepped(series: DataFrame, w: int, step_size: float = 0.25, block: int | None = None) -> DataFrame:
+def stepped(series: DataFrame, w: int, step_size: float = 0.25, block: int | None = None, query: DataFrame | None = None) -> DataFrame:
     """Approximate profile from every ``floor(w * step_size)``-th window, whose matches are followed along their diagonals.
 
-    A sampled window finds its exact neighbour j; then the windows up to a step
+    A sampled window finds its exact neighbour j (in ``query``, if given); then the windows up to a step
     beside it are compared with those beside j, for both ends.
     """
     check_window(w)
     check_fraction(step_size, "step_size")
-    step = max(1, math.floor(w * step_size))
-    seeds = choose(pairs(series, None, [w], zone_quarter, "nearest", block, every=step), "nearest", True).select("series_id", "idx", "j")
+    return profile(series, choose(_followed(series, query, w, step_size, block), "nearest", query is None), [w], query is None)
+
+
+def _followed(series: DataFrame, query: DataFrame | None, w: int, step_size: float, block: int | None) -> DataFrame:
+    """``_RESULT`` rows of the windows beside sampled ones and their neighbours."""
     from seriesloom.functions.sliding import windows as sliding
 
-    n = series.groupBy("series_id").agg((F.max("idx") - (w - 1)).alias("last"))
+    step, same = max(1, math.floor(w * step_size)), query is None
+    seeds = choose(pairs(series, query, [w], zone_quarter, "nearest", block, every=step), "nearest", same).filter("part = 0").select("series_id", "idx", "j")
+    last = lambda s, name: s.groupBy("series_id").agg((F.max("idx") - (w - 1)).alias(name))
+    other = series if same else query
     shift = F.explode(F.sequence(F.lit(-step), F.lit(step))).alias("d")
-    near = seeds.select("series_id", "idx", "j", shift).select("series_id", (F.col("idx") + F.col("d")).alias("i"), (F.col("j") + F.col("d")).alias("j")).join(n, "series_id")
-    near = near.filter("i >= 0 and j >= 0 and i <= last and j <= last").drop("last").distinct()
-    win = sliding(series, w).withColumn("window", _normal(F.col("window"), w))
-    x = near.join(win.select("series_id", F.col("idx").alias("i"), F.col("window").alias("x")), ["series_id", "i"])
-    y = x.join(win.select("series_id", F.col("idx").alias("j"), F.col("window").alias("y")), ["series_id", "j"])
+    near = seeds.select("series_id", "idx", "j", shift).select("series_id", (F.col("idx") + F.col("d")).alias("i"), (F.col("j") + F.col("d")).alias("j"))
+    near = near.join(last(series, "last_i"), "series_id").join(last(other, "last_j"), "series_id").filter("i >= 0 and j >= 0 and i <= last_i and j <= last_j").select("series_id", "i", "j").distinct()
+    scaled = lambda s: sliding(s, w).withColumn("window", _normal(F.col("window"), w))
+    x = near.join(scaled(series).select("series_id", F.col("idx").alias("i"), F.col("window").alias("x")), ["series_id", "i"])
+    y = x.join(scaled(other).select("series_id", F.col("idx").alias("j"), F.col("window").alias("y")), ["series_id", "j"])
     r = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     both = y.select("series_id", "i", "j", F.least(F.round(r, 10), F.lit(1.0)).alias("r")).filter("not isnan(r)")
-    both = both.unionByName(both.select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "r"))
-    found = both.select("series_id", F.lit(0).alias("part"), F.lit(w).alias("w"), F.col("i").alias("idx"), (F.col("j") > F.col("i")).cast("int").alias("side"), "r", "j")
-    return profile(series, choose(found, "nearest", True), [w], True)
+    if same:
+        both = both.unionByName(both.select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    # in a join of two series side 0 is a neighbour that starts no later than the window itself; else none starts with it
+    return both.select("series_id", F.lit(0).alias("part"), F.lit(w).alias("w"), F.col("i").alias("idx"), (F.col("j") > F.col("i")).cast("int").alias("side"), "r", "j")
 
 
 def _normal(window: Column, w: int) -> Column:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom.operators import mass
 from seriesloom.operators import nearest as N
 from seriesloom.sources.tables import from_values
 
@@ -134,3 +135,33 @@ def test_long_windows_in_blocks(spark):
     c[np.abs(i[:, None] - i[None, :]) <= 225] = -2
     assert len(got) == len(z)
     assert all(abs(got[k][0] - np.sqrt(1800 * (1 - c[k].max()))) < 1e-4 for k in range(0, len(z), 7))
+
+
+def test_sampled_profiles_never_lie_below_the_exact_one(spark):
+    rng = np.random.default_rng(8)
+    x, y = np.sin(np.arange(300) / 7) + 0.3 * rng.normal(size=300), np.sin(np.arange(260) / 7) + 0.3 * rng.normal(size=260)
+    s, q = from_values(spark, {"a": x}), from_values(spark, {"a": y})
+    for other in (None, q):
+        exact = {r.idx: r.mp for r in (N.self_join(s, 16) if other is None else N.ab_join(s, q, 16)).collect()}
+        step = {r.idx: r.mp for r in N.stepped(s, 16, query=other).collect()}
+        few = {r.idx: r.mp for r in N.sampled(s, 16, 0.2, query=other, step_size=None).collect()}
+        both = {r.idx: r.mp for r in N.sampled(s, 16, 0.2, query=other).collect()}
+        assert set(step) == set(few) == set(both) == set(exact)
+        for i, least in exact.items():
+            assert both[i] >= least - 1e-9 and abs(both[i] - min(step[i], few[i])) < 1e-9
+        assert np.mean([abs(step[i] - exact[i]) < 0.5 for i in exact]) > 0.6
+        assert [abs(r.mp - exact[r.idx]) < 1e-9 for r in N.sampled(s, 16, 1.0, query=other).collect()] == [True] * len(exact)
+
+
+def test_long_queries_by_transforms(spark):
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=9000), rng.normal(size=300)
+    x[4000] = np.nan
+    got = {r.idx: r.dot for r in mass.sliding_dot(from_values(spark, {"a": x}), q.tolist()).collect()}
+    want = np.lib.stride_tricks.sliding_window_view(x, 300) @ q
+    assert len(got) == len(want)
+    assert all((got[i] is None) == bool(np.isnan(want[i])) and (got[i] is None or abs(got[i] - want[i]) < 1e-8) for i in range(0, len(want), 13))
+    more = mass.profile(from_values(spark, {"a": [1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 4.0, 5.0]}), [2.0, 1.0, 1.0, 4.0], extras=True).collect()
+    assert more[0].product == 12.0 and more[3].std == more[3].query_std
+    flat = mass.profile(from_values(spark, {"a": [1.0, 1.0 + 1e-12, 1.0, 1.0]}), [2.0, 1.0, 1.0, 4.0], threshold=1e-10).first()
+    assert flat.dist == 2.0
