@@ -1,9 +1,8 @@
 """Greedy discovery on profiles: discords, motifs, regimes; and the arc curve.
 
 A greedy pick excludes a fixed number of places around itself, so the first k picks
-are among the (k - 1) * (places + 1) + 1 best rows of a series.  Discords and
-regimes take just those to the task that picks; motifs need the series itself,
-since each pick brings the windows near it.
+are among the (k - 1) * (places + 1) + 1 best rows of a series, and only those go
+to the task that picks.  No task holds a whole series.
 """
 
 from __future__ import annotations
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.sliding import running_sum
 from seriesloom.operators import nearest
-from seriesloom.session import ship
-from seriesloom.sources.tables import pack
+from seriesloom.session import checkpoints, ship
 
 
 def _finite(c: str):
@@ -103,13 +101,21 @@ def pan_discords(pan: DataFrame, k: int = 3, zone: int | None = None) -> DataFra
     return greedy(pan, "mp", k, lambda _: _around(zone or 0), True, False, True).withColumnRenamed("value", "mp")
 
 
-def _profile_of(z: np.ndarray, at: int, w: int) -> np.ndarray:
-    """Distances of the window at ``at`` to all, a constant window being sqrt(w) from any other."""
-    d = np.sqrt(np.maximum(0.0, 2 * w * (1 - np.round(z @ z[at], 10))))
-    flat = ~z.any(axis=1)
-    if flat[at]:
+def _distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Distances of a query to the windows of x, a constant window being sqrt(w) from any other."""
+    w = len(query)
+    if w <= nearest.LONG:
+        z, q = nearest.normalise(x, w)[0], nearest.normalise(query, w)[0][0]
+        r, flat, same = z @ q, ~z.any(axis=1), not q.any()
+    else:
+        c, mean, inv, _ = nearest.moments(x, w)
+        cq, mq, iq, _ = nearest.moments(query, w)
+        n = 1 << (len(c) + w - 2).bit_length()
+        dot = np.fft.irfft(np.fft.rfft(c, n) * np.fft.rfft(cq[::-1], n), n)[w - 1 : len(c)]
+        r, flat, same = (dot - w * mean * mq[0]) * inv * iq[0], inv == 0, iq[0] == 0
+    if same:
         return np.where(flat, 0.0, math.sqrt(w))
-    return np.where(flat, math.sqrt(w), d)
+    return np.where(flat, math.sqrt(w), np.sqrt(np.maximum(0.0, 2 * w * (1 - np.round(r, 10)))))
 
 
 def motifs(series: DataFrame, profile: DataFrame, k: int = 3, zone: int | None = None, max_neighbors: int = 10, radius: float = 3.0, column: str = "mp") -> DataFrame:
@@ -120,66 +126,75 @@ def motifs(series: DataFrame, profile: DataFrame, k: int = 3, zone: int | None =
     places of any of them is out for what follows.  ``profile`` may hold several
     window lengths; then a pick is out only for its own length, and the zone
     defaults to half the length of the first motif.
+
+    A pick is one aggregation; its neighbours come from the series in blocks, and only the best of those within the
+    radius meet in a task.  Picks are written to the session's shared folder, a few rows each.
     """
     ship(series.sparkSession)
-    pan = profile.select("w").distinct().limit(2).count() > 1
-    rows = profile.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("w", "idx", F.col(column).alias("v"), "pi"))).alias("rows"))
-    both = rows.join(pack(series), "series_id")
-
-    def find(batches):
-        for batch in batches:
-            out = []
-            for sid, rows, values in zip(*[batch.column(c).to_pylist() for c in ("series_id", "rows", "values")]):
-                out += _motifs(sid, rows, np.array([np.nan if v is None else v for v in values], float), k, zone, max_neighbors, radius, pan)
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["series_id", "rank", "w", "role", "place", "idx"])
-
-    return both.mapInArrow(find, "series_id string, rank int, w int, role string, place int, idx bigint")
-
-
-def _motifs(sid, rows, values, k, zone, max_neighbors, radius, pan):
-    lengths = sorted({r["w"] for r in rows})
-    v, pi = {}, {}
-    for w in lengths:
-        mine = [r for r in rows if r["w"] == w]
-        v[w] = np.array([np.inf if r["v"] is None or not np.isfinite(r["v"]) else r["v"] for r in mine])
-        pi[w] = np.array([r["pi"] for r in mine])
-    z, out = {}, []
-
-    def shut(a, at):
-        if zone_now > 0:
-            a[max(0, at - zone_now) : at + zone_now + 1] = np.inf
-
-    zone_now = zone
+    checkpoints(series.sparkSession)
+    value = F.when(_finite(column), F.col(column))
+    rows = profile.select("series_id", "w", "idx", value.alias("v"), "pi").checkpoint()
+    pan = rows.select("w").distinct().limit(2).count() > 1
+    default = F.floor(F.col("w") / 2) if pan else F.ceil(F.col("w") / 4)
+    taken, zones, found = None, None, []
+
+    def free(df):
+        if taken is None:
+            return df
+        near = F.exists("at", lambda a: F.abs(F.col("idx") - a) <= F.greatest(F.col("z"), F.lit(0)))
+        return df.join(taken, ["series_id", "w"], "left").filter(F.col("at").isNull() | ~near).drop("at", "z")
+
+    def take(*more):
+        """The places that are out: those of before and of (series_id, w, idx) tables."""
+        every = None if taken is None else taken.select("series_id", "w", F.explode("at").alias("idx"))
+        for m in more:
+            every = m.select("series_id", "w", "idx") if every is None else every.unionByName(m.select("series_id", "w", "idx"))
+        return every.groupBy("series_id", "w").agg(F.collect_list("idx").alias("at")).join(zones, "series_id").checkpoint()
+
     for rank in range(1, k + 1):
-        w = min(lengths, key=lambda x: (v[x].min(), x))
-        at = int(v[w].argmin())
-        least = v[w][at]
-        if not np.isfinite(least) or pi[w][at] < 0:
+        best = free(rows.filter("v is not null")).groupBy("series_id").agg(F.min(F.struct("v", "w", "idx", "pi")).alias("p")).filter("p.pi >= 0")
+        if found:
+            best = best.join(found[-1].select("series_id"), "series_id", "left_semi")  # a series that ended has no more
+        pick = best.select("series_id", "p.w", F.col("p.v").alias("least"), F.least("p.idx", "p.pi").alias("a"), F.greatest("p.idx", "p.pi").alias("b")).checkpoint()
+        if not pick.limit(1).count():
             break
-        if zone_now is None:
-            zone_now = w // 2 if pan else math.ceil(w / 4)
-        first, second = sorted((at, int(pi[w][at])))
-        if w not in z:
-            z[w] = nearest.normalise(values, w)[0]
-        d = _profile_of(z[w], first, w)
-        d[~np.isfinite(v[w])] = np.inf
-        for x in (first, second):
-            shut(d, x)
-            shut(v[w], x)
-        if zone_now <= 0:
-            v[w][[first, second]] = np.inf  # without a zone a pick still is not picked again
-            d[[first, second]] = np.inf
-        out += [(sid, rank, w, "first", 0, first), (sid, rank, w, "second", 0, second)]
-        for place in range(1, max_neighbors + 1):
-            x = int(d.argmin())
-            if not np.isfinite(d[x]) or d[x] > radius * least:
-                break
-            out.append((sid, rank, w, "neighbor", place, x))
-            shut(d, x)
-            shut(v[w], x)
-            d[x] = np.inf
-    return out
+        if zones is None:
+            zones = pick.select("series_id", (default if zone is None else F.lit(zone)).cast("bigint").alias("z")).checkpoint()
+        found.append(pick)
+        pair = pick.select("series_id", "w", F.explode(F.array("a", "b")).alias("idx"))
+        taken = take(pair)
+        # the first occurrence as a query, against the blocks of its series
+        mine = series.join(pick.select("series_id", F.col("w").alias("w_"), "least", "a"), "series_id")
+        points = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"])
+        query = mine.filter("idx >= a and idx < a + w_").groupBy("series_id", "w_", "least").agg(points.alias("query"))
+        longest = pick.agg(F.max("w")).first()[0]
+        cut = nearest.blocks(mine.select("series_id", "idx", "value"), longest, nearest.BLOCK).join(query, "series_id")
+
+        def close(batches):
+            for batch in batches:
+                for sid, values, block, w, least, q in zip(*[batch.column(c).to_pylist() for c in ("series_id", "values", "block", "w_", "least", "query")]):
+                    x = np.array(values, float)
+                    d = _distances(x, np.array(q, float))[: nearest.BLOCK] if len(x) >= w else np.zeros(0)
+                    at = np.flatnonzero(d <= radius * least)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.string()), pa.array([w] * n, pa.int32()), pa.array(at + block * nearest.BLOCK, pa.int64()), pa.array(d[at])], ["series_id", "w", "idx", "d"])
+
+        near = cut.select("series_id", "values", "block", "w_", "least", "query").mapInArrow(close, "series_id string, w int, idx bigint, d double")
+        near = free(near.join(rows.filter("v is not null").select("series_id", "w", "idx"), ["series_id", "w", "idx"])).join(zones, "series_id")
+        others = None
+        for (z,) in zones.select("z").distinct().collect():  # one, or one of the lengths that were asked for
+            around = max(0, z)
+            part = greedy(near.filter(F.col("z") == z), "d", max_neighbors, lambda _, n=around: (n, n), False, False)
+            others = part if others is None else others.unionByName(part)
+        others = others.select("series_id", "w", "idx", F.col("rank").alias("place")).checkpoint()
+        taken = take(others.join(zones.filter("z > 0"), "series_id"))
+        found[-1] = pick.withColumn("rank", F.lit(rank))
+        role = lambda df, name, place: df.select("series_id", F.lit(rank).alias("rank"), "w", F.lit(name).alias("role"), place.cast("int").alias("place"), "idx")
+        out = role(pick.withColumn("idx", F.col("a")), "first", F.lit(0)).unionByName(role(pick.withColumn("idx", F.col("b")), "second", F.lit(0))).unionByName(role(others, "neighbor", F.col("place")))
+        result = out if rank == 1 else result.unionByName(out)
+    if not found:
+        return series.sparkSession.createDataFrame([], "series_id string, rank int, w int, role string, place int, idx bigint")
+    return result.select("series_id", "rank", F.col("w").cast("int").alias("w"), "role", "place", F.col("idx").cast("bigint").alias("idx"))
 
 
 def arc_curve(profile: DataFrame) -> DataFrame:
