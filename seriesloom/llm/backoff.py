@@ -39,7 +39,7 @@ from seriesloom.llm import textops as X
 from seriesloom.llm.common import bounded, keep, release, tidy
 
 KAPPA = 8.0
-ROWS = 4096  # documents in a block
+ROWS = 3072  # documents in a block
 LONG = 1 << 15  # bytes; blocks of longer texts hold fewer, in proportion
 HELD = 6  # parts of a block, of a few MB each, whose tokens are kept between the two steps of a traversal
 SHARD_BYTES = 4 << 20  # of text per shard of the key space
@@ -86,7 +86,8 @@ def wide(a: np.ndarray) -> bytes:
 
 
 def narrow(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    """The counts, as 32-bit numbers where those do."""
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64 if b[0] == 8 else np.uint32)
 
 
 def pack(keys: np.ndarray, skip: int, width: int) -> bytes:
@@ -190,6 +191,13 @@ class Found:
         self.n, self.doc, self.first = t.n, t.doc.astype(np.int32), t.first
         self.uniq, at = np.unique(t.keys(), return_inverse=True)
         self.at = at.astype(np.int32)
+        self.place = None
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the distinct keys stand among ``keys``; they are let go."""
+        if self.place is None:
+            self.place, self.uniq = np.searchsorted(keys, self.uniq).astype(np.int32), None
+        return self.place
 
 
 class Automaton:
@@ -204,7 +212,7 @@ class Automaton:
         A state is a suffix of what was read, so the states of all tokens are known at once, and all
         tokens take their arcs together: at each order those without one take the failure arc instead and go on an order below.
         """
-        c = self.counts[np.searchsorted(self.keys, t.uniq)][t.at]
+        c = self.counts[t.places(self.keys)][t.at].astype(np.int64)
         m = len(t.doc)
         inner = np.delete(np.arange(m), t.first)
         seen = [c[:m], c[m : 2 * m], np.zeros(m, np.int64)]  # the n-gram that ends in a token, by order
@@ -248,9 +256,13 @@ def traverse(texts, counts: np.ndarray, n: int, v: int, width: int = 64, kappa:
     if len(keys) != len(counts):
         raise ValueError(f"a block has {len(keys)} keys and got {len(counts)} counts")
     machine = Automaton(keys, counts, n, v, kappa)
+    for t in held:
+        t.places(keys)
     out = []
     for i, part in enumerate(parts):
         t = held[i] if i < HELD else Found(part, width)
+        if i < HELD:
+            held[i] = None
         known, root, weight = machine.run(t)
         docs = len(t.n)
         out.append((t.n.astype(np.int64), np.bincount(t.doc, known, docs).astype(np.int64), np.full(docs, n, np.int64), np.bincount(t.doc, root, docs), np.bincount(t.doc, weight, docs)))
