@@ -21,6 +21,7 @@ from seriesloom.session import checkpoints, ship
 from seriesloom.sources.tables import pack
 
 
+BINS = 4096
 SERIES = 64  # of a group of ``pairwise``; two groups make a task
 
 
@@ -37,12 +38,16 @@ def distance(series: DataFrame, other: DataFrame, w: int, threshold: float = 0.0
     both = nearest.profile(series, found.filter("part = 0"), [w], False).unionByName(nearest.profile(other, found.filter("part = 1"), [w], False))
     sizes = series.groupBy("series_id").agg(F.count("*").alias("na")).join(other.groupBy("series_id").agg(F.count("*").alias("nb")), "series_id")
     finite = both.filter(F.col("mp").isNotNull() & (F.col("mp") < float("inf")))
-    # a bounded share of distances is ever needed: keep counts of equal distances, then the place in their running count
-    counts = finite.groupBy("series_id", "mp").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("series_id").orderBy("mp"))
+    # the place is found among BINS counts first, and then among the distances of one bin, so a long series is not sorted
     place = F.least(F.col("all") - 1, F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb"))) - 1)
-    ranked = counts.withColumn("upto", upto).join(finite.groupBy("series_id").agg(F.count("*").alias("all")), "series_id").join(sizes, "series_id")
-    got = ranked.filter(F.col("upto") > place).groupBy("series_id").agg(F.min("mp").alias("dist"))
+    binned = finite.withColumn("bin", F.floor(F.col("mp") / math.sqrt(4 * w) * BINS))
+    counts = binned.groupBy("series_id", "bin").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("series_id").orderBy("bin"))
+    totals = counts.groupBy("series_id").agg(F.sum("n").alias("all")).join(sizes, "series_id").select("series_id", place.alias("place"))
+    one = counts.withColumn("upto", upto).join(totals, "series_id").filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
+    inside = binned.join(one.select("series_id", "bin", (F.col("place") - (F.col("upto") - F.col("n"))).alias("place")), ["series_id", "bin"])
+    equal = inside.groupBy("series_id", "mp").agg(F.count("*").alias("n"), F.max("place").alias("place"))
+    got = equal.withColumn("upto", F.sum("n").over(Window.partitionBy("series_id").orderBy("mp"))).filter(F.col("upto") > F.col("place")).groupBy("series_id").agg(F.min("mp").alias("dist"))
     return sizes.select("series_id").join(got, "series_id", "left").select("series_id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 
 

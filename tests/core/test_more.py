@@ -274,6 +274,10 @@ def test_known_clusters(spark):
     tree, out = cluster.hierarchical(T.from_values(spark, {"1": a, "2": a, "3": b, "4": b, "5": c}), 64, 2)
     assert [r.cluster for r in rows(out, "series_id")] == [1, 1, 2, 2, 3]
     assert abs(tree.correlation - 0.9999870997174531) < 1e-6
+    made = cluster.tables(spark, tree)
+    assert made["merges"].count() == 4 and made["cophenetic"].filter("height = 0").count() == 2
+    dist = [0, 8.2299501, 8.2299501, 8.29915377, 8.2299501, 8.2299501, 8.29915377, 0, 8.2558308, 8.2558308]
+    assert np.allclose([r.dist for r in rows(mpdist.pairwise(T.from_values(spark, {"1": a, "2": a, "3": b, "4": b, "5": c}), 64), "id_a", "id_b")], dist, atol=1e-6)
 
 
 def test_linkage_equals_plain_search():
