@@ -309,3 +309,18 @@ def test_linkage_equals_plain_search():
     assert cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "monocrit", z[:, 2]).tolist() == cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "distance").tolist()
     with pytest.raises(ValueError):
         cluster.assign(z, cluster.inconsistent(z, 2), 0.5, "monocrit")
+
+
+def test_rolling_keeps_the_newest_sums_of_the_horizon(spark, tmp_path):
+    seen, store = {}, str(tmp_path / "store")
+    batch = rolling.keep_profile(None, 4, lambda p, i: seen.update({i: rows(p, "idx")}), horizon=20)(store)
+    frame = lambda hours, f: spark.createDataFrame([("a", h, float(f(h))) for h in hours], "series_id string, h long, value double").select("series_id", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "value")
+    wave = lambda h: math.sin(h / 2)
+    batch(frame(range(15), lambda h: 100.0), 0)
+    batch(frame(range(15), wave), 1)  # lower than before, and newer
+    for i in range(2, 7):
+        batch(frame(range(5 * i + 5, 5 * i + 10), wave), i)
+    batch(frame(range(35, 40), wave), 6)  # once more
+    want = rows(nearest.self_join(T.from_values(spark, {"a": [wave(h) for h in range(20, 40)]}), 4), "idx")
+    assert [(r.idx, round(r.mp, 6), r.pi) for r in seen[6]] == [(r.idx, round(r.mp, 6), r.pi) for r in want]
+    assert len(list((tmp_path / "store").glob("batch=*"))) <= 4
