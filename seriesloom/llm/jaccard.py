@@ -574,6 +574,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     rows = docs.select(F.struct("*").alias("row")).withColumn("h", F.xxhash64(F.col(f"row.`{key}`")))
     plain = _only(rows, fate.select("h"), n_gone, "left_anti").select("row.*")
     if not n_often:
+        forget(base)
+        forget(classes)
         return plain
 
     def run(texts):

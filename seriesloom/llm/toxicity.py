@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import textops as X
-from seriesloom.llm.common import fields, keep, map_text
+from seriesloom.llm.common import fields, forget, keep, map_text
 
 SAMPLE = 16_000
 BEST = 4
@@ -636,18 +636,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         ids = F.broadcast(spark.createDataFrame(list(known.items()), marks.schema))
         texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(ids, "k")
         fold = (F.crc32(F.col("k").cast("string").cast("binary")).bitwiseAND(F.lit(0x7FFF)) % FOLDS_N).cast("int")
-        rows = keep(texts.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", (F.col("y") * FOLDS_N + fold).alias("g"), "t"), "labelled")
+        labelled = keep(texts.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", (F.col("y") * FOLDS_N + fold).alias("g"), "t"), "labelled")
         # one row of those with the same signature and label, so that copies do not vouch for each other's words
         first: dict = {}
-        for r in sorted(map_text(rows, "t", ["k", "y"], fields("s bigint"), lambda part: [signature(part)]).collect(), key=lambda r: r.k):
+        for r in sorted(map_text(labelled, "t", ["k", "y"], fields("s bigint"), lambda part: [signature(part)]).collect(), key=lambda r: r.k):
             first.setdefault((r.s, r.y), (r.k, r.y))
         ys = [y for _, y in first.values()]
+        if len(set(ys)) < 2:
+            forget(labelled)
     share = sum(ys) / len(ys) if ys else 0.0
     odds = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     none = Model(lm, {}, np.array([0, 0, 0, max(-30.0, odds)]), share)
     if not ys or share in (0.0, 1.0):
         return none
-    rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in first.values()], marks.select("k").schema)), "k").select("g", "t")
+    rows = labelled.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in first.values()], marks.select("k").schema)), "k").select("g", "t")
     letters = spark.sparkContext.broadcast(lm)
 
     def count(batches):
@@ -679,8 +681,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     for r in rows.groupBy("g").count().collect():
         n[r[0]] = r[1]
     n = n.reshape(2, FOLDS_N)
-    if not n.sum(axis=1).all():
-        return none
     sums = [F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n"))), F.lit(0)).alias(f"n{g}") for g in range(2 * FOLDS_N)]
     toxic, other = (F.sum(F.when((F.col("g") >= FOLDS_N) == y, F.col("n")).otherwise(0)) for y in (True, False))
     # what may weigh something in some lexicon: in enough toxic documents, and more often there than elsewhere; at most
@@ -707,6 +707,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     seen = np.array(rows.mapInArrow(look, "y int, a double, b double").collect(), float)
     shipped.destroy()
+    forget(labelled)
     seen = seen[np.lexsort(seen.T)]
     model.coef = logistic(np.column_stack([seen[:, 1], np.maximum(0, seen[:, 1] - STRONG), seen[:, 2]]), seen[:, 0])
     return model
