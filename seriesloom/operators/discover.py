@@ -202,6 +202,9 @@ def arc_curve(profile: DataFrame) -> DataFrame:
 
     Arcs run from a window to its neighbour; the expected number is a parabola half as high as the profile is long.
     """
+    # written once: sizes, arcs and places are read from it
+    checkpoints(profile.sparkSession)
+    profile = profile.select("series_id", "w", "idx", "pi").checkpoint()
     size = profile.groupBy("series_id").agg(F.count("*").alias("n"))
     arcs = profile.filter("pi >= 0").select("series_id", F.least("idx", "pi").alias("a"), F.greatest("idx", "pi").alias("b"))
     marks = arcs.select("series_id", (F.col("a") + 1).alias("idx"), F.lit(1).alias("d")).unionByName(arcs.select("series_id", F.col("b").alias("idx"), F.lit(-1).alias("d")))

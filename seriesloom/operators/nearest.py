@@ -396,31 +396,47 @@ def stepped(series: DataFrame, w: int, step_size: float = 0.25, block: int | Non
 
 
 def _followed(series: DataFrame, query: DataFrame | None, w: int, step_size: float, block: int | None) -> DataFrame:
-    """``_RESULT`` rows of the windows beside sampled ones and their neighbours."""
-    from seriesloom.functions.sliding import windows as sliding
+    """``_RESULT`` rows of the windows beside sampled ones and their neighbours.
 
+    A sampled window and its neighbour are one stretch of a diagonal; stretches are dealt to the pair of blocks
+    that they begin in and computed there with running sums.
+    """
     step, same = max(1, math.floor(w * step_size)), query is None
-    seeds = choose(pairs(series, query, [w], zone_quarter, "nearest", block, every=step), "nearest", same).filter("part = 0").select("series_id", "idx", "j")
-    last = lambda s, name: s.groupBy("series_id").agg((F.max("idx") - (w - 1)).alias(name))
     other = series if same else query
-    shift = F.explode(F.sequence(F.lit(-step), F.lit(step))).alias("d")
-    near = seeds.select("series_id", "idx", "j", shift).select("series_id", (F.col("idx") + F.col("d")).alias("i"), (F.col("j") + F.col("d")).alias("j"))
-    near = near.join(last(series, "last_i"), "series_id").join(last(other, "last_j"), "series_id").filter("i >= 0 and j >= 0 and i <= last_i and j <= last_j").select("series_id", "i", "j").distinct()
-    scaled = lambda s: sliding(s, w).withColumn("window", _normal(F.col("window"), w))
-    x = near.join(scaled(series).select("series_id", F.col("idx").alias("i"), F.col("window").alias("x")), ["series_id", "i"])
-    y = x.join(scaled(other).select("series_id", F.col("idx").alias("j"), F.col("window").alias("y")), ["series_id", "j"])
-    r = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    both = y.select("series_id", "i", "j", F.least(F.round(r, 10), F.lit(1.0)).alias("r")).filter("not isnan(r)")
-    if same:
-        both = both.unionByName(both.select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "r"))
-    # in a join of two series side 0 is a neighbour that starts no later than the window itself; else none starts with it
-    return both.select("series_id", F.lit(0).alias("part"), F.lit(w).alias("w"), F.col("i").alias("idx"), (F.col("j") > F.col("i")).cast("int").alias("side"), "r", "j")
-
-
-def _normal(window: Column, w: int) -> Column:
-    """A window scaled to mean 0 and norm 1; a constant one to 0."""
-    mean = F.aggregate(window, F.lit(0.0), lambda s, v: s + v) / w
-    centred = F.transform(window, lambda v: v - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v))
-    flat = F.array_max(window) == F.array_min(window)
-    return F.transform(centred, lambda v: F.when(flat, 0.0).otherwise(v / norm))
+    seeds = choose(pairs(series, query, [w], zone_quarter, "nearest", block, every=step), "nearest", same).filter("part = 0").select("series_id", "idx", "j")
+    back = F.least(F.col("idx"), F.col("j"), F.lit(step).cast("bigint"))
+    size = block or BLOCK
+    seeds = seeds.select("series_id", (F.col("idx") - back).alias("i"), (F.col("j") - back).alias("j"), (back + step + 1).alias("n"))
+    seeds = seeds.withColumn("p", F.floor(F.col("i") / size)).withColumn("q", F.floor(F.col("j") / size))
+    tiles = seeds.select("series_id", "p", "q").distinct()
+    span = w + 2 * step
+    none = F.lit(None).cast("bigint")
+    dealt = seeds.select("series_id", "p", "q", F.lit(2).alias("part"), F.lit(None).cast("array<double>").alias("values"), "i", "j", "n")
+    for part, (source, at) in enumerate(((series, "p"), (other, "q"))):
+        cut = blocks(source, span, size).withColumnRenamed("block", at)
+        dealt = dealt.unionByName(tiles.join(cut, ["series_id", at]).select("series_id", "p", "q", F.lit(part).alias("part"), "values", none.alias("i"), none.alias("j"), none.alias("n")))
+
+    def follow(key, table):
+        sid, p, q = (k.as_py() for k in key)
+        part = table.column("part").to_numpy()
+        values = [table.column("values")[int(np.flatnonzero(part == k)[0])].as_py() for k in (0, 1)]
+        (x, mean_x, inv_x, ok_x), (y, mean_y, inv_y, ok_y) = (moments(np.array(v, float), w) for v in values)
+        mine = np.flatnonzero(part == 2)
+        found = []
+        for i0, j0, n in zip(*(table.column(c).to_numpy(zero_copy_only=False)[mine].astype(np.int64) for c in ("i", "j", "n"))):
+            a, b = int(i0 - p * size), int(j0 - q * size)
+            n = min(int(n), len(mean_x) - a, len(mean_y) - b)
+            if n <= 0:
+                continue
+            s = np.concatenate([[0.0], np.cumsum(x[a : a + n + w - 1] * y[b : b + n + w - 1])])
+            i, j = slice(a, a + n), slice(b, b + n)
+            r = np.minimum(np.round((s[w:] - s[:-w] - w * mean_x[i] * mean_y[j]) * inv_x[i] * inv_y[j], 10), 1.0)
+            at = np.flatnonzero(ok_x[i] & ok_y[j])
+            rows, cols = i0 + at, j0 + at
+            # side 0 is a neighbour that starts before the window, or with it
+            for u, v in ((rows, cols), (cols, rows))[: 1 + same]:
+                if len(at):
+                    found.append((sid, 0, w, u, int(v[0] > u[0]), r[at], v))
+        return _table(found)
+
+    return dealt.groupBy("series_id", "p", "q").applyInArrow(follow, _RESULT)
