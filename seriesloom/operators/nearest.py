@@ -106,36 +106,46 @@ def sweep(a, a0: int, b, b0: int, w: int, zone: int, first: bool, same: bool, st
     za, ok_a, zb, ok_b = za[:starts], ok_a[:starts], zb[:starts], ok_b[:starts]
     best_a = Best(a0, len(za), first)
     best_b = best_a if b is a else Best(b0, len(zb), first)
+    def products(x, ok_x, i, y, ok_y, j):
+        """Correlations of windows i with windows j, -inf for pairs that do not count; and j - i."""
+        gap = j[None, :] - i[:, None]
+        out = ~ok_x[:, None] | ~ok_y[None, :]
+        if same:
+            out = out | (np.abs(gap) <= zone)
+        if keep_diagonal is not None:
+            out = out | ~keep_diagonal(np.abs(gap) if same else gap)
+        return np.where(out, -np.inf, np.minimum(np.round(x @ y.T, 10), 1.0)), gap
+
     for p in range(0, len(za), TILE):
-        x, i = za[p : p + TILE], np.arange(a0 + p, a0 + p + len(za[p : p + TILE]))
+        rows = (za[p : p + TILE], ok_a[p : p + TILE], np.arange(a0 + p, a0 + p + len(za[p : p + TILE])))
         for q in range(0, len(zb), TILE):
-            y, j = zb[q : q + TILE], np.arange(b0 + q, b0 + q + len(zb[q : q + TILE]))
-            if b is a and j[-1] < i[0]:
+            cols = (zb[q : q + TILE], ok_b[q : q + TILE], np.arange(b0 + q, b0 + q + len(zb[q : q + TILE])))
+            if b is a and cols[2][-1] < rows[2][0]:
                 continue
-            r = np.minimum(np.round(x @ y.T, 10), 1.0)
-            gap = j[None, :] - i[:, None]
-            out = ~ok_a[p : p + TILE, None] | ~ok_b[None, q : q + TILE]
-            if same:
-                out = out | (np.abs(gap) <= zone)
-            if keep_diagonal is not None:
-                out = out | ~keep_diagonal(np.abs(gap) if same else gap)
-            if not same and rows_of is not None:
-                out = out | ~rows_of(i)[:, None]
-            both = np.where(out, -np.inf, r)
+            some = rows if rows_of is None else tuple(v[rows_of(rows[2])] for v in rows)
+            i, j = some[2], cols[2]
             if not same:
-                # side 0 is a neighbour that starts no later than the window itself
-                best_a.add(0, np.where(gap <= 0, both, -np.inf), i, j)
-                best_a.add(1, np.where(gap > 0, both, -np.inf), i, j)
-                best_b.add(0, np.where(gap >= 0, both, -np.inf).T, j, i)
-                best_b.add(1, np.where(gap < 0, both, -np.inf).T, j, i)
+                if len(i):
+                    r, gap = products(*some, *cols)
+                    # side 0 is a neighbour that starts no later than the window itself
+                    best_a.add(0, np.where(gap <= 0, r, -np.inf), i, j)
+                    best_a.add(1, np.where(gap > 0, r, -np.inf), i, j)
+                    best_b.add(0, np.where(gap >= 0, r, -np.inf).T, j, i)
+                    best_b.add(1, np.where(gap < 0, r, -np.inf).T, j, i)
                 continue
-            right, left = np.where(gap > 0, both, -np.inf), np.where(gap > 0, both, -np.inf).T
-            if rows_of is not None:
-                best_a.add(1, np.where(rows_of(i)[:, None], right, -np.inf), i, j)
-                best_b.add(0, np.where(rows_of(j)[:, None], left, -np.inf), j, i)
-            else:
+            right = None
+            if len(i):
+                r, gap = products(*some, *cols)
+                right = np.where(gap > 0, r, -np.inf)
                 best_a.add(1, right, i, j)
-                best_b.add(0, left, j, i)
+            if rows_of is None:
+                best_b.add(0, right.T, j, i)
+                continue
+            # only the sampled windows on this side too
+            some = tuple(v[rows_of(cols[2])] for v in cols)
+            if len(some[2]):
+                r, gap = products(*some, *rows)
+                best_b.add(0, np.where(gap < 0, r, -np.inf), some[2], rows[2])
     return best_a, best_b
 
 
