@@ -183,7 +183,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` of the labelled rows, as evenly over languages as they allow."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    # a doc_id counts once, however many rows have it
+    rows = rows.groupBy(F.col(key).alias("k")).agg(F.min(lang).alias("l")).withColumn("h", F.xxhash64(F.col("k").cast("string")))
     # at most ``sample`` languages can be learnt from as many rows
     counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample).collect()
     if not counts:
