@@ -12,9 +12,11 @@ lengths of the lists that its shingles would have.
 
 Lists (and groups of one subset) of two classes or more are scanned; of lists with
 the same members one is.  An entry carries the set's size and a signature of
-``64 * WORDS`` bits, each the parity of the shingles that fall on it.  Sizes bound the
-overlap that two similar sets need, and the bits in which signatures differ bound
-the overlap that they can have; what passes both is a candidate.  A scan walks
+``64 * WORDS`` bits, each the parity of the shingles that fall on it; sets of more than two
+shingles a bit have longer ones (to ``64 * MOST_WORDS`` bits), which fold to shorter ones.
+Sizes bound the overlap that two similar sets need, and the bits in which signatures differ bound
+the overlap that they can have; what passes both is a candidate.  Were signatures of one length, those of
+long texts would differ in fewer bits than similar sets may, and chance would connect a large corpus's long texts.  A scan walks
 along candidates, so a group of near copies costs little more than one look at each
 member, and documents that merely share a passage are not joined.  A list of more than ``LIST`` classes is cut
 into chunks, and every pair of chunks becomes a group of its own.
@@ -57,7 +59,8 @@ SIZE = 4
 LEAST = (85, 100)  # least similarity, as a fraction
 SKETCH = 24
 SLICES = 512
-WORDS = 16  # of 64 bits, in a signature
+WORDS = 16  # of 64 bits, in the signature of a set of up to 128 * WORDS shingles
+MOST_WORDS = 256  # of 64 bits, in any signature
 LIST = 32_768  # classes of a list that are scanned in one group
 SHORT = 16  # lists of up to so many classes are scanned many at a time
 CHUNK, WEIGHT = 2048, 1 << 19  # classes, and shingles, that are compared in one group
@@ -107,8 +110,30 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Bit b is the parity of the shingles that fall on it."""
-    return np.packbits(np.bincount(((s >> _U(8)) & _U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1).tobytes()
+    """Bit b is the parity of the shingles that fall on it; two shingles a bit at most, where ``MOST_WORDS`` allow."""
+    words = WORDS
+    while 128 * words < len(s) and words < MOST_WORDS:
+        words *= 2
+    return np.packbits(np.bincount(((s >> _U(8)) & _U(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sigs: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """All signatures at ``WORDS`` words, and for every greater length (row of each set or -1, signatures of the sets that have so many words)."""
+    words = np.array([len(x) // 8 for x in sigs], np.int64)
+    out, fine = np.zeros((len(sigs), WORDS), _U), []
+    longer, at = np.zeros((0, 2 * int(words.max(initial=WORDS))), _U), np.zeros(0, np.int64)
+    while longer.shape[1] > WORDS:
+        w = longer.shape[1] // 2
+        own = np.flatnonzero(words == w)
+        # bit b of a shorter signature is the parity of the bits b and b + its length
+        bits = np.concatenate([longer[:, :w] ^ longer[:, w:], np.frombuffer(b"".join(sigs[i] for i in own), _U).reshape(-1, w)])
+        longer, at = bits, np.concatenate([at, own])
+        if w > WORDS:
+            row = np.full(len(sigs), -1, np.int64)
+            row[at] = np.arange(len(at))
+            fine.append((row, bits))
+    out[at] = longer
+    return out, fine[::-1]
 
 
 class Sketch:
@@ -265,17 +290,24 @@ def describe(docs: DataFrame, common, boundary: int, text: str, key: str, size:
     return src.mapInArrow(tidy(run), f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
 
 
-def passes(sig: np.ndarray, n: np.ndarray, i, j, least=LEAST) -> np.ndarray:
-    """Whether the sets i and j (equally shaped or broadcast against each other) may be similar, by sizes and signatures."""
+def passes(sig: np.ndarray, n: np.ndarray, i, j, least=LEAST, fine=()) -> np.ndarray:
+    """Whether the sets i and j (equally shaped or broadcast against each other) may be similar, by sizes and signatures, longer ones (``fine``) last."""
     a, b = n[i], n[j]
     over = -(-least[0] * (a + b) // (least[0] + least[1]))
     differ = np.zeros(np.broadcast_shapes(np.shape(a), np.shape(b)), np.int32)
     for w in range(sig.shape[1]):
         differ += np.bitwise_count(sig[:, w][i] ^ sig[:, w][j])
-    return (over <= np.minimum(a, b)) & (differ <= a + b - 2 * over)
+    ok = (over <= np.minimum(a, b)) & (differ <= a + b - 2 * over)
+    for row, bits in fine:
+        x, y, most = np.broadcast_arrays(row[i], row[j], a + b - 2 * over)
+        both = np.nonzero(ok & (x >= 0) & (y >= 0))
+        for at in range(0, len(both[0]), 4096):
+            pair = tuple(c[at : at + 4096] for c in both)
+            ok[pair] = np.bitwise_count(bits[x[pair]] ^ bits[y[pair]]).sum(axis=1, dtype=np.int64) <= most[pair]
+    return ok
 
 
-def walk(sig: np.ndarray, n: np.ndarray, split: int, least=LEAST, most: int = 32, wide: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def walk(sig: np.ndarray, n: np.ndarray, split: int, least=LEAST, most: int = 32, wide: int = 2048, fine=()) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what candidates connect: of all entries, or of entries before ``split`` with the others.
 
     Breadth first; an entry is compared with those not reached yet.
@@ -285,7 +317,7 @@ def walk(sig: np.ndarray, n: np.ndarray, split: int, least=LEAST, most: int = 32
     u, v = [], []
 
     def look(block, others):
-        got = [passes(sig, n, block[:, None], others[None, at : at + wide], least) for at in range(0, len(others), wide)]
+        got = [passes(sig, n, block[:, None], others[None, at : at + wide], least, fine) for at in range(0, len(others), wide)]
         return np.concatenate(got, axis=1) if got else np.zeros((len(block), 0), bool)
 
     while len(unseen):
@@ -332,9 +364,9 @@ def scan(table, least=LEAST):
     """One group: many short lists, one list, or a pair of chunks of a long one; edges (u, v) that connect its candidates."""
     table = table.combine_chunks()
     k, side, name, n = (table.column(c).to_numpy() for c in ("k", "side", "class", "n"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), _U).reshape(-1, WORDS)
     order = np.lexsort((name, side, k))
-    k, side, name, n, sig = k[order], side[order], name[order], n[order], sig[order]
+    k, side, name, n = k[order], side[order], name[order], n[order]
+    sig, fine = folded(table.column("sig").take(pa.array(order)).to_pylist())
     edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
     length = np.diff(edges)
     u, v = [], []
@@ -342,7 +374,7 @@ def scan(table, least=LEAST):
         lists = edges[:-1][length == m]
         for at in range(0, len(lists), 4096 // m):
             i = lists[at : at + 4096 // m, None] + np.arange(m)
-            ok = passes(sig, n, i[:, :, None], i[:, None, :], least)
+            ok = passes(sig, n, i[:, :, None], i[:, None, :], least, fine)
             label = settle(ok, np.broadcast_to(np.arange(m), i.shape))
             g, x = np.nonzero(label != np.arange(m))
             u.append(name[i[g, x]])
@@ -350,7 +382,7 @@ def scan(table, least=LEAST):
     for at in np.flatnonzero(length > SHORT):
         a, b = edges[at], edges[at + 1]
         split = int((side[a:b] == 0).sum())
-        x, y = walk(sig[a:b], n[a:b], 0 if split == b - a else split, least)
+        x, y = walk(sig[a:b], n[a:b], 0 if split == b - a else split, least, fine=[(row[a:b], bits) for row, bits in fine])
         u.append(name[a:b][x])
         v.append(name[a:b][y])
     pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *u]), np.concatenate([np.zeros(0, np.int64), *v])], axis=1), axis=0)

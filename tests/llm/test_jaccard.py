@@ -239,3 +239,49 @@ def test_extra_columns_and_null_keys(spark):
     got = J.keep_one(df)
     assert got.columns == df.columns
     assert sorted(r.k for r in got.collect())[1:] == [3, 4]
+
+
+def one_list(sets):
+    """Connected parts of what a scan of one list with all sets joins."""
+    import pyarrow as pa
+
+    n = len(sets)
+    table = pa.table({"k": [2] * n, "side": [0] * n, "class": np.arange(n), "n": [len(s) for s in sets], "sig": [J.signature(s) for s in sets]})
+    got = J.scan(table)
+    return parts(n, zip(got.column("u").to_pylist(), got.column("v").to_pylist()))
+
+
+@pytest.mark.parametrize("copies", [2, 40])
+def test_chance_does_not_connect_long_sets(copies):
+    rng = np.random.default_rng(8)
+    passage = rng.integers(1, 1 << 62, 40, dtype=np.uint64)
+    for n in (2500, 4000, 8000, 20_000):
+        sets = [np.unique(np.concatenate([passage, rng.integers(1, 1 << 62, n + 9 * k, dtype=np.uint64)])) for k in range(copies)]
+        assert one_list(sets) == list(range(copies))
+
+
+def test_long_near_copies_are_linked(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.random()}"
+    texts = []
+    # lengths of signatures differ within these groups
+    for n in (2050, 4100, 8300):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n * 9 // 10]), " ".join(base[: n * 8 // 10]), " ".join(base + [word() for _ in range(n // 20)])]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in J.join(df).collect()], key=str)
+    assert got == brute(rows)
+    assert {r[2] for r in got} == {0, 4, 8}
+
+
+def test_signatures_of_all_lengths_fold():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64)) for n in (0, 5, 2048, 2049, 5000, 9000, 60_000)]
+    sig, fine = J.folded([J.signature(s) for s in sets])
+    assert [bits.shape for _, bits in fine] == [(4, 32), (3, 64), (2, 128), (1, 256)]
+    for words, rows, bits in [(J.WORDS, np.arange(len(sets)), sig)] + [(b.shape[1], r, b) for r, b in fine]:
+        for s, r in zip(sets, rows):
+            if r >= 0:
+                plain = np.bincount(((s >> np.uint64(8)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) % 2
+                assert (np.unpackbits(bits[r].view(np.uint8)) == plain).all()
