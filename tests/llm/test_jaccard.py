@@ -241,13 +241,13 @@ def test_extra_columns_and_null_keys(spark):
     assert sorted(r.k for r in got.collect())[1:] == [3, 4]
 
 
-def one_list(sets):
+def one_list(sets, least=J.LEAST):
     """Connected parts of what a scan of one list with all sets joins."""
     import pyarrow as pa
 
     n = len(sets)
     table = pa.table({"k": [2] * n, "side": [0] * n, "class": np.arange(n), "n": [len(s) for s in sets], "sig": [J.signature(s) for s in sets]})
-    got = J.scan(table)
+    got = J.scan(table, least)
     return parts(n, zip(got.column("u").to_pylist(), got.column("v").to_pylist()))
 
 
@@ -260,6 +260,14 @@ def test_chance_does_not_connect_long_sets(copies):
         assert one_list(sets) == list(range(copies))
 
 
+def test_chance_does_not_connect_long_sets_at_the_pipelines_threshold():
+    rng = np.random.default_rng(9)
+    for n in (2500, 4000, 8000, 20_000):
+        sets = [np.unique(rng.integers(1, 1 << 62, n + 9 * k, dtype=np.uint64)) for k in range(30)]
+        near = np.unique(np.concatenate([sets[0][: len(sets[0]) * 92 // 100], rng.integers(1, 1 << 62, n // 20, dtype=np.uint64)]))
+        assert one_list([*sets, near], (80, 100)) == [*range(30), 0]
+
+
 def test_long_near_copies_are_linked(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.random()}"
