@@ -10,7 +10,9 @@ that a heavy set may resemble are in the lists too.  The boundary is where
 subsets begin to cost more than lists, from the sizes of the corpus's sets and the
 lengths of the lists that its shingles would have.
 
-Lists (and groups of one subset) of two classes or more are scanned; of lists with
+Keys go to the lists packed, many in a row, with the set's size: a list falls into runs of sizes that two
+similar sets may have, and most of what chance puts into one list falls apart there, before anything longer is sent.
+Runs (of lists or groups of one subset) of two classes or more are scanned; of runs with
 the same members one is.  An entry carries the set's size and a signature of
 ``64 * WORDS`` bits, each the parity of the shingles that fall on it; sets of more than two
 shingles a bit have longer ones (to ``64 * MOST_WORDS`` bits), which fold to shorter ones.
@@ -64,6 +66,9 @@ MOST_WORDS = 256  # of 64 bits, in any signature
 LIST = 32_768  # classes of a list that are scanned in one group
 SHORT = 16  # lists of up to so many classes are scanned many at a time
 CHUNK, WEIGHT = 2048, 1 << 19  # classes, and shingles, that are compared in one group
+FINE = 1024  # steps of the logarithm of a set's size, as it goes with a key
+PACK, BIN = 1 << 20, 1 << 18  # keys that a task collects before it sends them on, and keys of one group
+PART = 32_768  # members of a list in one row
 BROADCAST = 500_000  # most rows of two numbers that are broadcast
 MOST_LIGHT = 24  # no set with more shingles is light, whatever the costs
 _U = np.uint64
@@ -272,22 +277,110 @@ def keys_of(s: np.ndarray, common: Sketch, boundary: int, least=LEAST) -> np.nda
 
 
 def describe(docs: DataFrame, common, boundary: int, text: str, key: str, size: int, least=LEAST) -> DataFrame:
-    """Size, name, signature and keys of every document's set."""
+    """Size, name (``digest``, and its first 64 bits), signature and (unless ``common`` is None) keys of every document's set."""
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text_in"))
 
     def run(batches):
         for batch in batches:
             for at, part in X.pieces(batch.column("text_in")):
                 sets = _shingles(part, size)
+                names = [digest(s) for s in sets]
                 new = [
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([digest(s) for s in sets], pa.binary()),
+                    pa.array(names, pa.binary()),
+                    pa.array(np.array([_short(x) for x in names], np.int64)),
                     pa.array([signature(s) for s in sets], pa.binary()),
-                    pa.array([keys_of(s, common.value, boundary, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), *new], ["key", "n_shingles", "digest", "sig", "keys"])
+                if common is not None:
+                    new.append(pa.array([keys_of(s, common.value, boundary, least).view(np.int64) for s in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), *new], columns)
 
-    return src.mapInArrow(tidy(run), f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
+    columns = ["key", "n_shingles", "digest", "name", "sig", *["keys"] * (common is not None)]
+    return src.mapInArrow(tidy(run), f"key {src.schema['key'].dataType.simpleString()}, n_shingles bigint, digest binary, name bigint, sig binary" + ", keys array<bigint>" * (common is not None))
+
+
+def _short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+PACKED = "bin int, k binary, name binary, fine binary"
+
+
+def pack(found, bins: int):
+    """Batches of ``PACKED`` from (name, size, keys) of sets: a row has many keys of one bin, 18 bytes each."""
+    held, n = [], 0
+
+    def flush():
+        k = np.concatenate([x[2] for x in held]).astype(_U, copy=False)
+        count = [len(x[2]) for x in held]
+        name = np.repeat(np.array([x[0] for x in held], np.int64), count)
+        fine = np.repeat((FINE * np.log(np.array([x[1] for x in held], np.float64))).astype(np.uint16), count)
+        to = ((k >> _U(1)) % _U(bins)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        k, name, fine, to = k[order], name[order], fine[order], to[order]
+        at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()) for x in (k, name, fine)]
+        return pa.RecordBatch.from_arrays([pa.array(to[at[:-1]]), *blobs], ["bin", "k", "name", "fine"])
+
+    for one in found:
+        if len(one[2]):
+            held.append(one)
+            n += len(one[2])
+            if n >= PACK:
+                yield flush()
+                held, n = [], 0
+    if held:
+        yield flush()
+
+
+def packed_keys(docs: DataFrame, common, boundary: int, text: str, size: int, least, bins: int) -> DataFrame:
+    """The keys of every document's set, under the short name of the set; equal sets of a task give theirs once."""
+
+    def sets(batches):
+        seen = set()
+        for batch in batches:
+            for _, part in X.pieces(batch.column(0)):
+                for s in _shingles(part, size):
+                    if len(s) and (name := digest(s)) not in seen:
+                        if len(seen) >= PACK:
+                            seen.clear()
+                        seen.add(name)
+                        yield _short(name), len(s), keys_of(s, common.value, boundary, least)
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(tidy(lambda batches: pack(sets(batches), bins)), PACKED)
+
+
+def runs(table, least=LEAST):
+    """Lists of one bin, cut where sizes are too far apart: a key, number of members, two hashes over them, and the members, ``PART`` a row.
+
+    Of runs with the same members one is given; a run of one member is none.
+    """
+    k, name, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("k", _U), ("name", np.int64), ("fine", np.uint16)))
+    order = np.lexsort((name, fine, k))
+    k, name, fine = k[order], name[order], fine[order].astype(np.int64)
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (name[1:] != name[:-1])]) if len(k) else np.zeros(0, bool)
+    k, name, fine = k[new], name[new], fine[new]
+    reach = FINE * math.log(least[1] / least[0]) + 2 if least[0] else math.inf
+    edges = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (fine[1:] - fine[:-1] > reach), [True]])) if len(k) else np.zeros(1, np.int64)
+    length, at = np.diff(edges), edges[:-1]
+    at, length = at[length > 1], length[length > 1]
+    mine = np.concatenate([[0], np.cumsum(length)])
+    name = name[np.repeat(at - mine[:-1], length) + np.arange(mine[-1])]
+    u = name.view(_U)
+    x, y = (np.bitwise_xor.reduceat(X.mix(h), mine[:-1]) if len(at) else np.zeros(0, _U) for h in (u, u ^ _U(0x9E3779B97F4A7C15)))
+    k = X.mix(k[at] + fine[at].astype(_U))
+    # of runs with the same members, that of the least key
+    order = np.lexsort((k, y, x, length))
+    first = np.concatenate([[True], (np.diff(length[order]) != 0) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]) if len(at) else np.zeros(0, bool)
+    one = order[first]
+    rows = -(-length[one] // PART)
+    part = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    one = np.repeat(one, rows)
+    m = np.minimum(PART, length[one] - part * PART)
+    ends = np.concatenate([[0], np.cumsum(m)])
+    members = name[np.repeat(mine[one] + part * PART - ends[:-1], m) + np.arange(ends[-1])]
+    out = {"k": k[one].view(np.int64), "m": length[one], "x": x[one].view(np.int64), "y": y[one].view(np.int64), "part": part}
+    return pa.table([*[pa.array(c, pa.int64()) for c in out.values()], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(members, pa.int64()))], names=[*out, "names"])
 
 
 def passes(sig: np.ndarray, n: np.ndarray, i, j, least=LEAST, fine=()) -> np.ndarray:
@@ -532,13 +625,27 @@ def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(tidy(run), "digest binary, shingles binary")
 
 
-def candidates(classes: DataFrame, bins: int, least=LEAST) -> DataFrame:
-    """Edges (u, v) between classes that connect everything that may be similar."""
-    keys = classes.select("class", F.explode("keys").alias("k"))
-    # of lists with the same members (told by two hashes over them) one is scanned
-    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
-    lists = keys.groupBy("k").agg(*members).filter("m > 1").groupBy("m", "x", "y").agg(F.min("k").alias("k")).select("k", "m")
-    entries = keys.join(lists, "k").join(classes.select("class", "n", "sig"), "class")
+def lists(packed: DataFrame, least=LEAST) -> DataFrame:
+    """Runs (k, m members, ``names``) of ``packed`` keys; of runs with the same members (told by two hashes over them) one."""
+    found = packed.groupBy("bin").applyInArrow(lambda _, table: runs(table, least), "k bigint, m bigint, x bigint, y bigint, part bigint, names array<bigint>")
+    # every part of a run is there under the same keys
+    return found.groupBy("m", "x", "y", "part").agg(F.min("k").alias("k"), F.first("names").alias("names")).select("k", "m", "names")
+
+
+def candidates(classes: DataFrame, bins: int, least=LEAST, found: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) between classes that connect everything that may be similar.
+
+    ``found`` has the lists, of short names; without it the column ``keys`` of the classes gives them.
+    """
+    if found is None:
+        classes = classes.withColumn("name", F.col("class").cast("bigint"))
+
+        def run(batches):
+            return pack((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.array(k, np.int64).view(_U) for k in b.column(2).to_pylist()))), bins)
+
+        found = lists(classes.select("name", "n", "keys").mapInArrow(tidy(run), PACKED), least)
+    # classes that share a short name are all entered
+    entries = found.select("k", "m", F.explode("names").alias("name")).join(classes.select("name", "class", "n", "sig"), "name")
     groups = dealt(entries, "k", F.ceil(F.col("m") / LIST), bins, ["class", "n", "sig"])
     return groups.groupBy("cut", "g", "i", "j").applyInArrow(lambda _, table: scan(table, least), "u bigint, v bigint")
 
@@ -548,15 +655,21 @@ def solve(docs: DataFrame, text: str, key: str, size: int, least=LEAST) -> tuple
     bounded(docs.sparkSession)
     common, sizes = survey(docs, text, size)
     boundary = choose_boundary(sizes, list_lengths(common), least)
+    base = keep(describe(docs, None, boundary, text, key, size, least), "jaccard")
+    one = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("name").alias("name"), F.first("sig").alias("sig"))
+    # ids are given where rows are written, and read from there
+    classes = keep(one.withColumn("class", F.monotonically_increasing_id()), "jaccard")
+    n_classes, total = classes.agg(F.count("*"), F.sum("n")).first()
+    n_keys = n_classes + (total or 0) * (least[1] - least[0]) // least[1]
+    # several to a partition, which evens them out
+    bins = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BIN)
     shipped = docs.sparkSession.sparkContext.broadcast(common)
-    base = keep(describe(docs, shipped, boundary, text, key, size, least), "jaccard")
+    found = keep(lists(packed_keys(docs, shipped, boundary, text, size, least, bins), least), "jaccard")
     shipped.destroy()
     del common, shipped
     release()
-    one = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    # ids are given where rows are written, and read from there
-    classes = keep(one.withColumn("class", F.monotonically_increasing_id()), "jaccard")
-    blobs = components(candidates(classes, max(1, classes.count() // CHUNK), least), "jaccard")
+    blobs = components(candidates(classes, max(1, n_classes // CHUNK), least, found), "jaccard")
+    forget(found)
     members = keep(blobs.join(classes.select(F.col("class").alias("node"), "digest", "key", "copies", "n"), "node").withColumnRenamed("node", "class"), "jaccard")
     forget(blobs)
     n_members, weight = members.agg(F.count("*"), F.sum("n")).first()
@@ -566,14 +679,14 @@ def solve(docs: DataFrame, text: str, key: str, size: int, least=LEAST) -> tuple
     parts = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("w") / WEIGHT))
     groups = dealt(members.join(parts, "root").join(sets, "digest"), "root", chunks, max(1, (weight or 0) // WEIGHT), ["class", "copies", "shingles"])
-    found = keep(groups.groupBy("cut", "g", "i", "j").applyInArrow(lambda _, table: compare(table, least), "u bigint, v bigint, n bigint"), "jaccard")
-    roots = components(found.filter("v is not null").select("u", "v"), "jaccard")
-    counts = found.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("others"))
+    linked = keep(groups.groupBy("cut", "g", "i", "j").applyInArrow(lambda _, table: compare(table, least), "u bigint, v bigint, n bigint"), "jaccard")
+    roots = components(linked.filter("v is not null").select("u", "v"), "jaccard")
+    counts = linked.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("others"))
     named = classes.select("class", "digest", "key", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     first = named.groupBy("root").agg(F.min("key").alias("component_id"))
     final = keep(named.join(first, "root").select("digest", "key", "class", "root", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard")
-    for t in (classes, members, found, roots):
+    for t in (classes, members, linked, roots):
         forget(t)
     return base, final
 

@@ -293,3 +293,59 @@ def test_signatures_of_all_lengths_fold():
             if r >= 0:
                 plain = np.bincount(((s >> np.uint64(8)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) % 2
                 assert (np.unpackbits(bits[r].view(np.uint8)) == plain).all()
+
+
+@pytest.mark.parametrize("part", [1 << 15, 3])
+def test_runs_equal_brute_force(monkeypatch, part):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "PART", part)
+    rng = np.random.default_rng(part)
+    size = {int(name): int(n) for name, n in zip(rng.integers(-(1 << 62), 1 << 62, 60), 2 ** rng.uniform(0, 14, 60))}
+    sets = [(name, n, np.unique(rng.integers(0, 90, 12, dtype=np.uint64))) for name, n in size.items()]
+    table = pa.Table.from_batches(list(J.pack(iter(sets + sets[:20]), 1)))
+    got = {}
+    for r in J.runs(table, (80, 100)).to_pylist():
+        got.setdefault((r["k"], r["m"], r["x"], r["y"]), []).append((r["part"], r["names"]))
+    runs = []
+    for (_, m, _, _), rows in got.items():
+        assert [p for p, _ in sorted(rows)] == list(range(-(-m // part)))
+        runs.append([x for _, names in sorted(rows) for x in names])
+        assert len(set(runs[-1])) == len(runs[-1]) == m > 1
+    together = {frozenset((a, b)) for run in runs for a in run for b in run}
+    for a, n, k in sets:
+        for b, o, q in sets:
+            # all pairs that share a key and may be similar by size are in one run, and no run has a gap in its sizes
+            if a != b and len(np.intersect1d(k, q)) and 100 * min(n, o) >= 80 * max(n, o):
+                assert frozenset((a, b)) in together
+    for run in runs:
+        n = sorted(size[x] for x in run)
+        assert all(b <= a * 1.26 for a, b in zip(n, n[1:]))
+    assert len({tuple(sorted(run)) for run in runs}) == len(runs)
+    assert J.runs(table.slice(0, 0)).num_rows == 0
+
+
+def test_lists_of_chance_are_not_shuffled_with_signatures(spark):
+    """Texts of unlike lengths share phrases two by two, as chance has it in a large corpus."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.getrandbits(60)}"
+    texts = [[] for _ in range(60)]
+    for a in range(60):
+        for b in range(a):
+            if a % 12 != b % 12:
+                phrase = [word() for _ in range(6)]
+                texts[a] += [word(), *phrase]
+                texts[b] += [word(), *phrase]
+    for a, t in enumerate(texts):
+        t += [word() for _ in range(int(50 * 1.3 ** (a % 12 + 4)))]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert {r.n_links for r in J.join(df, size=5, least=(80, 100)).collect()} == {0}
+    per_word = (written() - before) / sum(map(len, texts))
+    # 7.8 when every key and every signature of a list was a row
+    assert per_word < 6.5
